@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import licenses, quality
+from tidewell.llm import licenses, mixing, near_dedup, quality
 from tidewell.llm.exact_dedup import exact_dedup
 from tidewell.llm.language_id import identify
 from tidewell.llm.packing import pack_documents
@@ -20,6 +20,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(documents(spark, sf_dir), shingle=2, percent=80)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(documents(spark, sf_dir)).drop("distance")
 
@@ -36,6 +40,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), TOKENIZER, 1024, 2)
 
@@ -45,10 +53,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_secret_scan, op4_exact_dedup, op5_license_scan, op8_best_fit_packing, op10_language_id)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_secret_scan, op4_exact_dedup, op5_license_scan, op7_source_mixing, op8_best_fit_packing, op10_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": near_dedup.oracle_sql(),
+    "op7_source_mixing": mixing.oracle_sql(),
     "op2_quality_rules": quality.oracle_sql(),
     "op5_license_scan": licenses.oracle_sql(),
     "op4_exact_dedup": """
