@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import SPACE, stored
+from tidewell.llm.common import SPACE, keep_ids, stored
 
 GRAM = 8
 SYMBOLS = "[^#*$%&|<>]+"
@@ -204,6 +204,12 @@ def judge_quality(docs: DataFrame, share: float = 0.75, steps: int = 3, inlier_t
     )
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """docs, all columns, without the rejected; of rows that repeat a doc_id all stay if one is kept."""
+    found = stored(judge_quality(docs).filter("kept").select("doc_id").distinct(), "quality-kept")
+    return keep_ids(docs, found)
+
+
 def oracle_sql(share: float = 0.75, steps: int = 3, inlier_tail: float = 0.025, outlier_tail: float = 1e-9, least: int = 20) -> str:
     """The query's rows in another engine's SQL."""
     group = "coalesce('=' || lang, '') || '|' || coalesce('=' || source, '')"
