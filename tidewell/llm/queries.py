@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import licenses, mixing, near_dedup, quality
+from tidewell.llm import licenses, mixing, near_dedup, quality, substring_dedup
 from tidewell.llm.exact_dedup import exact_dedup
 from tidewell.llm.language_id import identify
 from tidewell.llm.packing import pack_documents
@@ -48,15 +48,20 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), TOKENIZER, 1024, 2)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir), span=13).drop("n_spans")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_secret_scan, op4_exact_dedup, op5_license_scan, op7_source_mixing, op8_best_fit_packing, op10_language_id)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_secret_scan, op4_exact_dedup, op5_license_scan, op7_source_mixing, op8_best_fit_packing, op9_substring_dedup, op10_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_substring_dedup": substring_dedup.oracle_sql(),
     "op1_minhash_near_dedup": near_dedup.oracle_sql(),
     "op7_source_mixing": mixing.oracle_sql(),
     "op2_quality_rules": quality.oracle_sql(),
