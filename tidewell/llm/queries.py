@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import licenses, mixing, near_dedup, quality, substring_dedup
+from tidewell.llm import licenses, mixing, near_dedup, quality, substring_dedup, suffix_dedup
 from tidewell.llm.exact_dedup import exact_dedup
 from tidewell.llm.language_id import identify
 from tidewell.llm.packing import pack_documents
@@ -40,6 +40,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir), span=400)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -57,7 +61,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_secret_scan, op4_exact_dedup, op5_license_scan, op7_source_mixing, op8_best_fit_packing, op9_substring_dedup, op10_language_id)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_secret_scan, op4_exact_dedup, op5_license_scan, op6_suffix_array_dedup, op7_source_mixing, op8_best_fit_packing, op9_substring_dedup, op10_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {
