@@ -51,7 +51,7 @@ def last_observation(x: str, max_age: int = 24) -> Column:
 def previous_state(x: str, max_age: int = 24) -> tuple[Column, Column]:
     """(last value strictly before, null beyond max_age; its age, clipped at max_age)."""
     age = F.col(TIME) - observed_at(x, strictly_before())
-    return F.when(age <= max_age, carried(x, strictly_before())), F.least(age, F.lit(max_age).cast("long"))
+    return F.when(age <= max_age, carried(x, strictly_before())), F.when(age > max_age, max_age).otherwise(age)
 
 
 def previous_exists() -> Column:
