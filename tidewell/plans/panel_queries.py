@@ -44,9 +44,6 @@ def targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.with_target(panel(spark, sf_dir))
 
 
-CLICK = windows.last_observation("click")
-
-
 def scored(df: DataFrame) -> DataFrame:
     """p0 and p1, two deterministic probabilities from the last observed signals."""
     logistic = lambda x, a, b: F.round(1 / (1 + F.exp(-(F.coalesce(x, F.lit(0.0)) - a) / b)), 6)
