@@ -47,8 +47,9 @@ _words: dict[bytes, int] = {}
 def word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_words) > WORDS_CACHED:
         _words.clear()
-    for w in set(words) - _words.keys():
-        _words[w] = xxhash.xxh3_64_intdigest(w)
+    for w in words:
+        if w not in _words:
+            _words[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
