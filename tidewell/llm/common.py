@@ -71,7 +71,12 @@ def _all(conditions: list[Column]) -> Column:
     return first
 
 
-def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is in kept (null matches null)."""
-    ids = kept.select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
+def packed(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs as one struct), doc_id and text: no name of docs can clash with another."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+
+
+def keep_ids(docs: DataFrame, kept: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is in kept (null matches null), or is not for left_anti."""
+    ids = kept.select(F.col("doc_id").alias("kept_id"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), how)

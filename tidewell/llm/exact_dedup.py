@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ids_and_text, stored
+from tidewell.llm.common import ids_and_text, keep_ids, packed, stored
 
 ROWS = "doc_id long, fp long, text_sha256 string"
 BATCH = 1 << 20
@@ -141,17 +141,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """docs, all columns, without the rows that exact_dedup drops."""
-    from tidewell.llm.common import keep_ids
-
     found = stored(exact_dedup(docs), "exact-kept")
-    out = keep_ids(docs, found.filter("kept").select("doc_id").distinct())
+    kept = found.filter("kept").select("doc_id", "text_sha256").distinct()
     repeats = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeats.isEmpty():
-        return out
-    # A doc_id on several rows: the join above took them all; of those with equal texts one row stays.
-    again = stored(repeats, "exact-repeats")
-    once = docs.join(again.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
-    more = keep_ids(docs, again).withColumn("_sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256))
-    wanted = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_want")).distinct()
-    more = more.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_want")), "left_semi")
-    return keep_ids(once, found.filter("kept").select("doc_id").distinct()).unionByName(more.dropDuplicates(["doc_id", "_sha"]).drop("_sha"))
+        return keep_ids(docs, kept)
+    # A doc_id on several rows does not name a row: those rows are told apart by their texts.
+    repeats = stored(repeats, "exact-repeats")
+    rows = packed(docs)
+    once = keep_ids(keep_ids(rows, repeats, "left_anti"), kept)
+    body = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    many = keep_ids(rows, repeats).withColumn("text_sha256", F.sha2(body, 256)).dropDuplicates(["doc_id", "text_sha256"])
+    wanted = kept.select(F.col("doc_id").alias("want_id"), F.col("text_sha256").alias("want_sha"))
+    many = many.join(wanted, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_sha256") == F.col("want_sha")), "left_semi")
+    return once.select("row.*").union(many.select("row.*"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import md5_long, salted_rank, stored
+from tidewell.llm.common import md5_long, packed, salted_rank, stored
 
 SALTS = 256
 SLOTS = 1024
@@ -115,10 +115,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
 
 def in_schedule_order(docs: DataFrame, **how) -> DataFrame:
     """docs, all rows and columns, dealt out and sorted by their slots (rows of one doc_id go together)."""
-    slots = stored(mix(docs, **how).groupBy("doc_id").agg(F.min("slot").alias("_slot")), "mixing-slots").withColumnRenamed("doc_id", "_id")
-    cols = [docs[c] for c in docs.columns]
-    joined = docs.join(slots, docs["doc_id"].eqNullSafe(slots["_id"])).select(*cols, "_slot")
-    return joined.repartitionByRange("_slot").sortWithinPartitions("_slot").select(*[joined[c] for c in docs.columns])
+    slots = stored(mix(docs, **how).groupBy("doc_id").agg(F.min("slot").alias("slot")), "mixing-slots").withColumnRenamed("doc_id", "slot_id")
+    rows = packed(docs)
+    joined = rows.join(slots, rows["doc_id"].eqNullSafe(slots["slot_id"])).select("row", "slot")
+    return joined.repartitionByRange("slot").sortWithinPartitions("slot").select("row.*")
 
 
 def oracle_sql(alpha: float = 0.7, block_chars: int = BLOCK_CHARS, slots: int = SLOTS) -> str:

@@ -6,15 +6,18 @@ signature is the least rank over the set with pi shifted k places round. So all
 an element are one slice of pi, and a signature is the least of some slices.
 
 1. One Arrow pass makes set size, set digest and signature. Equal sets fold into one class.
-2. Bands of signature coordinates are bucket keys. Each bucket links its members to its least
-   member (a star, never all pairs); stars likely enough by their signatures are verified by
-   exact Jaccard similarity of full sets; connected components follow.
-3. Buckets that still hold more than one component are searched whole, in blocks of bounded
-   size: members of different components whose signatures agree enough are verified too, so
-   that no bucket-mates' link between different texts is lost to the stars.
-
-At 0.8 a pair misses all of 40 bands of 6 with probability (1 - 0.8**6)**40 = 5e-6, and the
-signature screen of 0.6 of 240 coordinates with less than 1e-9.
+2. Bands of signature coordinates are bucket keys. Each bucket pairs its members with its least
+   member (a star, never all pairs). Pairs whose signatures agree enough make clusters; buckets
+   that still hold several clusters are searched whole, in blocks of bounded size, and add a
+   spanning forest of the agreements that join clusters. A link lies inside one cluster.
+3. Agreeing stars are verified by exact Jaccard similarity of full sets. Clusters whose members
+   that does not connect are searched whole, again in blocks: members of different components
+   are compared exactly by counting shared shingles, and the links found are sent as a forest.
+   Connected components of all links follow.
+
+So what is sent grows with the members, not with pairs, and no bucket-mates' link between
+different texts is lost to the stars. At 0.8 a pair misses all of 40 bands of 6 with probability
+(1 - 0.8**6)**40 = 5e-6; its signatures agree in less than 0.68 of 240 coordinates with 2e-6.
 
 Defined results: a null or wordless text has an empty set, is linked with nothing and stays; a
 row without doc_id takes no part in links (component null, kept); rows that repeat a doc_id
@@ -32,12 +35,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ids_and_text, stored
+from tidewell.llm.common import ids_and_text, keep_ids, stored
 
 UNIVERSE = 1 << 20
 BANDS, ROWS = 40, 6
-SCREEN = 0.6
-BLOCK = 4096  # members of a bucket that one task compares with another such block
+SCREEN = 0.68
+BLOCK = 4096  # members of a bucket that one task compares with another such block, by signatures
+TEXTS = 1024  # members of a cluster that one task compares with another such block, by full sets
 WORDS_CACHED = 1_000_000
 
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
@@ -169,34 +173,99 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def across_components(buckets: DataFrame, sigs: DataFrame, labels: DataFrame, width: int, screen: float, block: int = BLOCK) -> DataFrame:
-    """Agreeing pairs of bucket-mates that are in different components, from blocks of bounded size."""
-    lab = labels.withColumnRenamed("label", "comp")
-    member = buckets.join(lab, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed_ = (
-        member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-        .filter("lo < hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    )
-    part = member.join(mixed_, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+class Forest:
+    """Union-find over one task's members; remembers the links that joined."""
+
+    def __init__(self, labels: np.ndarray):
+        first: dict[int, int] = {}
+        self.up = [first.setdefault(int(x), i) for i, x in enumerate(labels)]
+        self.links: list[tuple[int, int]] = []
+
+    def top(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        a, b = self.top(i), self.top(j)
+        if a != b:
+            self.up[a] = b
+            self.links.append((i, j))
+
+
+def in_blocks(members: DataFrame, group: str, block: int) -> DataFrame:
+    """members of the groups that hold more than one comp, with task coordinates i <= j and own block."""
+    sizes = members.groupBy(group).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+    mixed_ = sizes.filter("lo < hi").select(group, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    part = members.join(mixed_, group).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    tasks = part.select("key", "id", "comp", "own", F.inline(other)).join(sigs.select("id", "sig"), "id")
+    return part.select(group, "id", "comp", "own", F.inline(other))
+
+
+def forest_table(ids: np.ndarray, forest: Forest) -> pa.Table:
+    a, b = ids[[i for i, _ in forest.links]], ids[[j for _, j in forest.links]]
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def queries_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, comps, rows that need comparing: all but the commonest comp's)."""
+    ids, comp = t.column("id").to_numpy(), t.column("comp").to_numpy()
+    _, at, n = np.unique(comp, return_inverse=True, return_counts=True)
+    return ids, comp, np.flatnonzero(at != np.argmax(n))
+
+
+def across_clusters(buckets: DataFrame, sigs: DataFrame, labels: DataFrame, width: int, screen: float, block: int = BLOCK) -> DataFrame:
+    """Agreements (a, b) that join different clusters' bucket-mates: a forest for each task."""
+    member = buckets.join(labels.withColumnRenamed("label", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    tasks = in_blocks(member, "key", block).join(sigs.select("id", "sig"), "id")
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, comp, own = (t.column(c).to_numpy() for c in ("id", "comp", "own"))
+        ids, comp, some = queries_of(t)
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int32).reshape(-1, width)
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)]
-            for at in range(0, len(y), 2048):
-                some = y[at : at + 2048]
-                some = some[(sig[some] == sig[x]).sum(axis=1) >= screen * width]
-                a += [ids[x]] * len(some)
-                b += ids[some].tolist()
-        return pa.table({"a": pa.array(np.minimum(a, b).astype(np.int64) if a else [], pa.int64()), "b": pa.array(np.maximum(a, b).astype(np.int64) if a else [], pa.int64())})
+        forest = Forest(comp)
+        for x in some:
+            other = np.flatnonzero(comp != comp[x])
+            for at in range(0, len(other), 2048):
+                y = other[at : at + 2048]
+                for k in y[(sig[y] == sig[x]).sum(axis=1) >= screen * width]:
+                    forest.join(int(x), int(k))
+        return forest_table(ids, forest)
+
+    return tasks.select("key", "i", "j", "id", "comp", "sig").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
-    return tasks.select("key", "i", "j", "id", "comp", "own", "sig").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+def links_in_clusters(docs: DataFrame, clusters: DataFrame, labels: DataFrame, shingle: int, percent: int, block: int = TEXTS) -> DataFrame:
+    """Links (a, b) that join different components (labels) of one cluster (id, label): a forest for each task."""
+    member = clusters.withColumnRenamed("label", "cluster").join(labels.withColumnRenamed("label", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    tasks = stored(in_blocks(member, "cluster", block), "near-tasks")
+    texts = stored(docs.join(tasks.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "near-texts")
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, comp, some = queries_of(t)
+        sets = [shingle_set(x, shingle) for x in t.column("text").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, token = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(token, kind="stable")
+        held = owner[order]  # for each token in turn, who holds it
+        start = np.r_[0, np.cumsum(np.bincount(token))]
+        first = np.r_[0, np.cumsum(size)]
+        forest = Forest(comp)
+        for x in some:
+            mine = token[first[x] : first[x + 1]]
+            shared = np.zeros(len(sets), np.int64)
+            for at in range(0, len(mine), 512):
+                part = mine[at : at + 512]
+                n = start[part + 1] - start[part]
+                places = np.repeat(start[part] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                shared += np.bincount(held[places], minlength=len(sets))
+            linked = (100 * shared >= percent * (size + size[x] - shared)) & (shared > 0) & (comp != comp[x])
+            for k in np.flatnonzero(linked):
+                forest.join(int(x), int(k))
+        return forest_table(ids, forest)
+
+    return tasks.join(texts, "id").select("cluster", "i", "j", "id", "comp", "text").groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,9 +283,10 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     shared = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
     buckets = stored(keys.join(shared, "key"), "near-buckets")
     stars = buckets.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(verified(agreeing(stars, sigs, width, SCREEN), src, shingle, percent), "near-links")
-    more = across_components(buckets.select("key", "id"), sigs, connected(links), width, SCREEN)
-    more = stored(verified(more, src, shingle, percent), "near-links")
+    agree = stored(agreeing(stars, sigs, width, SCREEN), "near-agree")
+    joins = stored(across_clusters(buckets.select("key", "id"), sigs, connected(agree), width, SCREEN), "near-agree")
+    links = stored(verified(agree, src, shingle, percent), "near-links")
+    more = stored(links_in_clusters(src, connected(agree.union(joins)), connected(links), shingle, percent), "near-links")
     labels = connected(links.union(more).union(folded))
     out = sets.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("label", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -224,8 +294,6 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs, all columns, with one document of each near-duplicate group."""
-    from tidewell.llm.common import keep_ids
-
     found = stored(near_components(docs, shingle, percent), "near-kept")
     return keep_ids(docs, found.filter("kept").select("doc_id").distinct())
 
