@@ -65,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_suffix_array_dedup": suffix_dedup.oracle_sql(),
     "op9_substring_dedup": substring_dedup.oracle_sql(),
     "op1_minhash_near_dedup": near_dedup.oracle_sql(),
     "op7_source_mixing": mixing.oracle_sql(),
