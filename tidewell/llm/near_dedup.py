@@ -150,11 +150,8 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, width: int, screen: float) -> Da
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets have 100 * intersection >= percent * union."""
-    pairs = stored(pairs.distinct(), "near-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(docs.join(ids, "doc_id", "left_semi"), "near-texts")
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose full sets, from texts (id, text), have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,8 +165,8 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
                 good = pa.array(good, pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(good), b.column("b").filter(good)], ["a", "b"])
 
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    ta = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    tb = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -235,11 +232,10 @@ def across_clusters(buckets: DataFrame, sigs: DataFrame, labels: DataFrame, widt
     return tasks.select("key", "i", "j", "id", "comp", "sig").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def links_in_clusters(docs: DataFrame, clusters: DataFrame, labels: DataFrame, shingle: int, percent: int, block: int = TEXTS) -> DataFrame:
+def links_in_clusters(texts: DataFrame, clusters: DataFrame, labels: DataFrame, shingle: int, percent: int, block: int = TEXTS) -> DataFrame:
     """Links (a, b) that join different components (labels) of one cluster (id, label): a forest for each task."""
     member = clusters.withColumnRenamed("label", "cluster").join(labels.withColumnRenamed("label", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     tasks = stored(in_blocks(member, "cluster", block), "near-tasks")
-    texts = stored(docs.join(tasks.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "near-texts")
 
     def compare(t: pa.Table) -> pa.Table:
         ids, comp, some = queries_of(t)
@@ -285,8 +281,11 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     stars = buckets.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     agree = stored(agreeing(stars, sigs, width, SCREEN), "near-agree")
     joins = stored(across_clusters(buckets.select("key", "id"), sigs, connected(agree), width, SCREEN), "near-agree")
-    links = stored(verified(agree, src, shingle, percent), "near-links")
-    more = stored(links_in_clusters(src, connected(agree.union(joins)), connected(links), shingle, percent), "near-links")
+    clusters = connected(agree.union(joins))
+    # whole texts move once: those of clusters, by id
+    texts = stored(src.join(clusters.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "near-texts")
+    links = stored(verified(agree, texts, shingle, percent), "near-links")
+    more = stored(links_in_clusters(texts, clusters, connected(links), shingle, percent), "near-links")
     labels = connected(links.union(more).union(folded))
     out = sets.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("label", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
