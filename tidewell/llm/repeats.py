@@ -174,7 +174,10 @@ def repeated_anchors(docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
 
 
 def contexts(cand: DataFrame, kind: Kind, buckets: int) -> DataFrame:
-    """bucket, digest, doc_id, start, windows and body of each stretch of possible repeats."""
+    """bucket, digest, doc_id, starts, windows and body of each stretch of possible repeats.
+
+    A text's equal stretches are one row, so that a line repeated all through it is sent once.
+    """
 
     def rows(body: bytes, known: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
         symbols = kind.symbols(body)
@@ -207,12 +210,33 @@ def contexts(cand: DataFrame, kind: Kind, buckets: int) -> DataFrame:
                     if digest(body) != dig:  # another text under the same doc_id
                         continue
                     known = np.sort(fps.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                    out += [(k, dig, doc_id, s, n, part) for k, s, n, part in rows(body, known)]
+                    equal: dict[tuple[int, int, bytes], list[int]] = {}
+                    for k, s, n, part in rows(body, known):
+                        equal.setdefault((k, n, part), []).append(s)
+                    out += [(k, dig, doc_id, starts, n, part) for (k, n, part), starts in equal.items()]
                 cols = list(zip(*out)) or [[]] * 6
-                kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "digest", "doc_id", "start", "windows", "body"])
+                kinds = (pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "digest", "doc_id", "starts", "windows", "body"])
+
+    return cand.mapInArrow(run, "bucket int, digest binary, doc_id long, starts array<int>, windows int, body binary")
+
+
+def times_in_text(t: pa.Table) -> np.ndarray:
+    return np.array(t.column("starts").combine_chunks().value_lengths())
+
+
+def at_each_start(t: pa.Table, row: np.ndarray, offset: np.ndarray, windows: np.ndarray) -> pa.Table:
+    """digest, start and windows of runs (row of t, offset in its stretch, windows), at each start of the row."""
+    starts = t.column("starts").combine_chunks()
+    flat, first, times = np.array(starts.flatten()), np.r_[0, np.cumsum(times_in_text(t))], times_in_text(t)
+    n = times[row]
+    each = np.repeat(np.arange(len(row)), n)
+    place = np.repeat(first[row], n) + np.arange(len(each)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+    start = flat[place] + offset[each]
+    return pa.table({"digest": t.column("digest").take(pa.array(row[each])), "start": pa.array(start.astype(np.int32)), "windows": pa.array(windows[each].astype(np.int32))})
+
 
-    return cand.mapInArrow(run, "bucket int, digest binary, doc_id long, start int, windows int, body binary")
+NOTHING = {"digest": pa.array([], pa.binary()), "start": pa.array([], pa.int32()), "windows": pa.array([], pa.int32())}
 
 
 def repeats(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], pa.Table], finish: Callable, out: str, buckets: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import ids_and_text
-from tidewell.llm.repeats import LAST_ID, Kind, repeats
+from tidewell.llm.repeats import LAST_ID, NOTHING, Kind, at_each_start, repeats
 
 WORDS_CACHED = 1_000_000
 _words: dict[bytes, int] = {}
@@ -67,9 +67,8 @@ def deep_nodes(span: int):
         context = np.repeat(np.arange(len(windows)), windows)
         offset = np.arange(len(context)) - np.repeat(np.r_[0, np.cumsum(windows[:-1])], windows)
         suffix = first[context] + offset
-        empty = {"digest": pa.array([], pa.binary()), "start": pa.array([], pa.int32()), "windows": pa.array([], pa.int32())}
         if len(suffix) < 2:
-            return pa.table(empty)
+            return pa.table(NOTHING)
         order = np.lexsort([words[suffix + d] for d in range(span - 1, -1, -1)])
         ranked = suffix[order]
         common = np.zeros(len(ranked), np.int32)  # with the suffix before
@@ -83,10 +82,9 @@ def deep_nodes(span: int):
         least = np.repeat(np.minimum.reduceat(doc, node), size)
         out = np.sort(order[doc > least])
         if not len(out):
-            return pa.table(empty)
+            return pa.table(NOTHING)
         c, s, n = runs_of(context[out], offset[out])
-        starts = t.column("start").to_numpy()[c] + s
-        return pa.table({"digest": t.column("digest").take(pa.array(c)), "start": pa.array(starts.astype(np.int32)), "windows": pa.array(n.astype(np.int32))})
+        return at_each_start(t, c, s, n)
 
     return decide
 

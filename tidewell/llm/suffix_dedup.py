@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import ids_and_text
-from tidewell.llm.repeats import LAST_ID, Kind, finished, gram_hashes, powers, repeats
+from tidewell.llm.repeats import LAST_ID, NOTHING, Kind, at_each_start, finished, gram_hashes, powers, repeats, times_in_text
 from tidewell.llm.substring_dedup import covered, runs_of
 
 TRIGGER, PHRASE = 8, 32  # a phrase starts where the hash of the next 8 bytes is 0 mod 32
@@ -175,7 +175,7 @@ def repeated_windows(span: int):
         bodies = t.column("body").to_pylist()
         seen: dict[bytes, int] = {}
         number = np.array([seen.setdefault(b, len(seen)) for b in bodies])
-        many = np.bincount(number) > 1
+        many = np.bincount(number, weights=times_in_text(t)) > 1
         data = np.frombuffer(b"".join(seen), np.uint8)
         size = np.array([len(b) for b in seen])
         first = np.r_[0, np.cumsum(size[:-1])]
@@ -199,14 +199,13 @@ def repeated_windows(span: int):
         # windows of stretches that came more than once are repeats by themselves; all is known per distinct stretch
         at = np.flatnonzero(hit)
         if not len(at):
-            return pa.table({"digest": pa.array([], pa.binary()), "start": pa.array([], pa.int32()), "windows": pa.array([], pa.int32())})
+            return pa.table(NOTHING)
         c, s, n = runs_of(text[at], offset[at])
         by = np.searchsorted(c, np.arange(len(size) + 1))
         counts = by[number + 1] - by[number]
         row = np.repeat(np.arange(len(bodies)), counts)
         k = np.repeat(by[number], counts) + np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(counts[:-1])], counts)
-        starts = t.column("start").to_numpy()[row] + s[k]
-        return pa.table({"digest": t.column("digest").take(pa.array(row)), "start": pa.array(starts.astype(np.int32)), "windows": pa.array(n[k].astype(np.int32))})
+        return at_each_start(t, row, s[k], n[k])
 
     return decide
 
@@ -239,3 +238,20 @@ def suffix_dedup(docs: DataFrame, span: int = 400, k: int = 64, id_col: str = "d
         F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.lit(none)).otherwise(F.coalesce("kept", "sha256")).alias("kept_sha256"),
     )
+
+
+def oracle_sql(span: int = 400) -> str:
+    """The query's rows by grouping a digest of every window."""
+    return f"""
+        WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * span})) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {span - 1})) AS i FROM t)),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+        g AS (SELECT doc_id, min(i) AS a, max(i) + {span} AS b FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r) GROUP BY doc_id, run),
+        m AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM g),
+        q AS (SELECT *, sum(CASE WHEN upto IS NULL OR a > upto THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a) AS part FROM m),
+        s AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM q GROUP BY doc_id, part),
+        k AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM s),
+        z AS (SELECT k.doc_id, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept, sum(b - a) AS gone, count(*) AS spans
+            FROM k JOIN t ON k.doc_id = t.doc_id GROUP BY k.doc_id)
+        SELECT t.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM t LEFT JOIN z ON t.doc_id = z.doc_id"""
