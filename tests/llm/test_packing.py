@@ -47,6 +47,35 @@ def test_knapsack_prices():
     assert value == pytest.approx(max(0.6 * a + 0.35 * b + 0.1 * c for a in range(2) for b in range(3) for c in range(11) if 6 * a + 4 * b + c <= 10))
 
 
+@pytest.mark.parametrize("lengths,best_fit_is_far", [(range(1, 1025), False), (range(257, 500), True)])
+def test_linear_program_decides_on_full_histograms(lengths, best_fit_is_far, caplog):
+    """Most sequences come from the program, near its bound; where two kinds of triples must be mixed, best-fit alone is far off."""
+    r = np.random.default_rng(1)
+    h = {s: int(50 + r.integers(0, 100)) for s in lengths}
+    with caplog.at_level("INFO", packing.log.name):
+        plan = packing.solve(h, 1024)
+    by_program, by_best_fit, bound = caplog.records[-1].args
+    held: dict = {}
+    for config, times in plan:
+        assert times > 0 and sum(s * k for s, k in config.items()) <= 1024
+        for s, k in config.items():
+            held[s] = held.get(s, 0) + k * times
+    assert held == h
+    total = sum(t for _, t in plan) - h.get(1024, 0)
+    assert by_program + by_best_fit == total and by_program > 0.8 * total
+    alone = sum(t for _, t in packing.best_fit({s: n for s, n in h.items() if s < 1024}, 1024))
+    assert bound <= min(total, alone) + 1e-6 and total <= 1.06 * bound
+    assert total < 0.95 * alone if best_fit_is_far else total <= 1.01 * alone
+
+
+def test_every_length_is_covered():
+    for h in ({1: 1}, {5: 3, 9: 10**9, 1: 1}, {s: int(1e6 / s**1.3) + 1 for s in range(1, 64)}):
+        configs, bound = packing.cover(h, 64)
+        for s, n in h.items():
+            assert sum(dict(c).get(s, 0) * x for c, x in configs.items()) >= n * (1 - 1e-6)
+        assert sum(configs.values()) >= bound * (1 - 1e-6)
+
+
 def test_pack_documents(make, corpus):
     got = packing.pack_documents(make(corpus), PATH, 64, 2).collect()
     tok = Tokenizer.from_file(PATH)

@@ -3,8 +3,9 @@
 1. Tokenise each whole text (one Arrow pass); cut documents above the capacity.
 2. Count piece lengths: a histogram of at most `capacity` rows, whatever the corpus.
 3. On that histogram solve the configuration LP (cover all pieces with as few sequences as may
-   be) by multiplicative weights; a knapsack dynamic program prices the lengths and gives the
-   next configuration. Round down, then place what is left best-fit, all in run lengths.
+   be) by multiplicative weights, until the least covered length is covered; a knapsack dynamic
+   program prices the lengths and gives the next configurations. Round, then place what is left
+   best-fit, all in run lengths.
 4. Rank the pieces of each length (salted, so that a length with a third of all rows spreads)
    and join ranks to the plan's runs. Only ids, lengths and ranks move.
 
@@ -14,6 +15,7 @@ pieces, repeated doc_ids too; an empty table gives no rows; other columns are no
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import ids_and_text, salted_rank, stored
 
+log = logging.getLogger(__name__)
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 # fixed value: the pieces that byte-level BPE of this kind merges within
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -94,84 +97,112 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
     return ids_and_text(docs, id_col, text_col).mapInArrow(run, PIECES)
 
 
-def priced(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """The knapsack's best value and its configuration {length: copies}: an unbounded knapsack.
-
-    A dynamic program over the room: each length in turn, all rooms of one residue chain by a
-    running maximum, so a pass over a length is a few array operations.
-    """
+def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room the best value of an unbounded knapsack, and the length it takes first (0: leave one token free)."""
+    price = np.full(capacity + 1, -1.0)
+    price[lengths] = prices
     best = np.zeros(capacity + 1)
     take = np.zeros(capacity + 1, np.int64)
-    for size, price in zip(lengths, prices):
-        if price <= 0:
-            continue
-        copies = 1
-        while copies * size <= capacity:  # 1, 2, 4, ... copies compose any number
-            cand = best[: capacity + 1 - copies * size] + copies * price
-            better = cand > best[copies * size :] + 1e-12
-            if better.any():
-                rooms = np.flatnonzero(better) + copies * size
-                best[rooms] = cand[better]
-                take[rooms] = size
-            elif copies == 1:
-                break
-            copies *= 2
+    for room in range(1, capacity + 1):
+        value = price[1 : room + 1] + best[room - 1 :: -1]
+        k = int(value.argmax())
+        best[room] = best[room - 1]
+        if value[k] > best[room] + 1e-15:
+            best[room], take[room] = value[k], k + 1
+    return best, take
+
+
+def filled(take: np.ndarray, room: int) -> dict[int, int]:
+    """The configuration {length: copies} that a knapsack's choices give a room."""
     config: dict[int, int] = {}
-    room = int(np.argmax(best))
-    value = float(best[room])
-    while room > 0 and take[room]:
+    while room > 0:
         size = int(take[room])
-        config[size] = config.get(size, 0) + 1
-        room -= size
-    return value, config
+        if size:
+            config[size] = config.get(size, 0) + 1
+        room -= size or 1
+    return config
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 120, eta: float = 0.12) -> list[tuple[dict[int, int], int]]:
-    """[(configuration {length: copies}, times)] that holds each length as often as the histogram.
+def priced(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
+    """The knapsack's best value and its configuration {length: copies}."""
+    best, take = knapsack(prices, lengths, capacity)
+    return float(best[capacity]), filled(take, capacity)
 
-    Multiplicative weights on the covering LP: a length's weight falls by what the priced
-    configuration holds of it; each configuration gets a share of the sequences. Rounding down
-    leaves a remainder of few pieces, which best-fit decreasing places on open room.
+
+def cover(histogram: dict[int, int], capacity: int, eta: float = 0.5, slack: float = 0.02, gap: float = 0.01, rounds: int = 200) -> tuple[dict[tuple, float], float]:
+    """({configuration: sequences}, lower bound): a fractional cover of every length, least covered one included.
+
+    Multiplicative weights on the covering LP. In a round each length is covered once at most (the
+    width), by configurations worth the round's best value but for `slack`: a knapsack prices the
+    lengths still open, and each of them gives the configuration that holds it in the best company.
+    Then the weights fall by what was covered. Any prices bound the LP from below, so rounds end when
+    the cover, scaled by its least covered length, is within `gap` of the bound; or after `rounds`,
+    but never before each length is covered.
     """
     lengths = np.array(sorted(histogram, reverse=True), np.int64)
     demand = np.array([histogram[x] for x in lengths.tolist()], float)
+    at = {int(x): i for i, x in enumerate(lengths)}
+    weight = lengths * demand / (lengths * demand).sum()
+    covered = np.zeros(len(lengths))
+    configs: dict[tuple, float] = {}
+    bound = total = 0.0
+    done = 0
+    while not covered.min() or (done < rounds and total > (1 + gap) * bound * covered.min()):
+        price = weight / demand
+        got = np.zeros(len(lengths))
+        top = None
+        while (free := got < 1 - 1e-9).any():
+            best, take = knapsack(price[free], lengths[free], capacity)
+            if top is None:
+                top = best[capacity]
+                bound = max(bound, float(weight.sum() / top))
+            value = np.where(free, price + best[capacity - lengths], 0.0)
+            near = [i for i in np.argsort(-value, kind="stable").tolist() if value[i] >= (1 - slack) * top]
+            if not near:
+                break
+            for i in near:
+                size = int(lengths[i])
+                config = filled(take, capacity - size)
+                config[size] = config.get(size, 0) + 1
+                step = min((1 - got[at[s]]) * demand[at[s]] / n for s, n in config.items())
+                if step <= 1e-9:
+                    continue
+                key = tuple(sorted(config.items()))
+                configs[key] = configs.get(key, 0.0) + step
+                total += step
+                for s, n in config.items():
+                    got[at[s]] += n * step / demand[at[s]]
+        covered += got
+        weight = weight * np.exp(-eta * got)
+        weight /= weight.sum()
+        done += 1
+    return {c: x / covered.min() for c, x in configs.items()}, bound
+
+
+def solve(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """[(configuration {length: copies}, times)] that holds each length as often as the histogram.
+
+    The cover is rounded down, then each configuration gets one sequence more while its pieces
+    last; what is left, best-fit decreasing places on open room.
+    """
     plan: list[tuple[dict[int, int], int]] = []
     left = {int(k): int(v) for k, v in histogram.items()}
-    if len(lengths) and lengths[0] == capacity:
+    if capacity in left:
         plan.append(({capacity: 1}, left.pop(capacity)))
-        lengths, demand = lengths[1:], demand[1:]
-    if len(lengths):
-        weight = lengths / capacity + 1e-3
-        configs: dict[tuple, float] = {}
-        covered = np.zeros(len(lengths))
-        at = {int(x): i for i, x in enumerate(lengths)}
-        for _ in range(rounds):
-            value, config = priced(weight / demand, lengths, capacity)
-            if not config:
-                break
-            step = min(demand[at[s]] / n for s, n in config.items())  # the width: a row is covered at most once a step
-            configs[tuple(sorted(config.items()))] = configs.get(tuple(sorted(config.items())), 0.0) + step
-            for s, n in config.items():
-                i = at[s]
-                covered[i] += n * step
-                weight[i] *= np.exp(-eta * n * step / demand[i])
-            weight /= weight.max()
-        # the steps add up to some multiple of a cover: scale the typical row to its demand, then round down
-        share = float(np.median(covered / demand))
-        scale = 1 / share if share > 0 else 0.0
-        fewest = None
-        for part in (1.0, 0.9, 0.5, 0.0):  # rounding keeps the share of the LP's solution that leaves the fewest sequences
-            rest, whole = dict(left), []
-            for config, times in sorted(configs.items(), key=lambda x: -x[1]):
-                n = min(int(times * scale * part), *(rest[s] // k for s, k in config))
+    if left:
+        configs, bound = cover(left, capacity)
+        order = sorted(configs.items(), key=lambda x: -x[1])
+        from_cover: list[tuple[dict[int, int], int]] = []
+        for most in ([int(x + 1e-9) for _, x in order], [1] * len(order)):
+            for (config, _), times in zip(order, most):
+                n = min(times, *(left[s] // k for s, k in config))
                 if n > 0:
-                    whole.append((dict(config), n))
+                    from_cover.append((dict(config), n))
                     for s, k in config:
-                        rest[s] -= k * n
-            whole += best_fit(rest, capacity)
-            if fewest is None or sum(n for _, n in whole) < sum(n for _, n in fewest):
-                fewest = whole
-        plan += fewest
+                        left[s] -= k * n
+        rest = best_fit(left, capacity)
+        log.info("sequences below the capacity: %d by the linear program, %d by best-fit, bound %.1f", sum(n for _, n in from_cover), sum(n for _, n in rest), bound)
+        plan += from_cover + rest
     return plan
 
 
