@@ -31,14 +31,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_copies(docs, shingle=5, percent=80).select(*COLUMNS)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, written in the order of its source's scheduled blocks."""
-    return in_schedule_order(docs).select(*COLUMNS)
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """Every document, with the slot of its source's scheduled block, for the packing."""
+    return in_schedule_order(docs, "slot", weights=weights).select(*COLUMNS, "slot")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of 1024."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
+    """Token pieces in sequences of 1024, both in the order of the documents' slots."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 2, "slot")
 
 
 STAGES = [
@@ -49,12 +49,13 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: Tokenisation has no SQL; tests/llm/test_pipeline.py holds each stage against a brute-force version.
+#: Tokenisation has no SQL; tests/llm/test_packing.py holds the kept documents against brute force and the packing to the schedule.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, weights: dict[str, float] | None = None) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*[F.col(c) for c in COLUMNS])
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        how = {"weights": weights} if stage is mix_sources else {}
+        docs = stored(stage(spark, docs, sf_dir, **how), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

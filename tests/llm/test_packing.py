@@ -145,3 +145,25 @@ def test_pipeline_against_its_stages_by_hand(spark, make, corpus, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "mix_sources", "pack"]
+
+
+def test_pipeline_rows_follow_the_weights(spark, make, tmp_path):
+    """Other target weights, other rows: pieces of a length and sequences go by slot."""
+    import random
+
+    from tests.llm.conftest import prose
+
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(900)]
+    rows = [(i, prose(r, 4000, words), "en", "ab"[i % 2]) for i in range(24)]
+    docs = make(rows).select(*corpus_pipeline.COLUMNS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    key = lambda got: sorted(tuple(x) for x in got)
+    one, two = ({w: corpus_pipeline.run(spark, str(tmp_path), {"a": w, "b": 1 - w}).collect() for w in (0.9, 0.1)}).values()
+    assert one and key(one) != key(two)
+    assert key(x[:5] for x in one) == key(x[:5] for x in two)  # the same pieces, all of them
+    for w, got in ((0.9, one), (0.1, two)):
+        slot = {x.doc_id: x.slot for x in mixing.mix(docs, {"a": w, "b": 1 - w}).collect()}
+        full = sorted((x.sequence_id, slot[x.doc_id]) for x in got if x.length == 1024)
+        assert len(full) > 20 and [s for _, s in full] == sorted(s for _, s in full)
+        assert {x.sequence_id for x in got} == set(range(max(x.sequence_id for x in got) + 1))

@@ -113,12 +113,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     )
 
 
-def in_schedule_order(docs: DataFrame, **how) -> DataFrame:
-    """docs, all rows and columns, dealt out and sorted by their slots (rows of one doc_id go together)."""
+def in_schedule_order(docs: DataFrame, slot_col: str | None = None, **how) -> DataFrame:
+    """docs, all rows and columns, dealt out and sorted by their slots (rows of one doc_id go together); slot_col: a new column for the slot."""
     slots = stored(mix(docs, **how).groupBy("doc_id").agg(F.min("slot").alias("slot")), "mixing-slots").withColumnRenamed("doc_id", "slot_id")
     rows = packed(docs)
     joined = rows.join(slots, rows["doc_id"].eqNullSafe(slots["slot_id"])).select("row", "slot")
-    return joined.repartitionByRange("slot").sortWithinPartitions("slot").select("row.*")
+    return joined.repartitionByRange("slot").sortWithinPartitions("slot").select("row.*", *([F.col("slot").alias(slot_col)] if slot_col else []))
 
 
 def oracle_sql(alpha: float = 0.7, block_chars: int = BLOCK_CHARS, slots: int = SLOTS) -> str:

@@ -7,7 +7,9 @@
    program prices the lengths and gives the next configurations. Round, then place what is left
    best-fit, all in run lengths.
 4. Rank the pieces of each length (salted, so that a length with a third of all rows spreads)
-   and join ranks to the plan's runs. Only ids, lengths and ranks move.
+   and join ranks to the plan's runs. Only ids, lengths and ranks move. Where documents have
+   slots of a schedule, pieces of a length rank by slot, and sequences are numbered by the
+   earliest slot in them.
 
 Defined results: a null text is empty, so its document is the end id alone; every row gives its
 pieces, repeated doc_ids too; an empty table gives no rows; other columns are not read.
@@ -28,6 +30,7 @@ from tidewell.llm.common import ids_and_text, salted_rank, stored
 
 log = logging.getLogger(__name__)
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
+PIECE_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "_slot"]
 # fixed value: the pieces that byte-level BPE of this kind merges within
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -79,8 +82,9 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length and crc32 of each piece of each document."""
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", slot_col: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length and crc32 of each piece of each document; _slot too where slot_col is given."""
+    fields = [(n, t) for n, t in zip(PIECE_NAMES, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))][: 6 if slot_col else 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
@@ -88,13 +92,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 rows = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                for doc_id, text, *slot in zip(*(part.column(c).to_pylist() for c in part.schema.names)):
                     ids = enc.encode(text or "") + end
-                    rows += [(doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
+                    rows += [(doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), *slot) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], [n for n, _ in fields])
 
-    return ids_and_text(docs, id_col, text_col).mapInArrow(run, PIECES)
+    texts = ids_and_text(docs, id_col, text_col)
+    if slot_col:
+        texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[slot_col].cast("long").alias("_slot"))
+    return texts.mapInArrow(run, PIECES + (", _slot long" if slot_col else ""))
 
 
 def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -262,17 +269,31 @@ def pack(pieces: DataFrame, capacity: int = 1024, salts: int = 64) -> DataFrame:
     plan = spark.createDataFrame(runs, "length int, first long, ranks long, sequence long, copies long, place long")
     # One list of runs for each length: at most `capacity` rows, each found by bisection on the first rank.
     by_length = plan.groupBy(F.col("length").alias("_length")).agg(F.array_sort(F.collect_list(F.struct("first", "sequence", "copies", "place"))).alias("runs"))
-    ranked = salted_rank(pieces, ["length"], [F.col("doc_id"), F.col("piece"), F.col("start"), F.col("ids_crc32")], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)), "rank")
+    scheduled = "_slot" in pieces.columns
+    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts))
+    order = [F.col("doc_id"), F.col("piece"), F.col("start"), F.col("ids_crc32")]
+    if scheduled:
+        # ranges of slots take the place of hashes: wherever their ends lie, the ranks are the same
+        ends = sorted(set(pieces.approxQuantile("_slot", [k / salts for k in range(1, salts)], 0.002)))
+        within_ends = lambda slot: F.size(F.filter(F.array(*[F.lit(int(e)) for e in ends]).cast("array<bigint>"), lambda e: e < slot))
+        salt, order = within_ends(F.col("_slot")), [F.col("_slot"), F.xxhash64("doc_id", "piece"), *order]
+    ranked = salted_rank(pieces, ["length"], order, salt, "rank")
     run = F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("rank")), -1)
     j = ranked.join(by_length, F.col("length") == F.col("_length")).withColumn("_run", run)
     within = F.col("rank") - F.col("_run.first")
-    return j.select(
+    placed = j.select(
         *pieces.columns,
         (F.col("_run.sequence") + F.floor(within / F.col("_run.copies")).cast("long")).alias("sequence_id"),
         (F.col("_run.place") + F.pmod(within, F.col("_run.copies")) * F.col("length")).cast("long").alias("offset"),
     )
+    if not scheduled:
+        return placed
+    placed = stored(placed, "placed")
+    first = placed.groupBy("sequence_id").agg(F.min("_slot").alias("_first")).withColumn("_all", F.lit(0))
+    number = salted_rank(first, ["_all"], [F.col("_first"), F.col("sequence_id")], within_ends(F.col("_first")), "_number").select(F.col("sequence_id").alias("_sequence"), "_number")
+    return placed.join(number, F.col("sequence_id") == F.col("_sequence")).select(*[c for c in pieces.columns if c != "_slot"], F.col("_number").cast("long").alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    pieces = stored(token_pieces(docs, tokenizer, capacity, end_id), "pieces")
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, slot_col: str | None = None) -> DataFrame:
+    pieces = stored(token_pieces(docs, tokenizer, capacity, end_id, slot_col=slot_col), "pieces")
     return pack(pieces, capacity)
