@@ -39,3 +39,7 @@ def test_every_query_is_registered_and_imports_without_a_session():
 
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(set(e.oracle_sql()) - set(e.queries())))"], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(__file__)))
     assert said.stdout.strip() == "0", said.stderr
+
+
+def test_bootstrap_draws_as_often_as_the_policy(spark):
+    assert {r.reps for n in ("bootstrap_dca_ci", "bootstrap_ap_brier_ci") for r in QUERIES[n](spark, DIR).select("reps").collect()} == {300}

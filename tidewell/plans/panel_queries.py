@@ -429,7 +429,7 @@ def decision_curve_paired(spark, sf_dir):
     return b.groupBy("pct").agg(F.round(s("b_p0") / s("w"), 6).alias("net_p0"), F.round(s("b_p1") / s("w"), 6).alias("net_p1"), F.round((s("b_p1") - s("b_p0")) / s("w"), 6).alias("difference"))
 
 
-REPS, SEED = 40, 11
+REPS, SEED = ModelPolicy().bootstrap, 11
 _UNIT = f"(CAST(('0x' || substr(md5('{SEED}|' || rep || '|' || entity), 1, 15)) AS BIGINT) / 1152921504606846976e0)"
 
 
