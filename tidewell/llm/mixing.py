@@ -5,7 +5,8 @@ p of Q slots, block j of a cycle is released at slot floor(j * Q / p) and due by
 ceil((j + 1) * Q / p). Earliest deadline first over one cycle of Q slots (one fold over an
 array of sources, as long as there are sources) gives each block its slot; the weights are
 whole parts of Q, so each cycle starts anew and all blocks' slots follow in closed form. While
-all sources last, no source is a block or more ahead of or behind its weight at any slot. From
+all sources last, no source is a block or more ahead of or behind p / Q at any slot; against the
+weight itself the rounding to p adds up with each cycle. From
 where one runs dry, its slots stay empty and the others keep theirs; no document is dropped.
 
 DataFrame functions only. A hot source's documents are ranked in 256 hash salts.
