@@ -72,6 +72,27 @@ def test_near_components(make, corpus, size):
     assert near_components(make(corpus[:2]).limit(0), size).count() == 0
 
 
+def test_near_components_of_repeated_ids(make):
+    """A doc_id on several rows is one node: it links the texts of its rows."""
+    words = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(4)]
+    rows = [(3, words[0]), (7, words[0]), (7, words[1]), (5, words[2]), (9, words[1]), (9, words[1]), (11, words[3])]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_components(make(rows), 2).collect()}
+    assert got == {(3, 3, True), (7, 3, False), (9, 3, False), (5, 5, True), (11, 11, True)}
+
+
+def test_near_copies_lose_no_link(spark):
+    """Recall on a table with planted copies, against an exact join on all shingles: every component is found."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r.component_id for r in near_components(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), 2).collect()}
+    sets, held = {r.doc_id: shingles(r.text, 2) for r in rows}, {}
+    for i, s in sets.items():
+        for x in s:
+            held.setdefault(x, []).append(i)
+    shared = Counter(p for ids in held.values() for p in itertools.combinations(sorted(ids), 2))
+    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    assert links and all(got[a] == got[b] for a, b in links)
+
+
 def test_near_links_survive_small_blocks(make, corpus, monkeypatch):
     """Tiny blocks make every bucket and cluster many tasks; the components stay."""
     want = {(r.doc_id, r.component_id) for r in near_components(make(corpus), 2).collect()}

@@ -97,26 +97,50 @@ def test_pack_documents(make, corpus):
     assert packing.pack_documents(make(corpus).limit(0), PATH).count() == 0
 
 
-def test_mixing_keeps_weights_at_every_slot(make):
-    rows = [(i, "x" * 9, "en", s) for s, n, base in (("a", 500, 0), ("b", 300, 1000), ("c", 200, 2000)) for i in range(base, base + n)]
-    got = mixing.mix(make(rows), {"a": 0.5, "b": 0.3, "c": 0.2}, block_chars=10, slots=64).collect()
-    assert len(got) == 1000 and len({r.slot for r in got}) == 1000
-    assert all(r.release <= r.slot < r.deadline for r in got)
-    share = {s: sum(1 for r in got if r.source == s and r.slot < 64) / 64 for s in "abc"}
-    done = dict.fromkeys("abc", 0)
-    for r in sorted(got, key=lambda r: r.slot)[:600]:
+@pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1.0, "b": 0.37, "c": 0.0131}, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}])
+def test_mixing_keeps_the_given_weights_at_every_slot(make, weights):
+    """Less than a block of deviation from the weights themselves, however many slots there are."""
+    rows = [(i, "x" * 9, "en", s) for s, n, base in (("a", 2500, 0), ("b", 1500, 10_000), ("c", 1000, 20_000)) for i in range(base, base + n)]
+    got = sorted(mixing.mix(make(rows), weights, block_chars=10).collect(), key=lambda r: r.slot)
+    assert len(got) == 5000 and [r.slot for r in got] == list(range(5000))
+    assert all(r.release <= r.slot < r.deadline for r in got if r.on_target)
+    share = {s: w / sum(weights.values()) for s, w in weights.items()}
+    done, on_target = dict.fromkeys("abc", 0), sum(r.on_target for r in got)
+    for r in got[:on_target]:
+        assert r.on_target
         done[r.source] += 1
         assert all(abs(done[s] - (r.slot + 1) * share[s]) < 1 for s in "abc")
-    assert share["a"] == pytest.approx(0.5, abs=0.04)
+    size = {"a": 2500, "b": 1500, "c": 1000}
+    assert on_target == min(int(size[s] / share[s] + 1e-9) for s in "abc") and len({(r.source, r.block) for r in got}) == 5000
+
+
+def test_mixing_order_does_not_depend_on_partitions(spark, make, corpus):
+    want = sorted(map(str, mixing.mix(make(corpus), block_chars=300).collect()))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert sorted(map(str, mixing.mix(make(corpus), block_chars=300).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_mixing_bounds_its_schedule(make, corpus):
+    """Fewer slots, larger blocks: nothing is lost."""
+    got = mixing.mix(make(corpus), block_chars=1, slots=16).collect()
+    assert len(got) == len(corpus) and max(r.slot for r in got) < 16 + 3
 
 
 def test_mixing_odd_rows(make, corpus):
     got = mixing.mix(make(corpus), block_chars=500)
     assert got.count() == len(corpus)
-    assert got.filter("slot >= release AND slot < deadline").count() == len(corpus)
+    assert got.filter("NOT on_target OR (slot >= release AND slot < deadline)").count() == len(corpus)
     assert mixing.in_schedule_order(make(corpus)).count() == len(corpus)
     assert mixing.mix(make(corpus).limit(0)).count() == 0
     assert mixing.mix(make(corpus), {"nowhere": 1.0}).count() == len(corpus)
+    one = mixing.mix(make(corpus), {"s1": 1.0}, block_chars=500).collect()
+    assert len(one) == len(corpus) and max(r.slot for r in one if r.source == "s1") < min(r.slot for r in one if r.source != "s1")
+    kept = mixing.with_slots(make(corpus), "at")
+    assert kept.count() == len(corpus) and kept.columns == [*make(corpus).columns, "at"]
 
 
 def test_pipeline_against_its_stages_by_hand(spark, make, corpus, tmp_path):

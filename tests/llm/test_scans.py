@@ -41,6 +41,33 @@ def test_quality_matches_sql(make, corpus):
     assert quality.judge_quality(make(corpus).limit(0)).count() == 0
 
 
+def test_quality_takes_the_start_of_least_determinant(make, monkeypatch):
+    """A tight third and a wide rest: more C-steps never raise a determinant, and the bulk is the tight part's own."""
+    r = np.random.default_rng(4)
+    words = ["".join(r.choice(list("abcdefgh"), r.integers(3, 8))) for _ in range(300)]
+    rows = [(i, " ".join(r.choice(words, 60)), "en", "s0") for i in range(60)] + [(100 + i, " ".join(x + "#" * r.integers(0, 9) for x in r.choice(words, 60)), "en", "s0") for i in range(20)]
+    seen = []
+    f = quality.c_step
+
+    def spy(vectors, params, share):
+        seen.append({(x.g, x.s): x.det for x in params.collect()})
+        return f(vectors, params, share)
+
+    monkeypatch.setattr(quality, "c_step", spy)
+    quality.judge_quality(make(rows)).count()
+    assert len(seen[0]) == 3 and len(seen[2]) == 1
+    assert min(seen[2].values()) <= min(seen[1].values()) * (1 + 1e-9)
+    assert all(min(b.values()) <= min(a.values()) for a, b in zip(seen[2:], seen[3:]))
+
+
+def test_keep_good_judges_each_row_of_a_doc_id(make, corpus):
+    good = "plain words that go on for a while and say nothing of note but are more than twenty in number so that the rules pass"
+    rows = [*corpus, (900, good, "en", "s0"), (900, "too short", "en", "s0")]
+    left = quality.keep_good(make(rows))
+    assert left.columns == make(rows).columns
+    assert [r.text for r in left.filter("doc_id = 900").collect()] == [good]
+
+
 def test_repeated_words(spark):
     from pyspark.sql import functions as F
 

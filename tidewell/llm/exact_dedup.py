@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ids_and_text, keep_ids, packed, stored
+from tidewell.llm.common import ids_and_text, packed, stored, with_ids
 
 ROWS = "doc_id long, fp long, text_sha256 string"
 BATCH = 1 << 20
@@ -108,6 +108,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     quotient_bits: 2**quotient_bits slots, by default 16 for each shuffle partition, so that a
     slot's merged run stays small at the size the session is set up for.
     """
+    return _verdicts(docs, id_col, text_col, quotient_bits).drop("row_id")
+
+
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, quotient_bits: int | None) -> DataFrame:
     spark = docs.sparkSession
     if quotient_bits is None:
         quotient_bits = min(24, max(4, (16 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
@@ -115,23 +119,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stored(row_digests(src).withColumn("row_id", F.monotonically_increasing_id()), "exact-rows")
     many = stored(repeated_fingerprints(quotient_filters(rows, quotient_bits), quotient_bits), "exact-counts")
     # Byte verification. Rows of repeated fingerprints only; equal bytes fold before the shuffle.
-    ids = rows.join(many.select("fp"), "fp", "left_semi").select("doc_id").distinct()
-    texts = src.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    some = stored(rows.join(many.select("fp"), "fp", "left_semi"), "exact-some")
     same = (
-        texts.mapInArrow(_normalised, "fp long, text_sha256 string, body binary")
+        with_ids(src, stored(some.select("doc_id").distinct(), "exact-ids")).mapInArrow(_normalised, "fp long, text_sha256 string, body binary")
         .groupBy("fp", "text_sha256").agg(F.min("body").alias("lo"), F.max("body").alias("hi"))
         .filter("lo = hi").select("fp", "text_sha256")
     )
     best = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "row_id")
-    groups = (
-        rows.join(many.select("fp"), "fp", "left_semi")
-        .groupBy("fp", "text_sha256").agg(F.max(best).alias("best"), F.count("*").alias("size"))
-        .filter("size > 1").join(same, ["fp", "text_sha256"], "left_semi")
-    )
+    groups = some.groupBy("fp", "text_sha256").agg(F.max(best).alias("best"), F.count("*").alias("size")).filter("size > 1")
+    groups = stored(groups.join(same, ["fp", "text_sha256"], "left_semi"), "exact-groups")
+    # groups is read from files, so where one text's rows make a hot key AQE may split their side of the join
     joined = rows.join(groups, ["fp", "text_sha256"], "left")
     alone = F.col("best").isNull()
     return joined.select(
-        "doc_id",
+        "row_id", "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("row_id") == F.col("best.row_id"))).alias("kept"),
@@ -140,18 +141,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows that exact_dedup drops."""
-    found = stored(exact_dedup(docs), "exact-kept")
-    kept = found.filter("kept").select("doc_id", "text_sha256").distinct()
-    repeats = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeats.isEmpty():
-        return keep_ids(docs, kept)
-    # A doc_id on several rows does not name a row: those rows are told apart by their texts.
-    repeats = stored(repeats, "exact-repeats")
+    """docs, all columns, without the rows that exact_dedup drops.
+
+    Rows go by the ids of the dropped ones, which are fewer than those that stay. A doc_id that is on several rows
+    does not name a row: its rows are told apart by their texts.
+    """
+    found = stored(_verdicts(docs, "doc_id", "text", None), "exact-verdicts")
+    gone = stored(found.filter("NOT kept").select("doc_id").distinct(), "exact-dropped")
+    repeats = stored(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "exact-repeats")
     rows = packed(docs)
-    once = keep_ids(keep_ids(rows, repeats, "left_anti"), kept)
+    if repeats.isEmpty():
+        return with_ids(rows, gone, "left_anti").select("row.*")
+    once = with_ids(with_ids(rows, repeats, "left_anti"), gone, "left_anti")
     body = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    many = keep_ids(rows, repeats).withColumn("text_sha256", F.sha2(body, 256)).dropDuplicates(["doc_id", "text_sha256"])
-    wanted = kept.select(F.col("doc_id").alias("want_id"), F.col("text_sha256").alias("want_sha"))
+    many = with_ids(rows, repeats).withColumn("text_sha256", F.sha2(body, 256)).dropDuplicates(["doc_id", "text_sha256"])
+    wanted = found.filter("kept").select(F.col("doc_id").alias("want_id"), F.col("text_sha256").alias("want_sha"))
     many = many.join(wanted, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_sha256") == F.col("want_sha")), "left_semi")
     return once.select("row.*").union(many.select("row.*"))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ids_and_text, keep_ids, stored
+from tidewell.llm.common import ids_and_text, packed, stored, with_ids
 
 UNIVERSE = 1 << 20
 BANDS, ROWS = 40, 6
@@ -268,13 +268,13 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     """Per row: doc_id, n_shingles, component_id and kept (doc_id = component_id)."""
     width = bands * rows
     src = ids_and_text(docs, id_col, text_col)
-    sets = stored(signatures(src, shingle, bands, rows), "near-sets")
+    sets = stored(signatures(src, shingle, bands, rows).withColumn("row_id", F.monotonically_increasing_id()), "near-sets")
     known = sets.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
-    # equal sets need no verification; their rows follow the class's least id
-    folded = stored(known.select("doc_id", "digest").join(classes.filter("n > 1"), "digest").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")), "near-folded")
-    rest = known.join(folded.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
-    sigs = stored(rest.select(F.col("doc_id").alias("id"), "sig"), "near-sigs")
+    first = F.min(F.struct("doc_id", "row_id"))
+    classes = stored(known.groupBy("digest").agg(first.alias("first"), F.count("*").alias("n")), "near-classes")
+    # equal sets are one class, searched under its least id; its other rows join its component at the end
+    folded = stored(known.select("row_id", "digest", "doc_id").join(classes.filter("n > 1"), "digest").select("row_id", "doc_id", F.col("first.doc_id").alias("id")), "near-folded")
+    sigs = stored(known.select("row_id", "sig").join(classes.select(F.col("first.row_id").alias("row_id"), F.col("first.doc_id").alias("id")), "row_id").select("id", "sig"), "near-sigs")
     keys = band_keys(sigs, bands, rows)
     shared = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
     buckets = stored(keys.join(shared, "key"), "near-buckets")
@@ -283,18 +283,24 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     joins = stored(across_clusters(buckets.select("key", "id"), sigs, connected(agree), width, SCREEN), "near-agree")
     clusters = connected(agree.union(joins))
     # whole texts move once: those of clusters, by id
-    texts = stored(src.join(clusters.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "near-texts")
+    texts = stored(with_ids(src, clusters.select(F.col("id").alias("doc_id"))).select(F.col("doc_id").alias("id"), "text"), "near-texts")
     links = stored(verified(agree, texts, shingle, percent), "near-links")
     more = stored(links_in_clusters(texts, clusters, connected(links), shingle, percent), "near-links")
-    labels = connected(links.union(more).union(folded))
-    out = sets.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("label", "doc_id"))
+    # a doc_id on rows of several classes links them
+    one = known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    of_repeats = known.join(one, "doc_id", "left_semi").select("doc_id", "digest").join(classes.select("digest", F.col("first.doc_id").alias("id")), "digest")
+    bridges = of_repeats.filter("id <> doc_id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    labels = connected(links.union(more).union(bridges))
+    joined = sets.select("doc_id", "n_shingles", "row_id").join(folded.select("row_id", "id"), "row_id", "left").withColumn("id", F.coalesce("id", "doc_id"))
+    out = joined.join(labels, "id", "left").withColumn("component_id", F.coalesce("label", "id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs, all columns, with one document of each near-duplicate group."""
-    found = stored(near_components(docs, shingle, percent), "near-kept")
-    return keep_ids(docs, found.filter("kept").select("doc_id").distinct())
+    """docs, all columns, with one document of each near-duplicate group; rows of one doc_id stay or go together."""
+    found = near_components(docs, shingle, percent)
+    gone = stored(found.filter("NOT kept").select("doc_id").distinct(), "near-dropped")
+    return with_ids(packed(docs), gone, "left_anti").select("row.*")
 
 
 NEAR_SQL_PERCENT = 80

@@ -6,8 +6,8 @@
    be) by multiplicative weights, until the least covered length is covered; a knapsack dynamic
    program prices the lengths and gives the next configurations. Round, then place what is left
    best-fit, all in run lengths.
-4. Rank the pieces of each length (salted, so that a length with a third of all rows spreads)
-   and join ranks to the plan's runs. Only ids, lengths and ranks move. Where documents have
+4. Rank the pieces of each length (in ranges of their hash, so that a length with a third of all
+   rows spreads) and join ranks to the plan's runs. Only ids, lengths and ranks move. Where documents have
    slots of a schedule, pieces of a length rank by slot, and sequences are numbered by the
    earliest slot in them.
 
@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ids_and_text, salted_rank, stored
+from tidewell.llm.common import ids_and_text, parts_for, ranks_of_hash, running, stored
 
 log = logging.getLogger(__name__)
-PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "_slot"]
 # fixed value: the pieces that byte-level BPE of this kind merges within
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -84,7 +84,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", slot_col: str | None = None) -> DataFrame:
     """doc_id, piece, start, length and crc32 of each piece of each document; _slot too where slot_col is given."""
-    fields = [(n, t) for n, t in zip(PIECE_NAMES, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))][: 6 if slot_col else 5]
+    fields = [(n, t) for n, t in zip(PIECE_NAMES, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))][: 6 if slot_col else 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
@@ -261,25 +261,27 @@ def plan_runs(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, in
     return runs
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, salts: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """pieces with sequence_id and offset; pieces must be stored (it is read twice)."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = plan_runs(solve(histogram, capacity))
-    plan = spark.createDataFrame(runs, "length int, first long, ranks long, sequence long, copies long, place long")
+    plan = spark.createDataFrame(runs, "length long, first long, ranks long, sequence long, copies long, place long")
     # One list of runs for each length: at most `capacity` rows, each found by bisection on the first rank.
     by_length = plan.groupBy(F.col("length").alias("_length")).agg(F.array_sort(F.collect_list(F.struct("first", "sequence", "copies", "place"))).alias("runs"))
     scheduled = "_slot" in pieces.columns
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts))
-    order = [F.col("doc_id"), F.col("piece"), F.col("start"), F.col("ids_crc32")]
+    parts = parts_for(spark)
+    order = [F.col("_h"), F.col("doc_id"), F.col("piece"), F.col("start"), F.col("ids_crc32")]
+    keyed = pieces.withColumn("_h", F.shiftrightunsigned(F.xxhash64("doc_id", "piece"), 4))
+    part, of_slots = ranks_of_hash(F.col("_h"), parts), None
     if scheduled:
-        # ranges of slots take the place of hashes: wherever their ends lie, the ranks are the same
-        ends = sorted(set(pieces.approxQuantile("_slot", [k / salts for k in range(1, salts)], 0.002)))
-        within_ends = lambda slot: F.size(F.filter(F.array(*[F.lit(int(e)) for e in ends]).cast("array<bigint>"), lambda e: e < slot))
-        salt, order = within_ends(F.col("_slot")), [F.col("_slot"), F.xxhash64("doc_id", "piece"), *order]
-    ranked = salted_rank(pieces, ["length"], order, salt, "rank")
+        # ranges of slots take the place of ranges of hashes
+        last = (pieces.agg(F.max("_slot")).first()[0] or 0) + 1
+        of_slots = lambda slot: F.floor(slot * F.lit(parts) / F.lit(last)).cast("int")
+        part, order = of_slots(F.col("_slot")), [F.col("_slot"), *order]
+    ranked = running(keyed.withColumn("_part", part), ["length"], "_part", order, "rank")
     run = F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("rank")), -1)
-    j = ranked.join(by_length, F.col("length") == F.col("_length")).withColumn("_run", run)
+    j = ranked.join(F.broadcast(by_length), F.col("length") == F.col("_length")).withColumn("_run", run)  # at most `capacity` rows
     within = F.col("rank") - F.col("_run.first")
     placed = j.select(
         *pieces.columns,
@@ -289,8 +291,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, salts: int = 64) -> DataFrame:
     if not scheduled:
         return placed
     placed = stored(placed, "placed")
-    first = placed.groupBy("sequence_id").agg(F.min("_slot").alias("_first")).withColumn("_all", F.lit(0))
-    number = salted_rank(first, ["_all"], [F.col("_first"), F.col("sequence_id")], within_ends(F.col("_first")), "_number").select(F.col("sequence_id").alias("_sequence"), "_number")
+    first = stored(placed.groupBy("sequence_id").agg(F.min("_slot").alias("_first")).withColumn("_part", of_slots(F.col("_first"))), "sequences")
+    number = running(first, [], "_part", [F.col("_first"), F.col("sequence_id")], "_number").select(F.col("sequence_id").alias("_sequence"), "_number")
     return placed.join(number, F.col("sequence_id") == F.col("_sequence")).select(*[c for c in pieces.columns if c != "_slot"], F.col("_number").cast("long").alias("sequence_id"), "offset")
 
 
