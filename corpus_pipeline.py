@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import stored
 from tidewell.llm.exact_dedup import drop_exact_copies
-from tidewell.llm.mixing import in_schedule_order
+from tidewell.llm.mixing import with_slots
 from tidewell.llm.near_dedup import drop_near_copies
 from tidewell.llm.packing import pack_documents
 from tidewell.llm.quality import keep_good
@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict[str, float] | None = None) -> DataFrame:
     """Every document, with the slot of its source's scheduled block, for the packing."""
-    return in_schedule_order(docs, "slot", weights=weights).select(*COLUMNS, "slot")
+    return with_slots(docs, "slot", weights=weights).select(*COLUMNS, "slot")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
