@@ -148,12 +148,70 @@ def test_suffix_dedup(make, corpus, span):
     assert got == sorted(want)
 
 
-def test_hot_anchors_are_dealt_by_window(make, corpus, monkeypatch):
+@pytest.mark.parametrize("heavy", [1, 200])
+def test_heavy_prefixes_are_lengthened(make, corpus, monkeypatch, heavy):
+    """Prefixes over the budget get longer ones, at last whole windows; the rows stay."""
     from tidewell.llm import repeats
 
-    want = sorted(map(str, substring_dedup(make(corpus), 13).collect()))
-    monkeypatch.setattr(repeats, "HOT", 1)
-    assert sorted(map(str, substring_dedup(make(corpus), 13).collect())) == want
+    rows = [r for r in corpus if r[0] != 500]
+    finds = (lambda: substring_dedup(make(rows), 13), lambda: suffix_dedup.suffix_dedup(make(rows), 40, 10))
+    want = [sorted(map(str, f().collect())) for f in finds]
+    seen = []
+    f = repeats.longer
+    monkeypatch.setattr(repeats, "longer", lambda s, k, whole: seen.append(whole) or f(s, k, whole))
+    monkeypatch.setattr(repeats, "GROUP_BYTES", heavy)
+    assert [sorted(map(str, f().collect())) for f in finds] == want
+    assert False in seen and (heavy > 1 or True in seen)
+
+
+def test_equal_stretches_fold_before_they_are_grouped(make, monkeypatch):
+    """A passage of many texts, in two surroundings, is a few rows when groups are made, however many texts there are."""
+    from tidewell.llm import repeats
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*(f"a{i}x{k}" for k in range(3)), *words, *(f"b{i}x{k}" for k in range(3))])) for i in range(200)]
+    sizes = []
+    f = repeats.in_groups
+    monkeypatch.setattr(repeats, "in_groups", lambda s, d, g: sizes.append((s.count(), s.agg({"n": "max"}).first()[0])) or f(s, d, g))
+    got = substring_dedup(make(rows), 13).collect()
+    assert sum(r.n_removed for r in got) == 199 * 60 and sizes[0][1] == 200
+
+
+def test_suffix_tree_nodes():
+    """Every maximal repeat of random words at least so long is a node, and deeper ones exist."""
+    from tidewell.llm.substring_dedup import internal_nodes, suffix_tree
+
+    import numpy as np
+
+    r = random.Random(2)
+    span = 3
+    bodies = [np.array([r.randint(0, 2) for _ in range(r.randint(3, 9))], np.uint64) for _ in range(30)]
+    windows = np.array([len(b) - span + 1 for b in bodies])
+    stretch, offset, common = suffix_tree([b.tobytes() for b in bodies], windows, span)
+    suffixes = [tuple(bodies[s][o:].tolist()) for s, o in zip(stretch, offset)]
+    assert suffixes == sorted(suffixes) and len(suffixes) == windows.sum()
+    got = {(d, suffixes[a][:d]): b - a + 1 for d, a, b in internal_nodes(common, span)}
+    prefixes = Counter(s[:d] for s in suffixes for d in range(span, len(s) + 1))
+    branching = {p for p, n in prefixes.items() if n > 1 and (len({s[len(p) : len(p) + 1] for s in suffixes if s[: len(p)] == p}) > 1 or p in suffixes)}
+    assert set(got) == {(len(p), p) for p in branching} and all(prefixes[p] == n for (_, p), n in got.items())
+    assert max(d for d, _ in got) > span
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefghijklmnop"])
+def test_the_suffix_array_decides(letters, monkeypatch):
+    """Windows by the array equal windows by brute force, on random and periodic bytes; without the array nothing but cutless windows is found."""
+    import numpy as np
+
+    r = random.Random(6)
+    base = "".join(r.choice(letters) for _ in range(400))
+    bodies = list({(base[(a := r.randrange(300)) : a + r.randint(60, 90)] + "".join(r.choice(letters) for _ in range(r.randint(0, 30)))).encode() for _ in range(40)} | {b"ab" * 40, b"z" * 70})
+    times = np.array([1 + (k % 7 == 0) for k in range(len(bodies))])
+    got = set(zip(*(x.tolist() for x in suffix_dedup.repeated(bodies, times, 50))))
+    n = Counter(b[k : k + 50] for b in bodies for k in range(len(b) - 49))
+    want = {(i, k) for i, b in enumerate(bodies) for k in range(len(b) - 49) if n[b[k : k + 50]] > 1 or times[i] > 1}
+    assert got == want
+    monkeypatch.setattr(suffix_dedup, "right_runs", lambda data, cut, end, span: (np.arange(len(cut)), np.zeros(len(cut), np.int64)))
+    assert len(suffix_dedup.repeated(bodies, np.ones(len(bodies), int), 50)[0]) < len(want) / 2
 
 
 def test_linear_grouping_sorts_suffixes():

@@ -7,10 +7,14 @@ an anchor found once rules out all windows it stands for. The steps, all keyed a
 1. classes: equal texts fold into one class; only one row of each class goes on.
 2. anchors: each partition sends its anchors' hashes, sorted and packed by bucket; a bucket
    merges the runs and returns those that stand in two classes (or, if asked, twice in one).
-3. contexts: texts with such anchors give, for each, the stretch of windows it stands for.
-   Stretches go to the bucket of
-   their anchor, where equal windows meet; a too frequent anchor's windows go to buckets of
-   their own content, so that no bucket grows with one passage.
+3. stretches: texts with such anchors give, for each, the stretch of windows it stands for.
+   Equal stretches fold into one row (count, least doc_id) before they meet others, so a passage
+   of any frequency is one row for each partition.
+4. groups: distinct stretches go to groups by a prefix, the anchor. Prefixes whose stretches hold
+   more than GROUP_BYTES are lengthened by what stands beside the anchor, and if that is still
+   too much, to the whole window, where no group is needed: equal windows fold. The number of
+   groups follows the counted bytes.
+5. Verdicts come back by stretch, then by text, and texts with repeats are rewritten.
 """
 
 from __future__ import annotations
@@ -24,13 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import stored
+from tidewell.llm.common import FEW_ROWS, stored
 
-LAST_ID = (1 << 63) - 1  # a null doc_id stands after all others
+LAST_ID = (1 << 63) - 1  # where a null doc_id stands in order
 MULT = np.uint64(0x9E3779B97F4A7C15)
-HOT = 20_000  # classes an anchor may stand in before its windows are dealt by their content
+GROUP_BYTES = 8 << 20  # of one prefix's distinct stretches
 FLUSH = 1 << 20
-CLASS = "doc_id long, digest binary, n long, sha256 string"
+CLASS = "doc_id long, place long, digest binary, n long, sha256 string"
+STRETCH = "sid binary, key long, at int, windows int, body binary"
 
 
 @dataclass(frozen=True)
@@ -43,6 +48,7 @@ class Kind:
     body: Callable[[str | None], bytes]
     symbols: Callable[[bytes], np.ndarray]  # uint64 values that stand for the symbols
     stretch: Callable[[bytes, np.ndarray, int, int], bytes]  # what a context of symbols [a, b) carries
+    unit: int  # bytes of a symbol in it
     size: Callable[[bytes], int]
 
     @property
@@ -106,20 +112,20 @@ def digest(body: bytes) -> bytes:
 
 
 def classes(docs: DataFrame, kind: Kind) -> DataFrame:
-    """doc_id, digest, size and sha256 of every row's canonical body."""
+    """doc_id, place, digest, size and sha256 of every row's canonical body."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bodies = [kind.body(t) for t in b.column("text").to_pylist()]
             cols = [pa.array([digest(x) for x in bodies], pa.binary()), pa.array([kind.size(x) for x in bodies], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in bodies], pa.string())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "digest", "n", "sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("place"), *cols], ["doc_id", "place", "digest", "n", "sha256"])
 
     return docs.mapInArrow(run, CLASS)
 
 
 def repeated_anchors(docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
-    """c64 (first half of the class digest) and fp of every anchor that repeats; fp's last bit is set if it is hot."""
+    """c64 (first half of the class digest) and fp of every anchor that repeats."""
 
     def emit(fps: list, ids: list, twice: list) -> pa.RecordBatch:
         f, c, m = np.concatenate(fps), np.concatenate(ids), np.concatenate(twice)
@@ -167,95 +173,161 @@ def repeated_anchors(docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
         if kind.within:
             many |= np.maximum.reduceat(m, start) > 0
         row = np.repeat(many, n)
-        hot = np.repeat(n > HOT, n)[row].astype(np.uint64)
-        return pa.table({"c64": c[row], "fp": (f[row] | hot).view(np.int64)})
+        return pa.table({"c64": c[row], "fp": f[row].view(np.int64)})
 
     return docs.mapInArrow(send, "bucket int, fps binary, ids binary, twice binary").groupBy("bucket").applyInArrow(merge, "c64 long, fp long")
 
 
-def contexts(cand: DataFrame, kind: Kind, buckets: int) -> DataFrame:
-    """bucket, digest, doc_id, starts, windows and body of each stretch of possible repeats.
+def stretch_id(key: int, part: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(key.to_bytes(8, "little", signed=True) + part)
+
+
+def signed(x) -> int:
+    return int(np.uint64(x).view(np.int64))
+
+
+def contexts(cand: DataFrame, kind: Kind) -> DataFrame:
+    """digest, place, starts and the stretch (sid, key, at: its anchor's place in it, windows, body) of possible repeats.
 
     A text's equal stretches are one row, so that a line repeated all through it is sent once.
     """
 
-    def rows(body: bytes, known: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    def rows(body: bytes, known: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
         symbols = kind.symbols(body)
         h, place = anchors(symbols, kind)
         if not len(place):
             return
-        at = np.minimum(np.searchsorted(known & ~np.uint64(1), h), len(known) - 1)
-        good = ((known[at] & ~np.uint64(1)) == h)[place]
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        good = (known[at] == h)[place]
         if not good.any():
             return
         edge = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (good[1:] != good[:-1])])
         for a, b in zip(edge, np.r_[edge[1:], len(place)]):
-            if not good[a]:
-                continue
-            fp = h[place[a]]
-            if known[at[place[a]]] & np.uint64(1):
-                for s in range(a, b):
-                    part = kind.stretch(body, symbols, s, s + kind.span)
-                    yield xxhash.xxh3_64_intdigest(part) % buckets, s, 1, part
-            else:
-                yield int((fp >> np.uint64(20)) % np.uint64(buckets)), int(a), int(b - a), kind.stretch(body, symbols, a, b - 1 + kind.span)
+            if good[a]:
+                yield signed(h[place[a]]), int(a), int(place[a] - a), int(b - a), kind.stretch(body, symbols, a, b - 1 + kind.span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        names = ["digest", "place", "starts", "sid", "key", "at", "windows", "body"]
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 b = batch.slice(at, 64)
                 out = []
-                for doc_id, text, dig, fps in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "digest")), b.column("fps")):
+                for place, text, dig, fps in zip(*(b.column(c).to_pylist() for c in ("place", "text", "digest")), b.column("fps")):
                     body = kind.body(text)
                     if digest(body) != dig:  # another text under the same doc_id
                         continue
                     known = np.sort(fps.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                    equal: dict[tuple[int, int, bytes], list[int]] = {}
-                    for k, s, n, part in rows(body, known):
-                        equal.setdefault((k, n, part), []).append(s)
-                    out += [(k, dig, doc_id, starts, n, part) for (k, n, part), starts in equal.items()]
-                cols = list(zip(*out)) or [[]] * 6
-                kinds = (pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "digest", "doc_id", "starts", "windows", "body"])
+                    equal: dict[tuple[int, int, int, bytes], list[int]] = {}
+                    for key, s, a, n, part in rows(body, known):
+                        equal.setdefault((key, a, n, part), []).append(s)
+                    out += [(dig, place, starts, stretch_id(key, part), key, a, n, part) for (key, a, n, part), starts in equal.items()]
+                cols = list(zip(*out)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+    return cand.mapInArrow(run, f"digest binary, place long, starts array<int>, {STRETCH}")
+
+
+def longer(stretches: DataFrame, kind: Kind, whole: bool) -> DataFrame:
+    """Stretches of heavy prefixes cut into parts with longer ones: parent sid, offset in it, and the part's own columns.
+
+    A window with its anchor in the second half takes the symbols before the anchor into its
+    prefix, any other those after it; whole: each window is a prefix of its own.
+    """
+    u, k, span = kind.unit, kind.k, kind.span
+    mid = (span - k) // 2
+    more = min(mid, span - k - mid)
+
+    def parts(key: int, at: int, windows: int, body: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
+        if whole:
+            for s in range(windows):
+                part = body[s * u : (s + span) * u]
+                yield s, xxhash.xxh3_64_intdigest(part), at - s, 1, part
+            return
+        split = min(windows, max(0, at - mid + 1))
+        if split:
+            yield 0, xxhash.xxh3_64_intdigest(b"<" + body[(at - more) * u : (at + k) * u]), at, split, body[: (split - 1 + span) * u]
+        if split < windows:
+            yield split, xxhash.xxh3_64_intdigest(b">" + body[at * u : (at + k + more) * u]), at - split, windows - split, body[split * u : (windows - 1 + span) * u]
 
-    return cand.mapInArrow(run, "bucket int, digest binary, doc_id long, starts array<int>, windows int, body binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        names = ["parent", "offset", "sid", "key", "at", "windows", "body", "n", "least"]
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                out = []
+                for sid, key, at, windows, body, n, least in zip(*(batch.slice(first, 256).column(c).to_pylist() for c in ("sid", "key", "at", "windows", "body", "n", "least"))):
+                    for offset, new, place, w, part in parts(key, at, windows, body):
+                        out.append((sid, offset, stretch_id(signed(new), part), signed(new), place, w, part, n, least))
+                cols = list(zip(*out)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+
+    return stretches.select("sid", "key", "at", "windows", "body", "n", "least").mapInArrow(run, f"parent binary, offset int, {STRETCH}, n long, least long")
+
+
+VERDICT = "sid binary, offset int, windows int, least long"
+
+
+def verdicts(stretches: DataFrame, kind: Kind, decide: Callable[[pa.Table], pa.Table], group_bytes: int, level: int = 0) -> DataFrame:
+    """(sid, offset, windows, least): windows of distinct stretches that repeat, and the least doc_id of them.
+
+    stretches (stored): sid, key, at, windows, body, n (times), least.
+    """
+    weight = F.sum(F.length("body"))
+    heavy = stored(stretches.groupBy("key").agg(weight.alias("bytes")).filter(F.col("bytes") > group_bytes).select(F.col("key").alias("heavy")), "repeat-heavy")
+    n = heavy.count()
+    if not n:
+        return in_groups(stretches, decide, group_bytes)
+    side = F.broadcast(heavy) if n <= FEW_ROWS else heavy
+    light = stretches.join(side, F.col("key") == F.col("heavy"), "left_anti")
+    parts = stored(longer(stretches.join(side, F.col("key") == F.col("heavy"), "left_semi"), kind, level > 0), "repeat-longer")
+    folded = stored(parts.groupBy("sid", "key", "at", "windows", "body").agg(F.sum("n").alias("n"), F.min("least").alias("least")), "repeat-stretches")
+    if level:  # the prefix is the whole window: nothing is left to compare
+        below = folded.filter("n > 1").select("sid", F.lit(0).alias("offset"), "windows", "least")
+    else:
+        below = verdicts(folded, kind, decide, group_bytes, level + 1)
+    below = stored(below, "repeat-verdicts").withColumnRenamed("offset", "inner")
+    back = parts.select("parent", "offset", "sid").join(below, "sid").select(F.col("parent").alias("sid"), (F.col("offset") + F.col("inner")).alias("offset"), "windows", "least")
+    return in_groups(light, decide, group_bytes).union(back)
 
 
-def times_in_text(t: pa.Table) -> np.ndarray:
-    return np.array(t.column("starts").combine_chunks().value_lengths())
+def in_groups(stretches: DataFrame, decide: Callable[[pa.Table], pa.Table], group_bytes: int) -> DataFrame:
+    """Verdicts of stretches in groups of some group_bytes / 2, prefixes kept whole."""
+    total = stretches.agg(F.sum(F.length("body"))).first()[0] or 0
+    groups = max(1, -(-2 * total // group_bytes))
+    dealt = stretches.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(groups)))
+    return dealt.select("bucket", "sid", "windows", "body", "n", "least").groupBy("bucket").applyInArrow(decide, VERDICT)
 
 
-def at_each_start(t: pa.Table, row: np.ndarray, offset: np.ndarray, windows: np.ndarray) -> pa.Table:
-    """digest, start and windows of runs (row of t, offset in its stretch, windows), at each start of the row."""
-    starts = t.column("starts").combine_chunks()
-    flat, first, times = np.array(starts.flatten()), np.r_[0, np.cumsum(times_in_text(t))], times_in_text(t)
-    n = times[row]
-    each = np.repeat(np.arange(len(row)), n)
-    place = np.repeat(first[row], n) + np.arange(len(each)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
-    start = flat[place] + offset[each]
-    return pa.table({"digest": t.column("digest").take(pa.array(row[each])), "start": pa.array(start.astype(np.int32)), "windows": pa.array(windows[each].astype(np.int32))})
+NOTHING = pa.table({"sid": pa.array([], pa.binary()), "offset": pa.array([], pa.int32()), "windows": pa.array([], pa.int32()), "least": pa.array([], pa.int64())})
 
 
-NOTHING = {"digest": pa.array([], pa.binary()), "start": pa.array([], pa.int32()), "windows": pa.array([], pa.int32())}
+def verdict_table(sids: pa.ChunkedArray, stretch: np.ndarray, offset: np.ndarray, windows: np.ndarray, least: np.ndarray) -> pa.Table:
+    return pa.table({"sid": sids.take(pa.array(stretch)), "offset": pa.array(offset.astype(np.int32)), "windows": pa.array(windows.astype(np.int32)), "least": pa.array(least.astype(np.int64))})
 
 
-def repeats(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], pa.Table], finish: Callable, out: str, buckets: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeats(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], pa.Table], finish: Callable, out: str, later_only: bool, group_bytes: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, folded classes, results of the classes with repeats).
 
-    decide: a bucket's contexts to (digest, start, windows), runs of windows to remove.
-    finish: (text, starts, windows) to the tuple of result columns `out`.
+    decide: a group's distinct stretches to verdicts. later_only: a window stays in the text of its
+    least doc_id. finish: (text, starts, windows) to the tuple of result columns `out`.
     """
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)))
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.withColumn("place", F.coalesce("doc_id", F.lit(LAST_ID)))
     rows = stored(classes(docs, kind), "repeat-rows")
-    folded = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "repeat-classes")
+    folded = stored(rows.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("copies")), "repeat-classes")
     found = repeated_anchors(docs, kind, buckets).groupBy("c64").agg(F.collect_list("fp").alias("fps"))
-    key = _half(folded)
-    cand = found.join(key, "c64").select("digest", "first", "fps")
-    cand = stored(docs.join(cand, docs["doc_id"] == cand["first"]).select("doc_id", "text", "digest", "fps"), "repeat-candidates")
-    runs = contexts(cand, kind, buckets).groupBy("bucket").applyInArrow(decide, "digest binary, start int, windows int")
-    runs = runs.groupBy("digest").agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("windows"))
+    cand = found.join(_half(folded), "c64").select("digest", "first", "fps")
+    cand = stored(docs.join(cand, docs["place"] == cand["first"]).select("place", "text", "digest", "fps"), "repeat-candidates")
+    places = stored(contexts(cand, kind), "repeat-places")
+    stretches = stored(places.groupBy("sid", "key", "at", "windows", "body").agg(F.sum(F.size("starts")).alias("n"), F.min("place").alias("least")), "repeat-stretches")
+    found = stored(verdicts(stretches, kind, decide, group_bytes or GROUP_BYTES), "repeat-verdicts").withColumnRenamed("windows", "many")
+    # both sides are files: where one passage makes a hot stretch, AQE may split its rows
+    hits = places.select("sid", "digest", "place", "starts").join(found, "sid")
+    if later_only:
+        hits = hits.filter("place > least")
+    runs = hits.select("digest", F.explode("starts").alias("start"), "offset", "many").groupBy("digest").agg(F.collect_list((F.col("start") + F.col("offset")).cast("int")).alias("starts"), F.collect_list("many").alias("windows"))
 
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in out.split(", ")]

@@ -1,11 +1,12 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
 A suffix is a word position with the words that follow it. Suffixes that may repeat (see
-repeats.py) are split into groups by a prefix: the four words at their window's anchor, or,
-where those are too frequent, the whole window; so each group fits a task. In a group the
-suffixes are sorted by their words, the common prefix lengths of neighbours give the tree's
-internal nodes, and every node at least `span` words deep is a repeat: of the documents below it
-the one with the smallest doc_id keeps the words, the others lose them.
+repeats.py) are split into groups by a prefix of variable length: the words of their window's
+anchor, with more words beside it where a counted prefix is too heavy for a group, up to the
+whole window. In a group the suffixes are sorted by all their words to the end of their stretch,
+and a stack over the common prefix lengths of neighbours gives the tree's internal nodes. A node
+`span` or more words deep is a maximal repeat: of the documents below it the one with the
+smallest doc_id keeps the words, the others lose them.
 
 Defined results: a null text has no words; a null doc_id stands after all others; rows that
 repeat a doc_id are one document (their repeats of each other stay) unless they are copies; of
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import ids_and_text
-from tidewell.llm.repeats import LAST_ID, NOTHING, Kind, at_each_start, repeats
+from tidewell.llm.repeats import NOTHING, Kind, repeats, verdict_table
 
 WORDS_CACHED = 1_000_000
 _words: dict[bytes, int] = {}
@@ -44,8 +45,8 @@ def word_hashes(joined: bytes) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
-def word_kind(span: int, k: int = 4) -> Kind:
-    return Kind(span, k, False, body, word_hashes, lambda b, s, i, j: s[i:j].tobytes(), lambda b: b.count(b" ") + 1 if b else 0)
+def word_kind(span: int, k: int) -> Kind:
+    return Kind(span, k, False, body, word_hashes, lambda b, s, i, j: s[i:j].tobytes(), 8, lambda b: b.count(b" ") + 1 if b else 0)
 
 
 def runs_of(context: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,36 +56,64 @@ def runs_of(context: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndar
     return context[at], start[at], np.diff(np.r_[at, len(start)])
 
 
+def internal_nodes(common: np.ndarray, span: int) -> list[tuple[int, int, int]]:
+    """(depth, first leaf, last leaf) of the suffix tree's nodes at least `span` deep, by a stack over the leaves' common prefixes.
+
+    common[k]: how many words leaf k shares with leaf k - 1. A node comes after those below it.
+    """
+    nodes: list[tuple[int, int, int]] = []
+    deep = np.flatnonzero(common >= span)
+    stack: list[tuple[int, int]] = []  # (depth, first leaf)
+    before = -2
+    for k, depth in zip(deep.tolist(), common[deep].tolist()):
+        if k != before + 1:  # the leaf before shares too little with the one before it
+            nodes += [(d, first, before) for d, first in reversed(stack)]
+            stack = []
+        first = k - 1
+        while stack and stack[-1][0] > depth:
+            d, first = stack.pop()
+            nodes.append((d, first, before))
+        if not stack or stack[-1][0] < depth:
+            stack.append((depth, first))
+        before = k
+    return nodes + [(d, first, before) for d, first in reversed(stack)]
+
+
+def suffix_tree(bodies: list[bytes], windows: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch and offset of each leaf in order, common prefix with the leaf before) of the suffixes at the stretches' windows."""
+    words = np.unique(np.frombuffer(b"".join(bodies), np.uint64), return_inverse=True)[1].astype(np.int32) + 1
+    size = windows + (span - 1)
+    first = np.r_[0, np.cumsum(size[:-1])]
+    stretch = np.repeat(np.arange(len(windows)), windows)
+    offset = np.arange(len(stretch)) - np.repeat(np.r_[0, np.cumsum(windows[:-1])], windows)
+    longest = int(size.max())
+    place = (first[stretch] + offset)[:, None] + np.arange(longest)
+    grid = np.where(np.arange(longest) < (size[stretch] - offset)[:, None], words[np.minimum(place, len(words) - 1)], 0)  # 0: past the stretch's end
+    order = np.lexsort(grid.T[::-1])
+    grid = grid[order]
+    same = (grid[1:] == grid[:-1]) & (grid[1:] > 0)
+    common = np.r_[0, np.logical_and.accumulate(same, axis=1).sum(axis=1)]
+    return stretch[order], offset[order], common
+
+
 def deep_nodes(span: int):
-    """A group's suffix tree as sorted suffixes with common prefix lengths; its deep nodes' later leaves."""
+    """A group's verdicts: the windows below the tree's deep nodes, with the least doc_id there."""
 
     def decide(t: pa.Table) -> pa.Table:
-        bodies = t.column("body").to_pylist()
-        windows = t.column("windows").to_numpy()
-        docs = t.column("doc_id").to_numpy()
-        words = np.frombuffer(b"".join(bodies), np.uint64)
-        first = np.r_[0, np.cumsum(windows[:-1] + (span - 1))]
-        context = np.repeat(np.arange(len(windows)), windows)
-        offset = np.arange(len(context)) - np.repeat(np.r_[0, np.cumsum(windows[:-1])], windows)
-        suffix = first[context] + offset
-        if len(suffix) < 2:
-            return pa.table(NOTHING)
-        order = np.lexsort([words[suffix + d] for d in range(span - 1, -1, -1)])
-        ranked = suffix[order]
-        common = np.zeros(len(ranked), np.int32)  # with the suffix before
-        same = np.ones(len(ranked) - 1, bool)
-        for d in range(span):
-            same &= words[ranked[1:] + d] == words[ranked[:-1] + d]
-            common[1:] += same
-        node = np.flatnonzero(common < span)  # where a node of depth span, or a single leaf, begins
-        size = np.diff(np.r_[node, len(ranked)])
-        doc = docs[context[order]]
-        least = np.repeat(np.minimum.reduceat(doc, node), size)
-        out = np.sort(order[doc > least])
-        if not len(out):
-            return pa.table(NOTHING)
-        c, s, n = runs_of(context[out], offset[out])
-        return at_each_start(t, c, s, n)
+        windows, n, own = (t.column(c).to_numpy() for c in ("windows", "n", "least"))
+        stretch, offset, common = suffix_tree(t.column("body").to_pylist(), windows, span)
+        reach = np.where(n[stretch] > 1, windows[stretch] - offset, 0)  # windows from each leaf that repeat; copies of a stretch repeat to its end
+        least = own[stretch]
+        for depth, a, b in internal_nodes(common, span):  # a node comes after those below it: the shallowest, with most documents, has the last word
+            least[a : b + 1] = least[a : b + 1].min()
+            reach[a : b + 1] = depth - span + 1
+        at = np.flatnonzero(reach > 0)
+        at = at[np.lexsort((offset[at], stretch[at]))]
+        if not len(at):
+            return NOTHING
+        s, o, r, m = stretch[at], offset[at], reach[at], least[at]
+        new = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (o[1:] != o[:-1] + 1) | (m[1:] != m[:-1])])
+        return verdict_table(t.column("sid"), s[new], o[new], np.maximum.reduceat(o + r, new) - o[new], m[new])
 
     return decide
 
@@ -98,7 +127,7 @@ def covered(n: int, starts: list[int], windows: list[int], span: int) -> np.ndar
     return np.cumsum(step[:-1]) > 0
 
 
-def substring_dedup(docs: DataFrame, span: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, span: int = 13, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 and n_spans (runs of removed words)."""
 
     def finish(text: str | None, starts: list[int], windows: list[int]) -> tuple[int, int, str]:
@@ -108,12 +137,12 @@ def substring_dedup(docs: DataFrame, span: int = 13, id_col: str = "doc_id", tex
         return int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()), hashlib.sha256(kept).hexdigest()
 
     src = ids_and_text(docs, id_col, text_col)
-    rows, folded, results = repeats(src, word_kind(span), deep_nodes(span), finish, "n_removed long, n_spans long, kept string")
+    rows, folded, results = repeats(src, word_kind(span, min(k, span)), deep_nodes(span), finish, "n_removed long, n_spans long, kept string", True)
     joined = rows.join(folded, "digest").join(results, "digest", "left")
-    copy = (F.col("doc_id") > F.col("first")) & (F.col("n") >= span)
+    copy = (F.col("place") > F.col("first")) & (F.col("n") >= span)
     none = hashlib.sha256(b"").hexdigest()
     return joined.select(
-        F.nullif(F.col("doc_id"), F.lit(LAST_ID)).alias("doc_id"),
+        "doc_id",
         F.col("n").alias("n_words"),
         F.when(copy, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(none)).otherwise(F.coalesce("kept", "sha256")).alias("kept_sha256"),

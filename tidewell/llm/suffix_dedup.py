@@ -1,12 +1,17 @@
 """Suffix-array dedup of byte strings.
 
-Stretches of windows that may repeat (see repeats.py) meet in buckets. A bucket writes its
-distinct stretches as phrases, cut where the next bytes' hash says so, and builds one suffix
-array over the phrases by linear grouping: suffixes are grouped by their Lyndon prefix, groups
-are processed in descending order, previous-smaller pointers carry each group's content to the
-suffixes before it, and a last sweep emits each group's order; nothing is renamed or sorted
-again. Common prefix lengths of neighbours then tell how far each phrase start repeats; windows
-whose whole phrases do not repeat are out, the rest are compared by a hash of all their bytes.
+Distinct stretches of windows that may repeat (see repeats.py) meet in groups. A group writes
+them as phrases: a phrase runs from a cut to the end of the next cut's trigger, the eight bytes
+whose hash makes it a cut, so no phrase is the beginning of another. Phrases numbered in byte order
+make a text whose suffixes are in the order of the bytes. Its suffix array is built by linear
+grouping: suffixes are grouped by their Lyndon prefix, groups are processed in descending order,
+previous-smaller pointers carry each group's content to the suffixes before it, and a last sweep
+emits each group's order; nothing is renamed or sorted again.
+
+The array decides. Neighbours' common bytes cut it into runs that share `span - r` bytes; the
+bytes before a cut, sorted from their ends, are cut into runs that share r. Two windows whose first
+cut is r bytes in are equal exactly if both runs are the same. No window is hashed. The few
+windows without any cut are compared as they are.
 
 Defined results: a null text has no bytes; copies of `span` bytes or more lose all their bytes
 (each stands elsewhere), shorter texts none; rows that repeat a doc_id are texts like any
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import ids_and_text
-from tidewell.llm.repeats import LAST_ID, NOTHING, Kind, at_each_start, finished, gram_hashes, powers, repeats, times_in_text
+from tidewell.llm.repeats import NOTHING, Kind, gram_hashes, repeats, verdict_table
 from tidewell.llm.substring_dedup import covered, runs_of
 
 TRIGGER, PHRASE = 8, 32  # a phrase starts where the hash of the next 8 bytes is 0 mod 32
@@ -133,79 +138,100 @@ def neighbours_common(text: list[int], order: list[int]) -> list[int]:
     return common
 
 
-def phrase_reach(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase starts in data, bytes of whole phrases from each start that stand elsewhere too).
+def shared(a: bytes, b: bytes) -> int:
+    """How many bytes both begin with."""
+    top = min(len(a), len(b))
+    if a[:top] == b[:top]:
+        return top
+    return next(i for i in range(top) if a[i] != b[i])
+
+
+def right_runs(data: bytes, cut: np.ndarray, end: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each cut's bytes to the right, bytes that each rank shares with the one before, up to span).
 
-    Text k is data[first[k] : first[k] + size[k]]; phrases do not cross texts.
+    cut: ascending; end: where each cut's stretch ends.
     """
-    h = gram_hashes(LETTERS[data], TRIGGER)
+    last = np.r_[end[1:] != end[:-1], True]
+    upto = np.where(last, end, np.r_[cut[1:], 0] + TRIGGER)
+    # a stretch's last phrase is one of its own and stands before others that begin with its bytes
+    phrases = [(data[a:b], int(k) if x else len(cut)) for k, (a, b, x) in enumerate(zip(cut.tolist(), upto.tolist(), last.tolist()))]
+    number = {x: i for i, x in enumerate(sorted(set(phrases)))}
+    symbols = [number[x] for x in phrases]
+    order = suffix_array(symbols)
+    common = np.asarray(neighbours_common(symbols, order), np.int64)
+    order = np.asarray(order)
+    size = np.r_[0, np.cumsum(np.where(last, 0, np.r_[cut[1:], 0] - cut))]
+    same = size[order + common] - size[order]  # whole phrases
+    raw = np.frombuffer(data, np.uint8)
+    x, y = cut[order[1:]], cut[order[:-1]]
+    got, most = same[1:].copy(), np.minimum(np.minimum(end[order[1:]] - x, end[order[:-1]] - y), span)
+    live = np.flatnonzero(got < most)
+    while len(live):  # then byte by byte
+        live = live[raw[x[live] + got[live]] == raw[y[live] + got[live]]]
+        got[live] += 1
+        live = live[got[live] < most[live]]
+    rank = np.zeros(len(cut), np.int64)
+    rank[order] = np.arange(len(cut))
+    return rank, np.r_[0, got]
+
+
+def left_runs(data: bytes, cut: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same to the left, from each cut back to the cut before or the stretch's beginning; equal ones have one rank."""
+    back = [data[a:c][::-1] for a, c in zip(begin.tolist(), cut.tolist())]
+    names = sorted(set(back))
+    number = {x: i for i, x in enumerate(names)}
+    return np.array([number[x] for x in back], np.int64), np.array([0, *(shared(a, b) for a, b in zip(names, names[1:]))], np.int64)
+
+
+def repeated(bodies: list[bytes], times: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, offset) of the windows of distinct stretches that stand in two places."""
+    data = b"".join(bodies)
+    size = np.array([len(b) for b in bodies])
+    first = np.r_[0, np.cumsum(size[:-1])]
+    windows = size - span + 1
+    stretch = np.repeat(np.arange(len(size)), windows)
+    offset = np.arange(len(stretch)) - np.repeat(np.r_[0, np.cumsum(windows[:-1])], windows)
+    start = first[stretch] + offset
+    hit = times[stretch] > 1
+    h = gram_hashes(LETTERS[np.frombuffer(data, np.uint8)], TRIGGER)
     cut = np.flatnonzero(h % np.uint64(PHRASE) == 0)
     own = np.searchsorted(first, cut, side="right") - 1
     inside = cut + TRIGGER <= first[own] + size[own]
     cut, own = cut[inside], own[inside]
-    if not len(cut):
-        return cut, np.zeros(0, np.int64)
-    last = np.r_[own[1:] != own[:-1], True]  # what follows a text's last cut is no whole phrase
-    length = np.where(last, 0, np.r_[cut[1:], 0] - cut)
-    power = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(LETTERS[data] * power[:-1], out=total[1:])
-    inverse = np.uint64(pow(int(power[1]), -1, 1 << 64))
-    back = np.full(len(data) + 1, inverse, np.uint64)
-    back[0] = 1
-    back = np.multiply.accumulate(back)
-    name = finished((total[cut + length] - total[cut]) * back[cut]) + length.astype(np.uint64)
-    _, letter = np.unique(name, return_inverse=True)
-    ends = int(last.sum())
-    symbols = np.where(last, np.cumsum(last) - 1, letter + ends).tolist()  # each text ends in a symbol of its own, below all others
-    order = suffix_array(symbols)
-    common = np.asarray(neighbours_common(symbols, order))
-    best = np.maximum(common, np.r_[common[1:], 0])
-    shared = np.zeros(len(cut), np.int64)
-    shared[np.asarray(order)] = best
-    upto = np.r_[0, np.cumsum(length)]
-    k = np.arange(len(cut))
-    return cut, upto[k + shared] - upto[k]
+    at = np.searchsorted(cut, start)
+    has = at < len(cut)
+    has[has] = cut[at[has]] + TRIGGER <= start[has] + span
+    if len(cut):
+        rank, right = right_runs(data, cut, first[own] + size[own], span)
+        begin = np.where(np.r_[True, own[1:] != own[:-1]], first[own], np.r_[0, cut[:-1]])
+        lrank, left = left_runs(data, cut, begin)
+        where = np.flatnonzero(has)
+        r = cut[at[where]] - start[where]
+        by_r = np.argsort(r, kind="stable")
+        for part in np.split(by_r, np.flatnonzero(np.diff(r[by_r])) + 1):
+            if not len(part):
+                continue
+            mine, depth = at[where[part]], int(r[part[0]])
+            run = np.cumsum(right < span - depth)[rank[mine]] * np.int64(len(left) + 1) + np.cumsum(left < depth)[lrank[mine]]
+            _, group, n = np.unique(run, return_inverse=True, return_counts=True)
+            hit[where[part]] |= n[group] > 1
+    seen: dict[bytes, int] = {}
+    bare = np.flatnonzero(~has)
+    names = [seen.setdefault(data[s : s + span], len(seen)) for s in start[bare].tolist()]
+    hit[bare] |= np.bincount(names, minlength=len(seen) + 1)[names] > 1 if names else False
+    good = np.flatnonzero(hit)
+    return stretch[good], offset[good]
 
 
 def repeated_windows(span: int):
-    """A bucket's windows that stand in two places, as runs."""
+    """A group's windows that stand in two places, as runs."""
 
     def decide(t: pa.Table) -> pa.Table:
-        bodies = t.column("body").to_pylist()
-        seen: dict[bytes, int] = {}
-        number = np.array([seen.setdefault(b, len(seen)) for b in bodies])
-        many = np.bincount(number, weights=times_in_text(t)) > 1
-        data = np.frombuffer(b"".join(seen), np.uint8)
-        size = np.array([len(b) for b in seen])
-        first = np.r_[0, np.cumsum(size[:-1])]
-        windows = size - span + 1
-        text = np.repeat(np.arange(len(size)), windows)
-        offset = np.arange(len(text)) - np.repeat(np.r_[0, np.cumsum(windows[:-1])], windows)
-        start = first[text] + offset
-        cut, reach = phrase_reach(data, first, size)
-        maybe = np.ones(len(start), bool)
-        if len(cut):
-            a = np.searchsorted(cut, start)  # first cut inside the window
-            b = np.searchsorted(cut, start + span - TRIGGER, side="right") - 1  # last cut whose hashed bytes are inside
-            some = a < b
-            maybe[some] = reach[a[some]] >= cut[b[some]] - cut[a[some]]
-        hit = many[text]
-        here = np.flatnonzero(maybe)
-        if len(here):
-            h = gram_hashes(LETTERS[data], span)[start[here]]
-            _, same, count = np.unique(h, return_inverse=True, return_counts=True)
-            hit[here] |= count[same] > 1
-        # windows of stretches that came more than once are repeats by themselves; all is known per distinct stretch
-        at = np.flatnonzero(hit)
-        if not len(at):
-            return pa.table(NOTHING)
-        c, s, n = runs_of(text[at], offset[at])
-        by = np.searchsorted(c, np.arange(len(size) + 1))
-        counts = by[number + 1] - by[number]
-        row = np.repeat(np.arange(len(bodies)), counts)
-        k = np.repeat(by[number], counts) + np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(counts[:-1])], counts)
-        return at_each_start(t, row, s[k], n[k])
+        stretch, offset = repeated(t.column("body").to_pylist(), t.column("n").to_numpy(), span)
+        if not len(stretch):
+            return NOTHING
+        s, o, n = runs_of(stretch, offset)
+        return verdict_table(t.column("sid"), s, o, n, np.zeros(len(s), np.int64))
 
     return decide
 
@@ -215,7 +241,7 @@ def utf8(text: str | None) -> bytes:
 
 
 def byte_kind(span: int, k: int) -> Kind:
-    return Kind(span, k, True, utf8, lambda b: LETTERS[np.frombuffer(b, np.uint8)], lambda b, s, i, j: b[i:j], len)
+    return Kind(span, k, True, utf8, lambda b: LETTERS[np.frombuffer(b, np.uint8)], lambda b, s, i, j: b[i:j], 1, len)
 
 
 def suffix_dedup(docs: DataFrame, span: int = 400, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,12 +253,12 @@ def suffix_dedup(docs: DataFrame, span: int = 400, k: int = 64, id_col: str = "d
         return int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()), hashlib.sha256(data[~gone].tobytes()).hexdigest()
 
     src = ids_and_text(docs, id_col, text_col)
-    rows, folded, results = repeats(src, byte_kind(span, min(k, span)), repeated_windows(span), finish, "n_removed long, n_spans long, kept string")
+    rows, folded, results = repeats(src, byte_kind(span, min(k, span)), repeated_windows(span), finish, "n_removed long, n_spans long, kept string", False)
     joined = rows.join(folded, "digest").join(results, "digest", "left")
     copy = (F.col("copies") > 1) & (F.col("n") >= span)
     none = hashlib.sha256(b"").hexdigest()
     return joined.select(
-        F.nullif(F.col("doc_id"), F.lit(LAST_ID)).alias("doc_id"),
+        "doc_id",
         F.col("n").alias("n_bytes"),
         F.when(copy, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
