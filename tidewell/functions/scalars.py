@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,17 +27,25 @@ def bin_of(p: Column, bins: int) -> Column:
     return F.least(F.floor(p * bins).cast("int"), F.lit(bins - 1))
 
 
-def fill_non_finite(x: Column) -> Column:
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
-
-
 def equal_entity_weight(key: str = "entity") -> Column:
     return 1 / F.count("*").over(W.partitionBy(key))
 
 
-def class_balanced_weight(weight: str, target: str) -> Column:
-    """weight scaled so that each class of target has half the mass."""
-    return F.col(weight) / (2 * F.sum(weight).over(W.partitionBy(target)))
+def class_balanced(rows: DataFrame, weight: str, target: str, out: str = "w") -> DataFrame:
+    """rows with `out`: weight scaled so that each class of target has half the mass. The classes' sums are few rows, joined back."""
+    sums = rows.groupBy(F.col(target).alias("_class")).agg(F.sum(weight).alias("_mass"))
+    joined = rows.join(sums, rows[target].eqNullSafe(sums["_class"]), "left")
+    return joined.withColumn(out, F.col(weight) / (2 * F.col("_mass"))).drop("_class", "_mass")
+
+
+def millionths(x: Column) -> Column:
+    """x as a whole number of millionths; exact for numbers given with six digits."""
+    return F.round(x * 1_000_000).cast("long")
+
+
+def whole_ratio(a: Column, b: Column) -> Column:
+    """a / b of whole numbers, b above 0, to the nearest whole, halves away from 0, in whole arithmetic: the same in every engine."""
+    return (F.signum(a).cast("long") * F.call_function("div", 2 * F.abs(a) + b, 2 * b)).cast("long")
 
 
 def text_hash(*cols: Column) -> Column:

@@ -13,19 +13,25 @@ DIGITS = 6
 
 
 def per_entity_benefit(rows: DataFrame, curve: tuple[int, ...], scores: list[str]) -> DataFrame:
-    """Weighted benefit sums by entity and threshold (hundredths): one pass, thresholds exploded after the fold.
+    """Weighted benefit sums by entity and threshold (hundredths), thresholds exploded after the fold."""
+    return exploded(wide_benefit(rows, curve, scores), ["entity"], curve, scores)
 
-    rows: entity, y, w and score columns.
-    """
+
+def wide_benefit(rows: DataFrame, curve: tuple[int, ...], scores: list[str]) -> DataFrame:
+    """Per entity w, wy and the benefit sums <score>_<threshold>: one pass over rows (entity, y, w and score columns)."""
     aggs = [F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy")]
     for s in scores:
         for k in curve:
             alarm = (F.col(s) >= k / 100).cast("double")
             cost = (k / 100) / (1 - k / 100)
             aggs.append(F.sum(F.col("w") * alarm * (F.col("y") - (1 - F.col("y")) * cost)).alias(f"{s}_{k}"))
-    wide = rows.groupBy("entity").agg(*aggs)
+    return rows.groupBy("entity").agg(*aggs)
+
+
+def exploded(wide: DataFrame, keys: list[str], curve: tuple[int, ...], scores: list[str]) -> DataFrame:
+    """One row for each threshold from the columns <score>_<threshold>."""
     at = F.explode(F.array(*[F.struct(F.lit(k).alias("pct"), *[F.col(f"{s}_{k}").alias(f"b_{s}") for s in scores]) for k in curve])).alias("x")
-    return wide.select("entity", "w", "wy", at).select("entity", "w", "wy", "x.*")
+    return wide.select(*keys, "w", "wy", at).select(*keys, "w", "wy", "x.*")
 
 
 def decision_curve(rows: DataFrame, curve: tuple[int, ...], scores: list[str]) -> DataFrame:
@@ -49,8 +55,11 @@ def replicated(per_entity: DataFrame, reps: int, seed: int) -> DataFrame:
 
 def bootstrap_curve(rows: DataFrame, curve: tuple[int, ...], scores: list[str], reps: int, seed: int) -> DataFrame:
     """Percentile intervals of net benefit by entity-cluster bootstrap; paired differences for two scores."""
-    r = replicated(per_entity_benefit(rows, curve, scores), reps, seed)
-    by = r.groupBy("pct", "rep").agg(F.sum(F.col("copies") * F.col("w")).alias("w"), *[F.sum(F.col("copies") * F.col(f"b_{s}")).alias(f"b_{s}") for s in scores])
+    wide = wide_benefit(rows, curve, scores)
+    sums = [c for c in wide.columns if c != "entity"]
+    # an entity's copies are drawn once for each replicate; thresholds stay columns until replicates are summed
+    per = replicated(wide, reps, seed).groupBy("rep").agg(*[F.sum(F.col("copies") * F.col(c)).alias(c) for c in sums])
+    by = exploded(per, ["rep"], curve, scores)
     nets = {f"net_{s}": F.col(f"b_{s}") / F.col("w") for s in scores}
     if len(scores) == 2:
         nets["difference"] = (F.col(f"b_{scores[1]}") - F.col(f"b_{scores[0]}")) / F.col("w")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,8 +36,23 @@ def location_scale(panel: DataFrame, signals: list[str]) -> DataFrame:
 
 def stratified_folds(entities: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """entities (entity, label) with a fold: hash order within a label, dealt in turn; same rows, same folds."""
-    h = text_hash(F.lit(str(seed)), F.col("entity").cast("string"))
-    return entities.withColumn("fold", F.pmod(F.row_number().over(W.partitionBy("label").orderBy(h, "entity")) - 1, F.lit(k)).cast("int"))
+    ranked = ranked_by_hash(entities.withColumn("_h", text_hash(F.lit(str(seed)), F.col("entity").cast("string"))), ["label"], "_h", ["entity"], "_rank")
+    return ranked.withColumn("fold", F.pmod("_rank", F.lit(k)).cast("int")).drop("_h", "_rank")
+
+
+def ranked_by_hash(df: DataFrame, group: list[str], h: str, ties: list[str], out: str) -> DataFrame:
+    """Rank of each row in its group by a 60-bit hash h, from 0, in ranges of the hash: no task holds a group.
+
+    Rows are ranked inside a range and shifted by the sizes of the ranges before, a small table.
+    """
+    parts = max(16, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.withColumn("_part", F.floor(F.col(h) / F.lit(float(1 << 60)) * parts).cast("int"))
+    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    shift = sizes.select(*[F.col(c).alias(f"_{c}_") for c in [*group, "_part"]], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inner = dealt.withColumn("_inner", F.row_number().over(W.partitionBy(*group, "_part").orderBy(h, *ties)) - 1)
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in [*group, "_part"]])
+    return inner.join(shift, on).select(*df.columns, (F.col("_inner") + F.col("_shift")).alias(out))
 
 
 def top_of_strata(df: DataFrame, strata: list[str], most: int, order: str = "entity") -> DataFrame:

@@ -60,8 +60,13 @@ def previous_exists() -> Column:
 
 def delta_and_slope(x: str) -> tuple[Column, Column]:
     """Change since the last observed value, and by the hour; null where x is not observed."""
-    change = F.col(x) - carried(x, strictly_before())
-    return change, change / (F.col(TIME) - observed_at(x, strictly_before()))
+    change, since = change_and_hours(x)
+    return change, change / since
+
+
+def change_and_hours(x: str) -> tuple[Column, Column]:
+    """Change since the last observed value, and the hours since then."""
+    return F.col(x) - carried(x, strictly_before()), F.col(TIME) - observed_at(x, strictly_before())
 
 
 def rolling(x: str, n: int, what: str, least: int = 2) -> Column:

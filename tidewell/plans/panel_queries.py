@@ -225,13 +225,19 @@ def cv_8h(spark, sf_dir):
     return dense(spark, sf_dir).select("entity", "t", F.round(windows.coefficient_of_variation("view", 8), 6).alias("cv"))
 
 
-@query(PANEL + " SELECT entity, t, " + ", ".join(
-    f"round({s} - {KEPT.format(x=s, w=B_)}, 6) AS {s}_delta, round(({s} - {KEPT.format(x=s, w=B_)}) / (t - {SEEN.format(x=s, w=B_)}), 6) AS {s}_slope" for s in ("click", "view", "error")) + " FROM panel")
+_MICRO = "CAST(round(({x} - {k}) * 1000000e0) AS BIGINT)"
+
+
+@query(PANEL + ", ch AS (SELECT entity, t, " + ", ".join(
+    f"{_MICRO.format(x=s, k=KEPT.format(x=s, w=B_))} AS {s}_d, t - {SEEN.format(x=s, w=B_)} AS {s}_h" for s in ("click", "view", "error")) + " FROM panel) SELECT entity, t, "
+    + ", ".join(f"{s}_d / 1000000e0 AS {s}_delta, sign({s}_d) * ((2 * abs({s}_d) + {s}_h) // (2 * {s}_h)) / 1000000e0 AS {s}_slope" for s in ("click", "view", "error")) + " FROM ch")
 def deltas_slopes(spark, sf_dir):
+    """Differences and slopes in whole millionths: no tie at the last digit is left to an engine's rounding."""
     cols = []
     for s in ("click", "view", "error"):
-        d, v = windows.delta_and_slope(s)
-        cols += [F.round(d, 6).alias(f"{s}_delta"), F.round(v, 6).alias(f"{s}_slope")]
+        change, hours = windows.change_and_hours(s)
+        d = scalars.millionths(change)
+        cols += [(d / 1_000_000).alias(f"{s}_delta"), (scalars.whole_ratio(d, hours) / 1_000_000).alias(f"{s}_slope")]
     return panel(spark, sf_dir).select("entity", "t", *cols)
 
 
@@ -359,7 +365,7 @@ def weights_equal_entity(spark, sf_dir):
 
 @query(LABELLED + " SELECT entity, t, round(w / (2 * sum(w) OVER (PARTITION BY y)), 9) AS w FROM d")
 def weights_class_balanced(spark, sf_dir):
-    return labelled(spark, sf_dir).select("entity", "t", F.round(scalars.class_balanced_weight("w", "y"), 9).alias("w"))
+    return scalars.class_balanced(labelled(spark, sf_dir), "w", "y").select("entity", "t", F.round("w", 9).alias("w"))
 
 
 @query(LABELLED + ALL_RANKED + " SELECT ap FROM rk")
