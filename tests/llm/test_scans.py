@@ -122,6 +122,39 @@ def test_secrets(make):
     assert got[11].n_linked == 2
 
 
+def test_links_say_what_completes_a_part(make):
+    got = {r.doc_id: r.links for r in secrets.find_secrets(make(SECRETS + [(20, "user=alice\nhttps://a.example.com/x\nonly these"), (21, "login: bobby, https://b.example.com/, password=hunter2hunter2")])).collect()}
+    assert got[8] == "weak_key:4:38>endpoint:42:71,endpoint:42:71>weak_key:4:38"
+    assert got[20] == "" and got[9] == ""  # nothing secret here
+    assert got[21] == "account:0:12>assign:38:61,endpoint:14:36>assign:38:61"
+
+
+def test_linked_parts_against_all_pairs(spark):
+    """The sweep finds what an interval join of all pairs finds, and the nearest partner."""
+    r = np.random.default_rng(9)
+    kinds = sorted(secrets.ROLES)
+    rows = []
+    for row in range(60):
+        for k in range(int(r.integers(1, 9))):
+            start, kind = int(r.integers(0, 400)), str(r.choice(kinds))
+            rows.append((row, int(r.integers(0, 2)), secrets.ROLES[kind], kind, start, start + int(r.integers(1, 60)), kind in secrets.WEAK))
+    rows = sorted(set(rows))
+    df = spark.createDataFrame(rows, "row_id long, scope int, role string, kind string, start int, end int, weak boolean")
+    got = {(*x[:6],): x.partner.gap for x in secrets.linked_parts(df, 50).collect()}
+
+    def gap(a, b):
+        return max(0, b[4] - a[5], a[4] - b[5])
+
+    near = {a: [b for b in rows if a[:2] == b[:2] and a[2] != b[2] and gap(a, b) <= 50] for a in rows}
+    direct = {a: [b for b in bs if "secret" in (a[2], b[2])] for a, bs in near.items()}
+    want = {}
+    for a in rows:
+        done = direct[a] or [b for b in near[a] if direct[b]]
+        if a[6] and done:
+            want[a[:6]] = min(gap(a, b) for b in done)
+    assert got == want and len(got) > 30
+
+
 def test_secrets_on_odd_rows(make, corpus):
     assert secrets.find_secrets(make(corpus)).count() == len(corpus)
     assert secrets.find_secrets(make(corpus).limit(0)).count() == 0
@@ -131,6 +164,7 @@ LICENSES = [
     (1, "See CC-BY and cc  by here. All rights reserved."), (2, "GNU General Public License, version 3. This work is licensed under the"), (3, None), (4, "!!"),
     (5, "Licensed under the Apache License, Version 2.0."), (6, "x " * 300 + "Released under the MIT License. " + "y " * 300), (7, "Rights reserved all"),
     (8, "permission is hereby granted, free of charge, to any person obtaining a copy of this soft ware"), (9, "ÉCC by ccby cc by"),
+    (10, "\u212a cc by \u0130 all r\u0130ghts reserved, \u212a"), (11, "The Software is provided 'as is', without warranty of any kind, express or implied, including the warranties of merchantability, fitness for a particular purpose and noninfringement. " + "z " * 90),
 ]
 
 
@@ -140,6 +174,7 @@ def test_licenses_match_every_pair(make, corpus):
     got = {r.doc_id: r for r in licenses.scan_licenses(make(LICENSES)).collect()}
     assert got[1].base_labels == "cc-by,reserved" and got[1].n_base == 3
     assert "apache" in got[5].labels and "mit-line" in got[6].labels and got[7].labels == "" and got[4].n_words == 0
+    assert "mit-warranty" in got[11].labels and all(len(t.split()) <= licenses.STRIDE for t in licenses.TEMPLATES.values())
     assert licenses.scan_licenses(make(LICENSES).limit(0)).count() == 0
 
 
@@ -159,6 +194,43 @@ def test_language_of_odd_rows(make, corpus):
     assert language_id.identify(make(corpus).limit(0)).count() == 0
 
 
+def test_every_label_is_learned_and_the_sample_is_bounded(make):
+    rows = [(7 * i + j, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 20, f"l{i}", "s0") for i in range(90) for j in (1, 2, 3)] + [(10_001, "same same", "l0", "s0")] * 5
+    sample = language_id.labelled_sample(make(rows), 250, 100)
+    assert len({x for _, x in sample}) == 90 and len(sample) == 90
+    got = language_id.identify(make(rows), most=100)
+    assert {r.lang_pred for r in got.collect()} == {f"l{i}" for i in range(90)}
+
+
+def test_scores_equal_kernel_ridge_regression_by_hand():
+    """Kernel values by Python sets, the ridge solved in the landmarks' space by least squares."""
+    r = np.random.default_rng(3)
+    say = {"p": "abcde", "q": "defgh", "r": "hijab"}
+    texts = [" ".join("".join(r.choice(list(say[c]), 4)) for _ in range(6)) for c in "pqr" * 8]
+    labels = list("pqr" * 8)
+
+    def grams(t):
+        b = " ".join(t.lower().split()).encode()
+        return {b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
+    def kernel(a, b):
+        return len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b)))
+
+    m = 9
+    marks = texts[:m]  # labels come in turn already
+    kmm = np.array([[kernel(a, b) for b in marks] for a in marks])
+    knm = np.array([[kernel(a, b) for b in marks] for a in texts])
+    value, vector = np.linalg.eigh(kmm)
+    half = vector / np.sqrt(value)
+    z = np.c_[knm @ half, np.ones(len(texts))]
+    y = np.array([[1.0 if x == c else -1.0 for c in "pqr"] for x in labels])
+    beta = np.linalg.lstsq(np.r_[z, np.sqrt(0.1) * np.eye(m + 1)], np.r_[y, np.zeros((m + 1, 3))], rcond=None)[0]
+    new = ["abcd dcba", "gggh fed", "hij jih ab"]
+    want = np.c_[np.array([[kernel(a, b) for b in marks] for a in new]) @ half, np.ones(3)] @ beta
+    got = language_id.fit(texts, labels, m, 0.1, 3).scores(new)
+    assert np.allclose(got, want, atol=1e-3) and got.argmax(axis=1).tolist() == [0, 1, 2]
+
+
 def test_kernel_is_shared_presence():
     a, b = language_id.spectrum("abc", 2), language_id.spectrum("bcd", 2)
     assert len(a) == 5 and len(np.intersect1d(a, b)) == 3

@@ -75,7 +75,7 @@ def fit(texts: list[str], labels: list[str], landmarks: int, ridge: float, longe
     by = {c: [i for i, x in enumerate(labels) if x == c] for c in names}
     turn = [by[c][k] for k in range(max(map(len, by.values()))) for c in names if k < len(by[c])]
     spectra = [spectrum(t, longest) for t in texts]
-    chosen = [spectra[i] for i in turn[:landmarks]]
+    chosen = [spectra[i] for i in turn[: max(landmarks, len(names))]]
     grams = np.unique(np.concatenate(chosen))
     presence = np.zeros((len(grams), len(chosen)), np.uint8)
     for j, s in enumerate(chosen):
@@ -99,8 +99,10 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, per_label: int, max_labels: int) -> list[tuple[str, str]]:
-    """(text, label) of at most per_label learnable rows of each of the max_labels commonest labels, by hash order.
+def labelled_sample(docs: DataFrame, per_label: int, most: int) -> list[tuple[str, str]]:
+    """(text, label) of at most per_label learnable rows of every label, by hash order; fewer of each where labels are many.
+
+    At most `most` rows come to the driver, or one for each label if that is more.
 
     Rows of a label are dealt to salts first and only each salt's first rows meet, so that no
     task ranks a whole label.
@@ -108,25 +110,26 @@ def labelled_sample(docs: DataFrame, per_label: int, max_labels: int) -> list[tu
     from pyspark.sql import Window as W
 
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.trim("text") != ""))
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels)
-    names = [r["lang"] for r in common.collect()]
-    order = F.xxhash64("doc_id")
-    slim = known.filter(F.col("lang").isin(names)).select("doc_id", "lang", order.alias("h"))
+    labels = known.select("lang").distinct().count()
+    per_label = min(per_label, max(1, most // max(1, labels)))
+    slim = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     first = W.partitionBy("lang", "salt").orderBy("h", "doc_id")
     part = slim.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(256))).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_label)
     last = W.partitionBy("lang").orderBy("h", "doc_id")
     chosen = part.withColumn("r", F.row_number().over(last)).filter(F.col("r") <= per_label).select("doc_id", "lang")
-    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang").collect()  # per_label * max_labels rows
+    some = known.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi")
+    rows = some.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()  # at most `most` rows, also where rows are repeated
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 
-def identify(docs: DataFrame, per_label: int = 250, landmarks: int = 96, ridge: float = 0.1, longest: int = 3, max_labels: int = 64) -> DataFrame:
+def identify(docs: DataFrame, per_label: int = 250, landmarks: int = 96, ridge: float = 0.1, longest: int = 3, most: int = 16_000) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row.
 
-    per_label * max_labels bounds the rows the model is fitted on; every row is scored.
+    per_label bounds a label's rows that the model is fitted on, `most` all of them; every label
+    is learned, with one landmark or more, and every row is scored.
     """
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
-    sample = labelled_sample(src, per_label, max_labels)
+    sample = labelled_sample(src, per_label, most)
     model = fit([t for t, _ in sample], [x for _, x in sample], landmarks, ridge, longest) if sample else None
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the landmarks
 

@@ -26,17 +26,38 @@ from tidewell.llm.common import ids_and_text, stored
 
 # fixed values
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+# fixed values: sentences of well-known licenses, each of at most 64 words, in lower-case words
 TEMPLATES = {
+    "agpl": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
     "apache": "licensed under the apache license version 2 0",
     "apache-notice": "you may not use this file except in compliance with the license you may obtain a copy of the license at",
+    "apache-warranty": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "boost": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-warranty": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "cc-by-nc": "licensed under cc by nc 4 0",
+    "cc-by-sa": "this work is licensed under the creative commons attribution sharealike 4 0 international license",
+    "cc0": "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "epl": "this program and the accompanying materials are made available under the terms of the eclipse public license",
     "gpl": "this work is licensed under the gnu general public license version 3",
+    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "lgpl": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "mit-line": "released under the mit license",
+    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit-rights": "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+    "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "zlib": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
 }
+#: What lower-casing would turn into letters a to z, though they are none.
+OTHERS = "\u0130\u212a"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 STRIDE, BLOCK = 64, 128
 
@@ -50,8 +71,10 @@ def needed(size: int, threshold: float) -> int:
 
 
 def spaced(text: Column) -> Column:
-    """Lower-case words, one space between and around them. lower() differs from A-Z alone only inside words of other letters."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), NOT_WORD, " ")), F.lit(" "))
+    """Lower-case words, one space between and around them. Of letters beyond A-Z none turns into a to z."""
+    odd = F.contains(text, F.lit(OTHERS[0])) | F.contains(text, F.lit(OTHERS[1]))
+    plain = F.when(odd, F.translate(text, OTHERS, "\ufffd\ufffd")).otherwise(text)
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(plain), NOT_WORD, " ")), F.lit(" "))
 
 
 def word_order(docs: DataFrame) -> list[str]:

@@ -1,10 +1,12 @@
 """Secret scans with multipart credential linking.
 
 One scan of each whole text finds the plain secrets (assignments, access identifiers, hex runs)
-and the parts that are weak alone: key-like words, endpoints and account names. Parts go into
-scopes (the paragraph of a text); inside a scope a weak part is joined to the nearest
-complementary part whose interval, widened by `reach` code points, meets its own. It is
-reported only when such a part is there.
+and the parts that are weak alone: key-like words, endpoints and account names. Each part has a
+role: identifier, secret or endpoint. Parts go into scopes (the paragraphs of a text); inside a
+scope an interval join links parts of different roles whose intervals, widened by `reach` code
+points, meet. A weak part is reported only when complementary parts complete it: a secret with an
+identifier or endpoint, an identifier or endpoint with a secret, or an endpoint and an identifier
+of which one has a secret. The link says which part completes it.
 
 Defined results: a null text counts as empty and gives a row with no spans; rows that repeat a
 doc_id are scanned each on its own; an empty table gives no rows; other columns are not read.
@@ -14,10 +16,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,12 +39,13 @@ KEYLIKE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[A-Z0-9+/_
 SHORTHEX = re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])[0-9a-f]{16,23}(?![0-9A-Za-z])")
 ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/%-]*)?|[a-z]+(?:\+[a-z]+)?://[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", re.A)
 ACCOUNT = re.compile(r"(?:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})", re.I | re.A)
-#: role 0: secret part, role 1: identifier or endpoint
-ROLES = {"weak_key": 0, "weak_hex": 0, "endpoint": 1, "account": 1}
+IDENTIFIER, SECRET, PLACE = "identifier", "secret", "endpoint"
+WEAK = {"weak_key": SECRET, "weak_hex": SECRET, "endpoint": PLACE, "account": IDENTIFIER}
+ROLES = WEAK | {"assign": SECRET, "access": IDENTIFIER, "hex": SECRET}
 
 SCAN = (
     "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, "
-    "parts array<struct<scope:int,role:int,kind:string,start:int,end:int,weak:boolean>>"
+    "parts array<struct<scope:int,role:string,kind:string,start:int,end:int,weak:boolean>>"
 )
 
 
@@ -67,7 +72,9 @@ def parts_of(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
         found += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
     if ":" in text or "=" in text:
         found += [(m.start(), m.end(), "account") for m in ACCOUNT.finditer(text)]
-    found = [x for x in found if not any(a < x[1] and x[0] < b for a, _, b in base)]
+    starts, furthest = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    before = lambda end: bisect_left(starts, end)  # how many plain secrets start before it
+    found = [x for x in found if not before(x[1]) or furthest[before(x[1]) - 1] <= x[0]]
     if not found:
         return []
     # identifiers and secrets found for sure complete a weak part, and need no report of their own
@@ -77,13 +84,12 @@ def parts_of(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
     for start, end, kind in sorted(found):
         while at < len(breaks) and breaks[at] < start:
             at, scope = at + 1, scope + 1
-        role = ROLES.get(kind, 1 if kind == "access" else 0)
-        out.append({"scope": scope, "role": role, "kind": kind, "start": start, "end": end, "weak": kind in ROLES})
+        out.append({"scope": scope, "role": ROLES[kind], "kind": kind, "start": start, "end": end, "weak": kind in WEAK})
     return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.struct([("scope", pa.int32()), ("role", pa.int32()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("weak", pa.bool_())])
+    kind = pa.struct([("scope", pa.int32()), ("role", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("weak", pa.bool_())])
     for b in batches:
         counts, shas, bases, parts = [[], [], []], [], [], []
         for t in b.column("text").to_pylist():
@@ -106,30 +112,43 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def linked_parts(parts: DataFrame, reach: int = 200) -> DataFrame:
-    """The weak rows of parts (row_id, scope, role, kind, start, end, weak) that meet a complementary part.
+    """The weak rows of parts (row_id, scope, role, kind, start, end, weak) that are completed, with the part that does it.
 
-    An interval join as a sweep: in a scope, by start, the furthest end of the other role so far
-    and the nearest start of the other role to come decide, so no pairs are made.
+    An interval join as a sweep: in a scope, by start, the part of another role with the furthest
+    end so far and the one with the nearest start to come decide, so no pairs are made. Of the two
+    the nearer is the partner (the earlier, if both are as near).
     """
-    key = ["row_id", "scope"]
-    back = W.partitionBy(*key).orderBy("start", "end", "kind").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(*key).orderBy("start", "end", "kind").rowsBetween(0, W.unboundedFollowing)
-    other = lambda role, c: F.when(F.col("role") != role, F.col(c))
-    met = [
-        (F.col("role") == role)
-        & ((F.max(other(role, "end")).over(back) + reach >= F.col("start")) | (F.min(other(role, "start")).over(ahead) - reach <= F.col("end")))
-        for role in (0, 1)
-    ]
-    return parts.withColumn("met", F.coalesce(met[0], F.lit(False)) | F.coalesce(met[1], F.lit(False))).filter("weak and met").drop("met")
+    key, order = ["row_id", "scope"], ["start", "end", "kind"]
+    back = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    ahead = W.partitionBy(*key).orderBy(*order).rowsBetween(0, W.unboundedFollowing)
+    fields = [F.col("start").alias("s"), F.col("end").alias("e"), F.col("kind").alias("k")]
+
+    def nearest(of: Column) -> Column:
+        """The nearest part for which `of` holds, within reach: (gap, start, end, kind), or null."""
+        last = F.max(F.when(of, F.struct(F.col("end"), *fields))).over(back)
+        next_ = F.min(F.when(of, F.struct(F.col("start"), *fields))).over(ahead)
+        gap = lambda x: F.greatest(F.lit(0), x["s"] - F.col("end"), F.col("start") - x["e"])
+        near = [F.when(x.isNotNull() & (gap(x) <= reach), F.struct(gap(x).alias("gap"), x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))) for x in (last, next_)]
+        return F.array_min(F.filter(F.array(*near), lambda x: x.isNotNull()))
+
+    role = F.col("role")
+    one = parts.withColumns({SECRET: nearest(role == SECRET), "open": nearest(role != SECRET)})
+    one = one.withColumn("direct", F.when(role == SECRET, F.col("open")).otherwise(F.col(SECRET)))
+    held = F.col("direct").isNotNull()
+    two = one.withColumns({IDENTIFIER: nearest((role == IDENTIFIER) & held), PLACE: nearest((role == PLACE) & held)})
+    partner = F.coalesce("direct", F.when(role == IDENTIFIER, F.col(PLACE)).when(role == PLACE, F.col(IDENTIFIER)))
+    return two.withColumn("partner", partner).filter(F.col("weak") & F.col("partner").isNotNull()).select(*parts.columns, "partner")
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, n_linked and spans (base and linked)."""
+    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, n_linked, spans (base and linked) and links (weak part>the part that completes it)."""
     scans = stored(scan_secrets(docs, id_col, text_col).withColumn("row_id", F.monotonically_increasing_id()), "secrets")
-    some = scans.filter(F.exists("parts", lambda p: p["role"] == 0) & F.exists("parts", lambda p: p["role"] == 1))
+    some = scans.filter(F.exists("parts", lambda p: p["role"] == SECRET) & F.exists("parts", lambda p: p["role"] != SECRET))
     linked = linked_parts(some.select("row_id", F.inline("parts")), reach)
-    entry = F.struct(F.col("start"), F.lit(3).alias("k"), F.concat_ws(":", "kind", "start", "end").alias("said"))
-    more = linked.groupBy("row_id").agg(F.collect_set(entry).alias("added"))
+    said = F.concat_ws(":", "kind", "start", "end")
+    entry = F.struct(F.col("start"), F.lit(3).alias("k"), said.alias("said"))
+    link = F.struct(F.col("start"), F.concat(said, F.lit(">"), F.concat_ws(":", "partner.k", "partner.s", "partner.e")).alias("said"))
+    more = linked.groupBy("row_id").agg(F.collect_set(entry).alias("added"), F.array_sort(F.collect_set(link)).alias("links"))
     out = scans.join(more, "row_id", "left")
     # spans are few and short: base ones are read back from their text form to be merged by start
     base = F.transform(
@@ -145,4 +164,5 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256",
         F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_linked"),
         F.array_join(F.transform(spans, lambda x: x["said"]), ",").alias("spans"),
+        F.coalesce(F.array_join(F.transform("links", lambda x: x["said"]), ","), F.lit("")).alias("links"),
     )
