@@ -14,19 +14,19 @@ def scores(spark, y, p, entity=None):
 
 
 def test_ranking(spark):
-    r = metrics.ranking(scores(spark, [0, 1, 0, 1], [0.1, 0.35, 0.4, 0.8])).first()
-    assert r.ap == pytest.approx((1 + 2 / 3) / 2, abs=1e-6) and r.auroc == pytest.approx(0.75)
-    tied = metrics.ranking(scores(spark, [0, 1, 0, 1], [0.5] * 4)).first()
-    assert tied.ap == 0.5 and tied.auroc == 0.5
+    r = metrics.ranking(scores(spark, [1, 0, 1, 1, 0], [0.9, 0.7, 0.6, 0.3, 0.2])).first()
+    assert r.ap == pytest.approx((1 + 2 / 3 + 3 / 4) / 3, abs=1e-6) and r.auroc == pytest.approx(4 / 6, abs=1e-6)
+    tied = metrics.ranking(scores(spark, [0, 1, 0, 0, 1], [0.25] * 5)).first()
+    assert tied.ap == 0.4 and tied.auroc == 0.5
 
 
 def test_calibration(spark):
-    assert metrics.ece(scores(spark, [0, 1, 1, 0], [0.1, 0.1, 0.9, 0.9])).first().ece == pytest.approx(0.4)
-    assert metrics.calibration_offset(scores(spark, [0, 1, 1, 0], [0.1, 0.1, 0.9, 0.9])) == pytest.approx(0, abs=1e-9)
-    edge = scores(spark, [0, 1, 1, 0], [0, 1, 0.25, 0.75])
-    assert metrics.ece(edge).first().ece == pytest.approx(0.375) and metrics.brier(edge).first().brier == pytest.approx(0.28125)
+    assert metrics.ece(scores(spark, [1, 0, 0, 1, 1], [0.32, 0.35, 0.31, 0.84, 0.86])).first().ece == pytest.approx((0.02 + 0.30) / 5, abs=1e-6)
+    assert metrics.calibration_offset(scores(spark, [1, 1, 0, 1], [0.5] * 4)) == pytest.approx(math.log(3), abs=1e-9)
+    edge = scores(spark, [0, 1, 0], [0, 1, 0.5])
+    assert metrics.ece(edge).first().ece == pytest.approx(1 / 6, abs=1e-6) and metrics.brier(edge).first().brier == pytest.approx(1 / 12, abs=1e-6)
     rel = metrics.reliability(edge).collect()
-    assert len(rel) == 10 and sum(r.weight for r in rel) == 4 and sum(r.n == 0 for r in rel) == 6
+    assert len(rel) == 10 and sum(r.weight for r in rel) == 3 and sum(r.n == 0 for r in rel) == 7
     with pytest.raises(ValueError, match="constant"):
         metrics.logistic_line(scores(spark, [0, 1], [0.3, 0.3]))
     y, p = [0, 0, 1, 0, 1, 1, 0, 1], [0.1, 0.2, 0.3, 0.45, 0.5, 0.6, 0.7, 0.9]
@@ -34,6 +34,52 @@ def test_calibration(spark):
     assert kind in ("identity", "logistic") and math.isfinite(a) and math.isfinite(b)
 
 
+def test_calibration_intervals_by_hand(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    p = np.round(r.uniform(0.05, 0.95, 240), 6)
+    y = (r.uniform(size=240) < 0.2 + 0.6 * p).astype(int)
+    entity = (np.arange(240) % 40).tolist()
+    rows = scores(spark, y.tolist(), p.tolist(), entity)
+    got = {x.figure: x for x in metrics.calibration_intervals(rows, 60, 9).collect()}
+    a, b = metrics.logistic_line(rows)
+    assert got["intercept"].estimate == pytest.approx(a, abs=1e-5) and got["slope"].estimate == pytest.approx(b, abs=1e-5)
+    assert got["offset"].estimate == pytest.approx(metrics.calibration_offset(rows), abs=1e-5)
+    assert got["ece"].estimate == pytest.approx(metrics.ece(rows).first().ece, abs=1e-6)
+    copies = {(x.entity, x.rep): x.copies for x in decision.replicated(rows.select("entity").distinct(), 60, 9).collect()}
+    each = []
+    for rep in range(1, 61):
+        w = np.array([copies.get((e, rep), 0) for e in entity], float)
+        each.append(metrics.calibration_of(p, w, w * y, 10))
+    for k, f in enumerate(("ece", "offset", "intercept", "slope")):
+        low, high = np.quantile([x[k] for x in each], [0.025, 0.975])
+        assert (got[f].low, got[f].high) == (pytest.approx(low, abs=1e-5), pytest.approx(high, abs=1e-5))
+    assert metrics.calibration_of(p, np.ones(240), np.zeros(240), 10) == (None,) * 4
+    parted = metrics.calibration_of(np.array([0.1, 0.2, 0.8, 0.9]), np.ones(4), np.array([0.0, 0, 1, 1]), 10)
+    assert parted[2] is None and parted[0] is not None
+
+
+def test_gates(spark):
+    def status(sensitivity=0.9, lead=4.0, false=0.2, low=0.1, transport=0.6):
+        alarm = spark.createDataFrame([("C0", 0.8, 0.3, 3.0), ("C3", sensitivity, false, lead)], "representation string, sensitivity double, false_per_day double, median_lead double")
+        curve = spark.createDataFrame([(-0.1, 0.2, 0.1), (low, 0.2, 0.1)], "difference_low double, net_low double, treat_all double")
+        way = spark.createDataFrame([(d, r, p) for d in ("ab", "ba") for r, p in (("C0", 0.5), ("C3", transport))], "direction string, representation string, ap double")
+        return reports.gates(alarm, spark.createDataFrame([(0.01, -0.01)], "ap_low double, brier_low double"), curve, way, "C0", "C3").first()
+
+    assert status().status == "TRANSPORT_ROBUSTNESS_CONFIRMED"
+    assert status(transport=0.4).status == "PROMISING_BUT_NOT_TRANSPORTABLE"
+    assert status(lead=None).status == "NO_VERIFIED_IMPROVEMENT" and not status(lead=None).lead_not_shorter
+    assert not status(false=0.26).false_alarms_in_budget and not status(low=0.0).decision_curve_favorable and not status(sensitivity=0.8).sensitivity_superior
+
+
+def test_alarms_after_the_last_eligible_hour_are_right_censored(spark):
+    rows = [(1, t, 0, 0.9 if t in (3, 18) else 0.1) for t in range(1, 21)]
+    df = target.with_target(spark.createDataFrame(rows, "entity long, t long, label int, p double").withColumn("source", F.lit("A")))
+    r = alarms.alarm_rows(df, F.col("p") >= 0.5).first()
+    assert (r.n_episodes, r.n_false, r.n_right_censored, r.n_repeated, r.first_alert, r.eligible_hours) == (2, 1, 1, 1, 3, 14)
+
+
 def panel(spark):
     rows = [(e, t, int(e <= 2 and t >= 5), 0.8 if e <= 2 and 5 <= t <= 10 else 0.2) for e in (1, 2, 3, 4) for t in range(1, 12)]
     return target.with_target(spark.createDataFrame(rows, "entity long, t long, label int, p double").withColumn("source", F.lit("A")))

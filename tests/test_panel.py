@@ -1,6 +1,7 @@
 """Closed-form checks of windows, targets, validators and sources."""
 
 import math
+import re
 import zipfile
 
 import pytest
@@ -59,6 +60,40 @@ def test_rolling_frame_is_open_on_the_left(spark):
     assert [r.m for r in fine.orderBy("t").collect()] == [1.0, 1.5, 2.5]
 
 
+def test_joins_fail_closed(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string")
+    ok, two, none = (spark.createDataFrame(r, "k int, p double") for r in ([(1, 0.5), (2, 1.0)], [(1, 0.5), (1, 0.4), (2, 0.1)], [(1, 0.5)]))
+    assert validate.many_to_one(left, ok, ["k"]).count() == 2 and validate.with_predictions(left, ok, ["k"], ["p"]).count() == 2
+    for right in (two, none):
+        for join in (validate.many_to_one, validate.paired):
+            with pytest.raises(validate.Violation):
+                join(left, right, ["k"])
+    with pytest.raises(validate.Violation, match="no probability"):
+        validate.with_predictions(left, ok.withColumn("p", F.col("p") + 0.6), ["k"], ["p"])
+    with pytest.raises(validate.Violation, match="columns of both"):
+        validate.paired(left, ok.withColumn("x", F.lit(1)), ["k"])
+    assert validate.without_rows(left, none, "k").collect()[0].k == 2
+
+
+def test_folds_and_class_sums_use_no_window_by_class_alone(spark, capsys):
+    df = spark.range(50).select(F.col("id").alias("entity"), (F.col("id") % 2).cast("int").alias("label"), F.lit(1.0).alias("w"))
+    selection.stratified_folds(df, 5, 7).explain("formatted")
+    plan = capsys.readouterr().out
+    assert re.search(r"row_number\(\) windowspecdefinition\(label#\d+, _part", plan) and not re.search(r"row_number\(\) windowspecdefinition\(label#\d+, (?!_part)", plan)
+    scalars.class_balanced(df, "w", "label").explain("formatted")
+    assert "Window" not in capsys.readouterr().out
+    sizes = {r["fold"]: r["count"] for r in selection.stratified_folds(df, 5, 7).groupBy("fold").count().collect()}
+    assert sizes == dict.fromkeys(range(5), 10)
+
+
+def test_canonical_json_and_rounds(spark):
+    df = spark.createDataFrame([(1, float("inf"), "é\"x"), (2, 2.5, None)], "k int, v double, s string")
+    got = [r.j for r in df.orderBy("k").select(scalars.canonical_json({"v": F.col("v"), "s": F.col("s")}).alias("j")).collect()]
+    assert got == ['{"s":"é\\"x","v":null}', '{"s":null,"v":2.5}']
+    rounds = spark.createDataFrame([("a", 2), ("a", 3), ("b", 3), ("b", 4), ("c", 0)], "g string, n int")
+    assert {r.g: r.rounds for r in selection.round_count(rounds, ["g"], "n").collect()} == {"a": 2, "b": 4, "c": 1}
+
+
 def test_windows_do_not_see_the_future(spark):
     rows = [(1, t, float(t * t % 7) if t % 3 else None, 0) for t in range(1, 30)]
     build = lambda r: features.features(frame(spark, r).withColumn("source", F.lit("A")), ["x"]).drop("x").orderBy("t").collect()
@@ -88,8 +123,8 @@ def test_validators(spark):
     assert [r.b for r in validate.numbers(text.filter("a = 'inf'"), ["b"]).collect()] == [None]
     with pytest.raises(validate.Violation):
         validate.enforce(validate.duplicates(df, ["entity", "t"]), "duplicate keys")
-    folds = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "entity long, fold int")
-    assert {r.entity for r in validate.fold_violations(df, folds, 2).collect()} == {1, 2}
+    folds = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (2, 0, 0)], "entity long, label int, fold int")
+    assert {(r.entity, r.what) for r in validate.fold_violations(df, folds, 2).collect()} == {(1, "several folds"), (2, "unknown entity")}
     other = df.withColumn("x", F.col("x") * (1 + 1e-13))
     uniq, uniq2 = df.filter("x = 1.0 OR t = 2"), other.filter("x < 1.5 OR t = 2")
     assert validate.frame_differences(uniq, uniq2, ["entity", "t"], 1e-12).isEmpty()

@@ -110,3 +110,9 @@ def sample_entropy(values: Column, m: int = 2, share: float = 0.2) -> Column:
 
     b, a = matches(m), matches(m + 1)
     return F.when(n < m + 2, None).when(b == 0, None).when(a == 0, F.lit(float("inf"))).otherwise(-F.log(a / b))
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """JSON text with sorted names; a number that is not finite is null, and nulls are written."""
+    finite = lambda c: F.when(~c.cast("string").isin("NaN", "Infinity", "-Infinity"), c)
+    return F.to_json(F.struct(*[finite(c).alias(n) for n, c in sorted(fields.items())]), {"ignoreNullFields": "false"})

@@ -115,6 +115,13 @@ def utility_by_entity(panel: DataFrame, score: str, threshold: float, shift: int
     )
 
 
+def bootstrap_utility(per: DataFrame, reps: int, seed: int) -> DataFrame:
+    """Percentile interval of normalised utility by entity-cluster bootstrap, from utility_by_entity's rows."""
+    s = lambda c: F.sum(F.col("copies") * F.col(c))
+    by = replicated(per.select("entity", "observed", "best", "inaction"), reps, seed).groupBy("rep").agg(F.try_divide(s("observed") - s("inaction"), s("best") - s("inaction")).alias("u"))
+    return by.agg(F.count("u").alias("reps"), *[F.round(F.percentile("u", F.lit(q)), DIGITS).alias(f"utility_{n}") for n, q in (("low", 0.025), ("high", 0.975))])
+
+
 def normalised_utility(per: DataFrame) -> DataFrame:
     o, b, i = (F.sum(c) for c in ("observed", "best", "inaction"))
     return per.agg(F.round(F.try_divide(o - i, b - i), DIGITS).alias("utility"))

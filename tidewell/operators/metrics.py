@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.functions.scalars import bin_of, logit, sigmoid
+from tidewell.functions.scalars import TINY, bin_of, logit, sigmoid
 
 DIGITS = 6
 
@@ -75,11 +77,6 @@ def ece(rows: DataFrame, bins: int = 10) -> DataFrame:
     return b.agg(F.round(F.sum(F.abs("gap")) / F.sum("weight"), DIGITS).alias("ece"))
 
 
-def binned_logits(rows: DataFrame, digits: int = 4) -> DataFrame:
-    """Rows folded to distinct rounded logits, so that a fit's passes read few rows: z, w, wy."""
-    return rows.groupBy(F.round(logit(F.col("p")), digits).alias("z")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"))
-
-
 def calibration_offset(rows: DataFrame, steps: int = 30, tol: float = 1e-10) -> float:
     """Calibration in the large: the offset on the logit at which mean prediction meets the mean outcome (Newton)."""
     z, a = rows.select(logit(F.col("p")).alias("z"), "y", "w").persist(), 0.0
@@ -117,6 +114,61 @@ def logistic_line(rows: DataFrame, steps: int = 30, tol: float = 1e-10) -> tuple
     return a, b
 
 
+def calibration_intervals(rows: DataFrame, reps: int, seed: int, bins: int = 10, digits: int = 6) -> DataFrame:
+    """ECE, offset, intercept and slope with percentile intervals by entity-cluster bootstrap: figure, estimate, low, high.
+
+    Rows (entity, y, p, w) fold to (entity, rounded p); each replicate then sums entities to its distinct
+    scores, at most 10**digits rows, and one Arrow call fits it by Newton steps. Replicate 0 is the estimate.
+    A replicate that lacks a class has no figures, one whose scores part the classes no line; both are left out.
+    """
+    from tidewell.operators.decision import replicated
+
+    folded = rows.groupBy("entity", F.round("p", digits).alias("p")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"))
+    drawn = replicated(folded, reps, seed)
+    all_ = folded.withColumns({"rep": F.lit(0), "copies": F.lit(1)})
+    per = drawn.unionByName(all_).groupBy("rep", "p").agg(F.sum(F.col("copies") * F.col("w")).alias("w"), F.sum(F.col("copies") * F.col("wy")).alias("wy"))
+    figures = ("ece", "offset", "intercept", "slope")
+
+    def fit(t: pa.Table) -> pa.Table:
+        got = calibration_of(*(t.column(c).to_numpy() for c in ("p", "w", "wy")), bins)
+        return pa.table({"rep": t.column("rep").slice(0, 1), **{f: pa.array([v], pa.float64()) for f, v in zip(figures, got)}})
+
+    each = per.groupBy("rep").applyInArrow(fit, "rep int, " + ", ".join(f"{f} double" for f in figures)).unpivot("rep", list(figures), "figure", "value")
+    ends = [F.round(F.percentile(F.when(F.col("rep") > 0, F.col("value")), F.lit(q)), DIGITS).alias(n) for n, q in (("low", 0.025), ("high", 0.975))]
+    return each.groupBy("figure").agg(F.round(F.max(F.when(F.col("rep") == 0, F.col("value"))), DIGITS).alias("estimate"), *ends)
+
+
+def calibration_of(p: np.ndarray, w: np.ndarray, wy: np.ndarray, bins: int) -> tuple[float | None, ...]:
+    """(ECE, offset, intercept, slope) of scores p with weight w, of which wy is positive; Nones where a class is missing."""
+    if not 0 < wy.sum() < w.sum():
+        return (None,) * 4
+    at = np.minimum((p * bins).astype(int), bins - 1)
+    ece = np.abs(np.bincount(at, w * p - wy, bins)).sum() / w.sum()
+    q = np.clip(p, TINY, 1 - TINY)
+    z = np.log(q / (1 - q))
+    mean = lambda x: 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+    offset = 0.0
+    for _ in range(50):
+        m = mean(z + offset)
+        step = (wy - w * m).sum() / (w * m * (1 - m)).sum()
+        offset += step
+        if abs(step) < 1e-10:
+            break
+    x, beta = np.c_[np.ones(len(z)), z], np.array([0.0, 1.0])
+    for _ in range(50):
+        m = mean(x @ beta)
+        h = (x * (w * m * (1 - m))[:, None]).T @ x
+        if np.linalg.det(h) <= 1e-12 * h[0, 0] * max(h[1, 1], 1e-300):
+            return float(ece), float(offset), None, None
+        step = np.linalg.solve(h, x.T @ (wy - w * m))
+        beta = beta + step
+        if np.abs(step).max() < 1e-10:
+            return float(ece), float(offset), float(beta[0]), float(beta[1])
+        if np.abs(beta).max() > 1e4:  # scores that part the classes have no finite line
+            break
+    return float(ece), float(offset), None, None
+
+
 def choose_calibration(rows: DataFrame) -> tuple[str, float, float]:
     """('logistic', a, b) if it lowers the weighted Brier score, else ('identity', 0, 1)."""
     a, b = logistic_line(rows)

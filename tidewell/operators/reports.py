@@ -58,6 +58,49 @@ def against_base(table: DataFrame, by: str, base: str, values: list[str]) -> Dat
     return table.crossJoin(F.broadcast(b)).select(*table.columns, *[F.round(F.col(v) - F.col(f"_{v}"), DIGITS).alias(f"{v}_vs_{base}") for v in values])
 
 
+def robustness(rows: DataFrame, columns: list[tuple[str, str, str]], base: str, other: str) -> DataFrame:
+    """Figures of every (representation, configuration) and other minus base for each configuration; none is chosen.
+
+    columns: (representation, configuration, its probability column); rows also have y and w.
+    """
+    from tidewell.operators.metrics import performance
+
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("representation"), F.lit(c).alias("configuration"), F.col(p).alias("p")) for r, c, p in columns])).alias("x")
+    table = performance(rows.select("y", "w", each).select("y", "w", "x.*"), ["representation", "configuration"])
+    pair = paired_differences(table, ["configuration"], "representation", base, other, ["ap", "auroc", "brier"])
+    return table.join(pair, "configuration")
+
+
+GATES = ("ap_above_zero", "sensitivity_superior", "false_alarms_in_budget", "brier_not_worse", "lead_not_shorter", "decision_curve_favorable")
+
+
+def gates(alarm: DataFrame, inference: DataFrame, curve: DataFrame, transport: DataFrame, base: str, other: str, budget: float = 0.25) -> DataFrame:
+    """The six gates, the transport directions and the status they give; a missing figure fails its gate. All inputs are small tables.
+
+    alarm: representation, sensitivity, false_per_day, median_lead. inference: ap_low, brier_low
+    (lower ends of other minus base). curve: difference_low, net_low, treat_all, by threshold.
+    transport: direction, representation, ap.
+    """
+    at = lambda c, k: F.max(F.when(F.col("representation") == k, F.col(c)))
+    a = alarm.agg(*[at(c, k).alias(f"{n}_{c}") for c in ("sensitivity", "false_per_day", "median_lead") for k, n in ((base, "base"), (other, "other"))])
+    good = (F.col("difference_low") > 0) & (F.col("net_low") >= F.col("treat_all")) & (F.col("net_low") >= 0)
+    d = curve.agg(F.max(F.coalesce(good, F.lit(False))).alias("favorable"))
+    way = transport.groupBy("direction").agg((at("ap", other) > at("ap", base)).alias("better"))
+    t = way.agg(F.count("*").alias("directions"), F.sum(F.coalesce(F.col("better").cast("int"), F.lit(0))).alias("directions_better"))
+    one = a.crossJoin(inference).crossJoin(d).crossJoin(t)  # one row each
+    sure = lambda test: F.coalesce(test, F.lit(False))
+    tests = [
+        F.col("ap_low") > 0, F.col("other_sensitivity") > F.col("base_sensitivity"), F.col("other_false_per_day") <= budget,
+        F.col("brier_low") <= 0, F.col("other_median_lead") >= F.col("base_median_lead"), F.col("favorable"),
+    ]
+    out = one.select(*[sure(t).alias(n) for n, t in zip(GATES, tests)], "directions", "directions_better")
+    internal = F.lit(True)
+    for n in GATES:
+        internal = internal & F.col(n)
+    status = F.when(internal & (F.col("directions_better") == F.col("directions")), "TRANSPORT_ROBUSTNESS_CONFIRMED").when(internal, "PROMISING_BUT_NOT_TRANSPORTABLE").otherwise("NO_VERIFIED_IMPROVEMENT")
+    return out.withColumn("status", status)
+
+
 def gate(differences: DataFrame, least_gain: float = 0.0) -> DataFrame:
     """Status from the per-direction gains: all, some or none above least_gain; a missing gain fails its gate."""
     ok = F.coalesce(F.col("ap_difference") > least_gain, F.lit(False))

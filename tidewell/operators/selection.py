@@ -55,6 +55,24 @@ def ranked_by_hash(df: DataFrame, group: list[str], h: str, ties: list[str], out
     return inner.join(shift, on).select(*df.columns, (F.col("_inner") + F.col("_shift")).alias(out))
 
 
+def codes(df: DataFrame, key: str, out: str = "code") -> DataFrame:
+    """Distinct keys with their place in sorted order, from 0: ranked in ranges of the key, shifted by the sizes of the ranges before."""
+    ids = df.select(F.col(key)).distinct()
+    parts = max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ends = sorted(set(ids.approxQuantile(key, [i / parts for i in range(1, parts)], 0.01)))
+    part = F.size(F.filter(F.array(*[F.lit(e) for e in ends]).cast("array<double>"), lambda e: e < F.col(key)))
+    dealt = ids.withColumn("_part", part)
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    shift = sizes.select(F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))  # a row for each range
+    ranked = dealt.withColumn("_inner", F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1)
+    return ranked.join(shift, F.col("_part") == F.col("_at")).select(key, (F.col("_inner") + F.col("_shift")).alias(out))
+
+
+def round_count(rounds: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The median of value in each group, rounded half to even, at least 1."""
+    return rounds.groupBy(*by).agg(F.greatest(F.lit(1), F.bround(F.percentile(value, F.lit(0.5))).cast("int")).alias("rounds"))
+
+
 def top_of_strata(df: DataFrame, strata: list[str], most: int, order: str = "entity") -> DataFrame:
     """The first n rows of each stratum, n the smaller of `most` and the smallest stratum's size."""
     sizes = df.groupBy(*strata).count().agg(F.least(F.min("count"), F.lit(most).cast("long")).alias("n"))

@@ -40,6 +40,13 @@ def with_target(panel: DataFrame, policy: TargetPolicy = TargetPolicy()) -> Data
     return out.withColumns({"hours_to_onset": hours, "eligible": eligible.cast("int")}).withColumn("target", target)
 
 
+def onset_violations(panel: DataFrame, given: DataFrame, policy: TargetPolicy = TargetPolicy()) -> DataFrame:
+    """Entities whose given status or onset is not what the labels say: entity, status, onset, want_status, want_onset."""
+    want = onsets(panel, policy).select("entity", F.col("status").alias("want_status"), F.col("onset").alias("want_onset"))
+    both = given.select("entity", "status", "onset").join(want, "entity", "full_outer")
+    return both.filter(~(F.col("status").eqNullSafe(F.col("want_status")) & F.col("onset").eqNullSafe(F.col("want_onset"))))
+
+
 def decisions(targeted: DataFrame) -> DataFrame:
     return targeted.filter("eligible = 1")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,10 +64,68 @@ def cohort_identity(panel: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def fold_violations(panel: DataFrame, folds: DataFrame, n: int) -> DataFrame:
-    """Entities without a fold, folds without an entity, entities of several folds or of folds out of range."""
-    ids = panel.select("entity").distinct().withColumn("in_panel", F.lit(True))
-    per = folds.groupBy("entity").agg(F.count("*").alias("n"), F.min("fold").alias("fold"))
-    return ids.join(per, "entity", "full_outer").filter(F.col("in_panel").isNull() | F.col("n").isNull() | (F.col("n") > 1) | ~F.col("fold").between(0, n - 1))
+    """(entity, what): entities without a fold, folds without an entity, several folds, folds that are no whole number below n, other labels.
+
+    panel: entity and label by row; folds: entity, label and fold. What is found first is named.
+    """
+    ids = panel.groupBy("entity").agg(F.max("label").alias("want"))
+    fold = F.col("fold").cast("double")
+    per = folds.groupBy("entity").agg(
+        F.count("*").alias("n"), F.min("label").alias("label"), F.max(F.when((fold == F.floor(fold)) & fold.between(0, n - 1), 0).otherwise(1)).alias("bad"),
+    )
+    what = (
+        F.when(F.col("n").isNull(), "no fold").when(F.col("want").isNull(), "unknown entity").when(F.col("n") > 1, "several folds")
+        .when(F.col("bad") == 1, "no such fold").when(~F.col("want").eqNullSafe(F.col("label")), "other label")
+    )
+    return ids.join(per, "entity", "full_outer").select("entity", what.alias("what")).filter("what IS NOT NULL")
+
+
+def without_rows(expected: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Keys of expected that have no row at all."""
+    return expected.select(key).distinct().join(rows.select(F.col(key)).distinct(), key, "left_anti")
+
+
+def longitudinal_violations(df: DataFrame, key: str = "entity", time: str = "t", label: str = "label", by: str | None = None) -> DataFrame:
+    """(entity, t, what): rows whose time does not exceed the one before in `by` order (default: time), and labels that fall back."""
+    late = out_of_order(df, by or time, key, time).select(key, time, F.lit("order").alias("what"))
+    return late.unionByName(label_drops(df, key, time, label).select(key, time, F.lit("label").alias("what")))
+
+
+def thin_classes(rows: DataFrame, by: list[str], label: str, least: int = 2) -> DataFrame:
+    """Groups that hold fewer than `least` rows of label 0 or of label 1."""
+    n = lambda v: F.sum(F.when(F.col(label) == v, 1).otherwise(0))
+    return rows.groupBy(*by).agg(n(0).alias("zeros"), n(1).alias("ones")).filter((F.col("zeros") < least) | (F.col("ones") < least))
+
+
+def rule_violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """(key, rule) for each rule a row breaks; a rule that is neither true nor false is broken. One pass for all rules."""
+    broken = [F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()]
+    return df.select(key, F.explode(F.filter(F.array(*broken), lambda x: x.isNotNull())).alias("rule"))
+
+
+def many_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The left join, after checks that right has each key once and every row of left finds one."""
+    enforce(duplicates(right, keys), f"keys {keys} are not unique")
+    enforce(left.join(right, keys, "left_anti").select(*keys), f"rows without a match on {keys}")
+    return left.join(right, keys, "left")
+
+
+def paired(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a and b side by side, after checks that both have the same keys, each once."""
+    for one in (a, b):
+        enforce(duplicates(one, keys), f"keys {keys} are not unique")
+    if clash := (set(a.columns) & set(b.columns)) - set(keys):
+        raise Violation(f"columns of both sides: {sorted(clash)}")
+    for x, y in ((a, b), (b, a)):
+        enforce(x.join(y, keys, "left_anti").select(*keys), "the two sides hold other keys")
+    return a.join(b, keys)
+
+
+def with_predictions(rows: DataFrame, predictions: DataFrame, keys: list[str], probabilities: list[str]) -> DataFrame:
+    """rows with prediction columns: new names only, the same keys, probabilities in [0, 1]."""
+    for p in probabilities:
+        enforce(not_probability(predictions, p).select(*keys, p), f"{p} is no probability")
+    return paired(rows, predictions, keys)
 
 
 def frame_differences(a: DataFrame, b: DataFrame, keys: list[str], rtol: float = 0.0) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.functions.scalars import shannon_entropy
+
 KEY, TIME = "entity", "t"
 
 
@@ -70,13 +72,14 @@ def change_and_hours(x: str) -> tuple[Column, Column]:
 
 
 def rolling(x: str, n: int, what: str, least: int = 2) -> Column:
-    """mean, std (sample), iqr (linear quantiles), max over (t - n, t]; null below `least` observations."""
+    """mean, std (sample), iqr (linear quantiles), max, entropy (natural log, ten equal bins) over (t - n, t]; null below `least` observations."""
     w = hours(n)
     stat = {
         "mean": lambda: F.avg(x).over(w),
         "std": lambda: F.stddev_samp(x).over(w),
         "iqr": lambda: F.expr(f"percentile({x}, 0.75)").over(w) - F.expr(f"percentile({x}, 0.25)").over(w),
         "max": lambda: F.max(x).over(w),
+        "entropy": lambda: shannon_entropy(F.collect_list(x).over(w)),  # a frame's values, never a timeline's
     }[what]()
     return F.when(F.count(x).over(w) >= least, stat)
 

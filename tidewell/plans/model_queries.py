@@ -233,7 +233,7 @@ def bh_adjust(spark, sf_dir):
 def lead_time_summary(spark, sf_dir):
     from tidewell.operators import alarms
 
-    r = alarms.alarm_rows(pq.alarm_input(spark, sf_dir), F.col("p0") >= 0.6).withColumn("lead", (F.col("onset") - F.col("first_useful")).cast("double"))
+    r = alarms.alarm_rows(pq.alarm_input(spark, sf_dir), F.col("p0") >= 0.6).withColumn("lead", F.col("lead").cast("double"))
     q = lambda x: F.percentile("lead", F.lit(x))
     return r.groupBy("source").agg(F.count("first_useful").alias("detected"), F.round(q(0.5), 6).alias("median_lead"), F.round(q(0.75) - q(0.25), 6).alias("iqr_lead"))
 

@@ -271,23 +271,25 @@ def target_consistency(spark, sf_dir):
 EDGES = SCORED + ", edges AS (SELECT * FROM (SELECT *, p0 >= 0.6 AND NOT coalesce(lag(p0 >= 0.6) OVER (PARTITION BY entity ORDER BY t), false) AS edge FROM scored) WHERE edge)"
 _ACCEPT = """list_reduce(list_transform(list(t ORDER BY t), lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[len(a)] >= 6 THEN list_concat(a, x) ELSE a END)"""
 EPISODES = EDGES + f", ep AS (SELECT entity, {_ACCEPT} AS times FROM edges GROUP BY entity)"
-_CLASSES = """n_episodes, n_useful, n_false, n_late, n_after, n_censored, first_useful, times_text"""
-ALARMS = EPISODES + """, per AS (SELECT entity, source, min(status) AS status, min(onset) AS onset, CAST(sum(eligible) AS BIGINT) AS eligible_hours, max(target) AS has_target FROM scored GROUP BY entity, source),
+ALARMS = EPISODES + """, per AS (SELECT entity, source, min(status) AS status, min(onset) AS onset, CAST(sum(eligible) AS BIGINT) AS eligible_hours, max(CASE WHEN eligible = 1 THEN t END) AS z FROM scored GROUP BY entity, source),
     cls AS (SELECT per.*, coalesce(times, []) AS ts FROM per LEFT JOIN ep USING (entity)),
-    rows_ AS (SELECT entity, source, status, onset, eligible_hours, has_target, CAST(len(ts) AS INTEGER) AS n_episodes,
+    cnt AS (SELECT entity, source, status, onset, eligible_hours, CAST(eligible_hours > 0 AS INTEGER) AS monitored, CAST(status = 'exact' AS INTEGER) AS onset_known, round(eligible_hours / 24e0, 6) AS days, CAST(len(ts) AS INTEGER) AS n_episodes,
       CAST(CASE WHEN status = 'exact' THEN len(list_filter(ts, lambda x: x >= onset - 6 AND x <= onset - 1)) ELSE 0 END AS INTEGER) AS n_useful,
-      CAST(CASE WHEN status = 'exact' THEN len(list_filter(ts, lambda x: x < onset - 6)) WHEN status = 'left_censored' THEN 0 ELSE len(ts) END AS INTEGER) AS n_false,
+      CAST(CASE WHEN status = 'exact' THEN len(list_filter(ts, lambda x: x < onset - 6)) WHEN status = 'left_censored' THEN 0 ELSE len(list_filter(ts, lambda x: coalesce(x <= z, false))) END AS INTEGER) AS n_false,
       CAST(CASE WHEN status = 'exact' THEN len(list_filter(ts, lambda x: x > onset - 1 AND x < onset)) ELSE 0 END AS INTEGER) AS n_late,
       CAST(CASE WHEN status = 'exact' THEN len(list_filter(ts, lambda x: x >= onset)) ELSE 0 END AS INTEGER) AS n_after,
       CAST(CASE WHEN status = 'left_censored' THEN len(ts) ELSE 0 END AS INTEGER) AS n_censored,
+      CAST(CASE WHEN status = 'negative' THEN len(list_filter(ts, lambda x: NOT coalesce(x <= z, false))) ELSE 0 END AS INTEGER) AS n_right_censored,
+      CAST(greatest(len(ts) - 1, 0) AS INTEGER) AS n_repeated, list_min(ts) AS first_alert,
       CASE WHEN status = 'exact' THEN list_min(list_filter(ts, lambda x: x >= onset - 6 AND x <= onset - 1)) END AS first_useful,
-      array_to_string(ts, ';') AS times_text FROM cls)"""
-_SUMMARY = """count(*) AS entities, CAST(sum(CASE WHEN status = 'exact' AND has_target = 1 AND n_useful > 0 THEN 1 ELSE 0 END) AS BIGINT) AS detected,
-      CAST(sum(CASE WHEN status = 'exact' AND has_target = 1 AND n_useful = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missed,
-      CAST(sum(n_false) AS BIGINT) AS false_episodes, CAST(sum(n_late) AS BIGINT) AS late_episodes, CAST(sum(n_after) AS BIGINT) AS after_episodes, CAST(sum(n_censored) AS BIGINT) AS censored_episodes,
-      round(sum(CASE WHEN status <> 'left_censored' THEN eligible_hours END) / 24e0, 6) AS days,
-      round(sum(n_false) / (sum(CASE WHEN status <> 'left_censored' THEN eligible_hours END) / 24e0), 6) AS false_per_day,
-      round(quantile_cont(CAST(CASE WHEN n_useful > 0 THEN onset - first_useful END AS DOUBLE), 0.5), 6) AS median_lead"""
+      array_to_string(ts, ';') AS times_text, CASE WHEN status = 'exact' THEN array_to_string(list_filter(ts, lambda x: x >= onset - 6 AND x <= onset - 1), ';') ELSE '' END AS useful_text FROM cls),
+    rows_ AS (SELECT *, onset - first_useful AS lead, CAST(n_useful > 0 AS INTEGER) AS detected, CAST(status = 'exact' AND n_useful = 0 AS INTEGER) AS missed FROM cnt)"""
+_SUMMARY = """count(*) AS entities, CAST(sum(monitored) AS BIGINT) AS monitored, CAST(sum(n_episodes) AS BIGINT) AS episodes,
+      CAST(sum(detected) AS BIGINT) AS detected, CAST(sum(missed) AS BIGINT) AS missed,
+      CAST(sum(n_false) AS BIGINT) AS false_episodes, CAST(sum(n_repeated) AS BIGINT) AS repeated_episodes, CAST(sum(n_late) AS BIGINT) AS late_episodes, CAST(sum(n_after) AS BIGINT) AS after_episodes,
+      CAST(sum(n_censored) AS BIGINT) AS censored_episodes, CAST(sum(n_right_censored) AS BIGINT) AS right_censored_episodes,
+      round(sum(eligible_hours) / 24e0, 6) AS days, round(sum(n_false) / nullif(sum(eligible_hours) / 24e0, 0), 6) AS false_per_day,
+      round(quantile_cont(CAST(lead AS DOUBLE), CAST(0.5 AS DOUBLE)), 6) AS median_lead"""
 
 
 def alarm_input(spark, sf_dir):
@@ -323,9 +325,9 @@ def alarm_metrics_by_source(spark, sf_dir):
 SWEEP = SCORED + f""", el AS (SELECT * FROM scored WHERE eligible = 1), grid AS (SELECT unnest(range(1, 101)) AS k),
     el2 AS (SELECT *, floor(round(p0 * 100, 9)) AS top, coalesce(lag(floor(round(p0 * 100, 9))) OVER (PARTITION BY entity ORDER BY t), -1) AS before_ FROM el),
     ed AS (SELECT entity, k, {_ACCEPT} AS times FROM el2, grid WHERE k <= top AND k > before_ GROUP BY entity, k),
-    per AS (SELECT entity, min(status) AS status, min(onset) AS onset, count(*) AS n, max(target) AS has_target FROM el GROUP BY entity),
-    tot AS (SELECT sum(n) / 24e0 AS days, sum(CASE WHEN status = 'exact' AND has_target = 1 THEN 1 ELSE 0 END) AS at_stake FROM per),
-    c AS (SELECT k, sum(CASE WHEN status = 'exact' AND has_target = 1 AND len(list_filter(times, lambda x: x >= onset - 6 AND x <= onset - 1)) > 0 THEN 1 ELSE 0 END) AS detected,
+    per AS (SELECT entity, min(status) AS status, min(onset) AS onset, count(*) AS n FROM el GROUP BY entity),
+    tot AS (SELECT sum(n) / 24e0 AS days, sum(CASE WHEN status = 'exact' THEN 1 ELSE 0 END) AS at_stake FROM per),
+    c AS (SELECT k, sum(CASE WHEN status = 'exact' AND len(list_filter(times, lambda x: x >= onset - 6 AND x <= onset - 1)) > 0 THEN 1 ELSE 0 END) AS detected,
       sum(CASE WHEN status = 'exact' THEN len(list_filter(times, lambda x: x < onset - 6)) ELSE len(times) END) AS fe FROM ed JOIN per USING (entity) GROUP BY k),
     sweep AS (SELECT CAST(grid.k AS INTEGER) AS threshold_pct, CAST(coalesce(detected, 0) AS BIGINT) AS detected, CAST(coalesce(fe, 0) AS BIGINT) AS false_episodes,
       round(coalesce(detected, 0) * 1e0 / nullif(at_stake, 0), 6) AS sensitivity, round(coalesce(fe, 0) / nullif(days, 0), 6) AS false_per_day FROM grid LEFT JOIN c ON grid.k = c.k, tot)"""
