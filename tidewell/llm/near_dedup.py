@@ -40,8 +40,9 @@ from tidewell.llm.common import ids_and_text, packed, stored, with_ids
 UNIVERSE = 1 << 20
 BANDS, ROWS = 40, 6
 SCREEN = 0.68
-BLOCK = 4096  # members of a bucket that one task compares with another such block, by signatures
-TEXTS = 1024  # members of a cluster that one task compares with another such block, by full sets
+BLOCK = 2048  # members of a bucket that one task compares with another such block, by signatures
+TEXTS = 512  # members of a cluster that one task compares with another such block, by full sets
+BLOCK_BYTES = 8 << 20  # of a block's texts
 WORDS_CACHED = 1_000_000
 
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
@@ -192,12 +193,30 @@ class Forest:
 
 
 def in_blocks(members: DataFrame, group: str, block: int) -> DataFrame:
-    """members of the groups that hold more than one comp, with task coordinates i <= j and own block."""
-    sizes = members.groupBy(group).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-    mixed_ = sizes.filter("lo < hi").select(group, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    part = members.join(mixed_, group).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    return part.select(group, "id", "comp", "own", F.inline(other))
+    """members (group, id, comp, size in bytes) of the groups that hold more than one comp, dealt to tasks (group, i, j, rest).
+
+    A group's largest comp is cut into chunks, its other members into blocks. Task (i, j) holds block i
+    and chunk j; task (i, j, rest) blocks i and j. So a member of the largest comp is sent once for each
+    block of the others, which are few once stars have joined the most: work is their number times the
+    group's, not the group's square.
+    """
+    per = members.groupBy(group, "comp").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    top = F.max(F.struct("n", "comp", "bytes"))
+    sizes = per.groupBy(group).agg(top.alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("comps")).filter("comps > 1")
+    many = lambda n, size: F.ceil(F.greatest(n / block, size / BLOCK_BYTES)).cast("int")
+    plan = sizes.select(group, F.col("top.comp").alias("main"), many(F.col("top.n"), F.col("top.bytes")).alias("chunks"), many(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("blocks"))
+    part = members.join(stored(plan, "near-blocks"), group).withColumn("is_main", F.col("comp") == F.col("main"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("chunks")).otherwise(F.col("blocks"))).cast("int")
+    task = lambda i, j, rest: F.struct(i.alias("i"), j.alias("j"), F.lit(rest).alias("rest"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    with_blocks = F.transform(upto("blocks"), lambda i: task(i, F.col("own"), False))
+    with_rest = F.transform(upto("blocks"), lambda j: task(F.least(j, F.col("own")), F.greatest(j, F.col("own")), True))
+    with_chunks = F.transform(upto("chunks"), lambda j: task(F.col("own"), j, False))
+    tasks = F.when(F.col("is_main"), with_blocks).otherwise(F.concat(with_chunks, with_rest))
+    return part.withColumn("own", own).select(group, "id", "comp", "is_main", F.inline(tasks))
+
+
+TASK = ["i", "j", "rest"]
 
 
 def forest_table(ids: np.ndarray, forest: Forest) -> pa.Table:
@@ -205,40 +224,41 @@ def forest_table(ids: np.ndarray, forest: Forest) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def queries_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, comps, rows that need comparing: all but the commonest comp's)."""
+def queries_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, comps, rows to compare, whether a row may be compared with): the others with the largest comp's, or with each other."""
     ids, comp = t.column("id").to_numpy(), t.column("comp").to_numpy()
-    _, at, n = np.unique(comp, return_inverse=True, return_counts=True)
-    return ids, comp, np.flatnonzero(at != np.argmax(n))
+    main = t.column("is_main").to_numpy(zero_copy_only=False)
+    return ids, comp, np.flatnonzero(~main), np.ones(len(ids), bool) if t.column("rest")[0].as_py() else main
 
 
 def across_clusters(buckets: DataFrame, sigs: DataFrame, labels: DataFrame, width: int, screen: float, block: int = BLOCK) -> DataFrame:
     """Agreements (a, b) that join different clusters' bucket-mates: a forest for each task."""
     member = buckets.join(labels.withColumnRenamed("label", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    tasks = in_blocks(member, "key", block).join(sigs.select("id", "sig"), "id")
+    tasks = in_blocks(member.withColumn("size", F.lit(4 * width)), "key", block).join(sigs.select("id", "sig"), "id")
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, comp, some = queries_of(t)
+        ids, comp, some, to = queries_of(t)
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int32).reshape(-1, width)
         forest = Forest(comp)
         for x in some:
-            other = np.flatnonzero(comp != comp[x])
+            other = np.flatnonzero(to & (comp != comp[x]))
             for at in range(0, len(other), 2048):
                 y = other[at : at + 2048]
                 for k in y[(sig[y] == sig[x]).sum(axis=1) >= screen * width]:
                     forest.join(int(x), int(k))
         return forest_table(ids, forest)
 
-    return tasks.select("key", "i", "j", "id", "comp", "sig").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    return tasks.select("key", *TASK, "id", "comp", "is_main", "sig").groupBy("key", *TASK).applyInArrow(compare, "a long, b long")
 
 
 def links_in_clusters(texts: DataFrame, clusters: DataFrame, labels: DataFrame, shingle: int, percent: int, block: int = TEXTS) -> DataFrame:
     """Links (a, b) that join different components (labels) of one cluster (id, label): a forest for each task."""
     member = clusters.withColumnRenamed("label", "cluster").join(labels.withColumnRenamed("label", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    member = member.join(texts.select("id", F.length("text").alias("size")), "id")
     tasks = stored(in_blocks(member, "cluster", block), "near-tasks")
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, comp, some = queries_of(t)
+        ids, comp, some, to = queries_of(t)
         sets = [shingle_set(x, shingle) for x in t.column("text").to_pylist()]
         size = np.array([len(x) for x in sets])
         owner = np.repeat(np.arange(len(sets)), size)
@@ -256,12 +276,12 @@ def links_in_clusters(texts: DataFrame, clusters: DataFrame, labels: DataFrame,
                 n = start[part + 1] - start[part]
                 places = np.repeat(start[part] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 shared += np.bincount(held[places], minlength=len(sets))
-            linked = (100 * shared >= percent * (size + size[x] - shared)) & (shared > 0) & (comp != comp[x])
+            linked = (100 * shared >= percent * (size + size[x] - shared)) & (shared > 0) & (comp != comp[x]) & to
             for k in np.flatnonzero(linked):
                 forest.join(int(x), int(k))
         return forest_table(ids, forest)
 
-    return tasks.join(texts, "id").select("cluster", "i", "j", "id", "comp", "text").groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+    return tasks.join(texts, "id").select("cluster", *TASK, "id", "comp", "is_main", "text").groupBy("cluster", *TASK).applyInArrow(compare, "a long, b long")
 
 
 def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
