@@ -27,6 +27,12 @@ def top_signals(support: DataFrame, k: int) -> DataFrame:
     return support.orderBy(F.desc("coverage"), "signal").limit(k)
 
 
+def supported_signals(panel: DataFrame, signals: list[str], least_coverage: float, least_entities: int, most: int) -> tuple[str, ...]:
+    """Signals with enough coverage and entities, best covered first (ties by name): a list of names."""
+    good = signal_support(panel, signals).filter((F.col("coverage") >= least_coverage) & (F.col("entities") >= least_entities))
+    return tuple(r["signal"] for r in top_signals(good, most).collect())
+
+
 def location_scale(panel: DataFrame, signals: list[str]) -> DataFrame:
     """Per signal: median and interquartile range (1 where that is 0 or missing)."""
     q = long_signals(panel, signals).groupBy("signal").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))

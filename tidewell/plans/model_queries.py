@@ -10,6 +10,7 @@ from tidewell.operators import features as feats
 from tidewell.operators import innovations, lineage, metrics, models, reports, selection, target, windows
 from tidewell.plans import panel_queries as pq
 from tidewell.plans.panel_queries import LABELLED, PANEL, SCORED, TARGET, labelled, panel, scored, table, targeted
+from tidewell.policy import ModelPolicy
 
 QUERIES: dict[str, pq.Query] = {}
 SQL: dict[str, str] = {}
@@ -290,24 +291,45 @@ def lineage_dangling(spark, sf_dir):
 
 # --- models -------------------------------------------------------------------------------
 
-SMALL = [models.Candidate(2, 3, 0.3), models.Candidate(3, 3, 0.3)]
+#: The grid's shape at a size that a check can wait for; models.Plan's own defaults are the full one.
+SMALL = {"candidates": (models.Candidate(2, 0.3), models.Candidate(3, 0.3)), "outer": 2, "inner": 2, "rounds": 3, "patience": 2, "policy": ModelPolicy(least_entities=1)}
 
 
-def model_rows(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    rows = feats.features(targeted(spark, sf_dir), pq.SIGNALS)
-    inputs = feats.model_columns(rows.columns, "C1", pq.SIGNALS)
-    return rows.select("entity", "source", "t", "status", "onset", "hours_to_onset", "eligible", "target", "measurement_count", *[c for c in inputs if c not in ("t", "measurement_count")]), inputs
+def plan(name: str, **how) -> models.Plan:
+    return models.Plan(name, tuple(pq.SIGNALS), **SMALL | how)
+
+
+def model_rows(spark, sf_dir) -> DataFrame:
+    return feats.features(targeted(spark, sf_dir), pq.SIGNALS)
+
+
+def _shown(out: DataFrame, *more: str) -> DataFrame:
+    return out.select("entity", "t", "depth", "lift", "rounds", "calibrator", "threshold_pct", F.round("p_raw", 6).alias("p_raw"), F.round("p", 6).alias("p"), *more)
 
 
 @query()
 def nested_oof(spark, sf_dir):
-    """Nested cross-validation with a small policy; every row gets one out-of-fold prediction."""
-    rows, inputs = model_rows(spark, sf_dir)
-    out = models.nested_predictions(rows, inputs, SMALL, 2, 2, 20)
-    return out.select("entity", "t", "outer", "depth", "threshold_pct", F.round("p", 6).alias("p"))
+    """Nested cross-validation on the state representation; every row gets one out-of-fold prediction."""
+    return _shown(models.nested_predictions(model_rows(spark, sf_dir), plan("C1"), 20), "outer")
+
+
+@query()
+def nested_innovations(spark, sf_dir):
+    """The same with innovations: both lifts, the representation fitted inside each fold."""
+    return _shown(models.nested_predictions(model_rows(spark, sf_dir), plan("C3", candidates=(models.Candidate(3, 0.3),)), 20), "outer")
+
+
+@query()
+def robustness_oof(spark, sf_dir):
+    """Predictions of every seed and balance on the changes representation, and their figures; none is chosen."""
+    grid = models.robustness_grid()
+    out = models.nested_predictions(model_rows(spark, sf_dir), plan("C2", candidates=(models.Candidate(3, 0.3),)), 20, grid)
+    y = target.decisions(out).withColumn("y", F.col("target").cast("double")).withColumn("w", scalars.equal_entity_weight())
+    names = ["p_raw", *(f"p_{s}_{b}" for s, b in grid)]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("configuration"), F.col(n).alias("p")) for n in names])).alias("x")
+    return metrics.performance(y.select("y", "w", each).select("y", "w", "x.*"), ["configuration"])
 
 
 @query()
 def transport_ab(spark, sf_dir):
-    rows, inputs = model_rows(spark, sf_dir)
-    return models.transport(rows, inputs, SMALL[1], "A", 20).select("entity", "t", F.round("p", 6).alias("p"))
+    return _shown(models.transport(model_rows(spark, sf_dir), plan("C1"), "A", 20))

@@ -51,7 +51,12 @@ class ModelPolicy:
     inner_folds: int = 3
     ridge: float = 1.0
     top_signals: int = 20
-    most_transitions: int = 20_000
+    least_coverage: float = 0.05
+    least_entities: int = 1000
+    rounds: int = 600
+    patience: int = 30
+    seeds: tuple[int, ...] = (0, 101, 202)
+    balances: tuple[str, ...] = ("entity", "row", "class")
     bootstrap: int = 300
     curve: tuple[int, ...] = (5, 10, 15, 20, 25, 30, 35, 40, 45, 50)
 
