@@ -6,43 +6,22 @@ columns alone, so further columns of any name cannot clash with an operator's ow
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.sources.shared import shared_dir, stored
+
+__all__ = ["SPACE", "FEW_ROWS", "FEW_IDS", "ids_and_text", "join_small", "md5_long", "packed", "parts_for", "ranks_of_hash", "running", "shared_dir", "stored", "with_ids"]
+
 #: ASCII white space; what bytes.split() splits at.
 SPACE = r"[\x20\x09-\x0D]+"
 FEW_ROWS = 100_000  # rows of parameters, some hundred bytes each, that may be broadcast
 FEW_IDS = 2_000_000  # ids that may be broadcast: 16 MB, some 60 MB in an executor
 SALTS = 32
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset on one machine (tests), a new one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="tidewell-")
-    return _own_dirs[app]
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))

@@ -306,8 +306,8 @@ def verdict_table(sids: pa.ChunkedArray, stretch: np.ndarray, offset: np.ndarray
     return pa.table({"sid": sids.take(pa.array(stretch)), "offset": pa.array(offset.astype(np.int32)), "windows": pa.array(windows.astype(np.int32)), "least": pa.array(least.astype(np.int64))})
 
 
-def repeats(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], pa.Table], finish: Callable, out: str, later_only: bool, group_bytes: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, folded classes, results of the classes with repeats).
+def repeats(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], pa.Table], finish: Callable, out: str, later_only: bool, group_bytes: int | None = None) -> DataFrame:
+    """rows with first and copies of their class, and the results of the classes with repeats (else null).
 
     decide: a group's distinct stretches to verdicts. later_only: a window stays in the text of its
     least doc_id. finish: (text, starts, windows) to the tuple of result columns `out`.
@@ -341,7 +341,8 @@ def repeats(docs: DataFrame, kind: Kind, decide: Callable[[pa.Table], pa.Table],
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], ["digest", *names])
 
     results = cand.select("text", "digest").join(runs, "digest").mapInArrow(done, f"digest binary, {out}")
-    return rows, folded, results.dropDuplicates(["digest"])
+    per_class = stored(folded.join(results.dropDuplicates(["digest"]), "digest", "left"), "repeat-results")
+    return rows.join(per_class, "digest")  # files on both sides: a class of many copies may be split
 
 
 def _half(folded: DataFrame) -> DataFrame:

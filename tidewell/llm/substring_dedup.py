@@ -137,8 +137,7 @@ def substring_dedup(docs: DataFrame, span: int = 13, k: int = 8, id_col: str = "
         return int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()), hashlib.sha256(kept).hexdigest()
 
     src = ids_and_text(docs, id_col, text_col)
-    rows, folded, results = repeats(src, word_kind(span, min(k, span)), deep_nodes(span), finish, "n_removed long, n_spans long, kept string", True)
-    joined = rows.join(folded, "digest").join(results, "digest", "left")
+    joined = repeats(src, word_kind(span, min(k, span)), deep_nodes(span), finish, "n_removed long, n_spans long, kept string", True)
     copy = (F.col("place") > F.col("first")) & (F.col("n") >= span)
     none = hashlib.sha256(b"").hexdigest()
     return joined.select(

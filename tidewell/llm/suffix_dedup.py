@@ -253,8 +253,7 @@ def suffix_dedup(docs: DataFrame, span: int = 400, k: int = 64, id_col: str = "d
         return int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()), hashlib.sha256(data[~gone].tobytes()).hexdigest()
 
     src = ids_and_text(docs, id_col, text_col)
-    rows, folded, results = repeats(src, byte_kind(span, min(k, span)), repeated_windows(span), finish, "n_removed long, n_spans long, kept string", False)
-    joined = rows.join(folded, "digest").join(results, "digest", "left")
+    joined = repeats(src, byte_kind(span, min(k, span)), repeated_windows(span), finish, "n_removed long, n_spans long, kept string", False)
     copy = (F.col("copies") > 1) & (F.col("n") >= span)
     none = hashlib.sha256(b"").hexdigest()
     return joined.select(
