@@ -187,6 +187,63 @@ def test_archives_files_and_logs(spark, tmp_path):
         src.canonical_names(["a"], ["a", "b"])
 
 
+def test_harmonised_panels_fail_closed(spark, tmp_path):
+    z = tmp_path / "raw.zip"
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("top/setA/p1.psv", "t|x|label\n1|5|0\n2|NaN|1\n")
+        f.writestr("top/setB/p2.psv", "t|x|label\n1|7|0\n4||0\n")
+    lines = src.read_archive(spark, str(z))
+    got = src.harmonised(src.psv_rows(lines, ["t", "x", "label"]), ["x"]).orderBy("entity", "t").collect()
+    assert [(r.entity, r.t, r.x, r.label) for r in got] == [("setA:p1", 1.0, 5.0, 0), ("setA:p1", 2.0, None, 1), ("setB:p2", 1.0, 7.0, 0), ("setB:p2", 4.0, None, 0)]
+    for bad, what in (("1|x|0", "numbers"), ("1|5|0\n1|5|0", "increase"), ("1|5|1\n2|5|0", "fall back"), ("1|5|2", "0 and 1")):
+        rows = [("s", "s:e", k, *line.split("|")) for k, line in enumerate(bad.split("\n"))]
+        with pytest.raises(validate.Violation, match=what):
+            src.harmonised(spark.createDataFrame(rows, "source string, entity string, row int, t string, x string, label string"), ["x"])
+    with pytest.raises(Exception, match="no source and entity"):
+        spark.createDataFrame([("p1.psv",)], "name string").select(*src.source_and_entity(F.col("name"))).collect()
+    with zipfile.ZipFile(tmp_path / "empty.zip", "w") as f:
+        f.writestr("Dataset.csv", "no")
+    with pytest.raises(ValueError, match="no such members"):
+        src.inventory_hash(src.archive_members(spark, str(tmp_path / "empty.zip")))
+
+
+def test_runs_manifests_and_ledger(spark, tmp_path):
+    from tidewell.sources import runs
+
+    root = tmp_path / "run"
+    root.mkdir()
+    (root / "panel.csv").write_text("entity,x\n4,1.5\n,2\n")
+    (root / "oof.csv").write_text("p\n0.5\n")
+    now = src.file_hashes(spark, str(root))
+    one, two = (runs.stage_manifest(now.filter(F.col("artifact").endswith(n)), s, str(root)) for n, s in (("panel.csv", "prepare"), ("oof.csv", "model")))
+    stages = one.union(two)
+    assert {(r.stage, r.artifact) for r in stages.collect()} == {("prepare", "panel.csv"), ("model", "oof.csv")}
+    with pytest.raises(validate.Violation, match="outside"):
+        runs.stage_manifest(now, "x", str(root / "deeper"))
+    uses = spark.createDataFrame([("model", "prepare")], "stage string, uses string")
+    nodes, edges = runs.lineage_of(stages, uses)
+    assert [(r.node, r.input) for r in edges.collect()] == [("oof.csv", "panel.csv")]
+    as_now = stages.select("artifact", "sha256")
+    assert runs.promote(stages, as_now, uses, str(tmp_path / "final")).count() == 2
+    with pytest.raises(Exception, match="(?i)already exists"):
+        runs.promote(stages, as_now, uses, str(tmp_path / "final"))
+    with pytest.raises(validate.Violation, match="differ"):
+        runs.promote(stages, as_now.withColumn("sha256", F.lit("0")), uses, str(tmp_path / "other"))
+    got = runs.read_projection(spark, str(root / "panel.csv"), ["entity", "x"], ["entity"]).orderBy("x").collect()
+    assert [(r.entity, r.x) for r in got] == [("4", 1.5), ("", 2.0)]
+    with pytest.raises(ValueError, match="missing"):
+        runs.read_projection(spark, str(root / "panel.csv"), ["y"])
+    said = {r.name: r.value for r in runs.runtime_manifest(spark, "r1", AlarmPolicy()).collect()}
+    assert said["policy.digest"] == digest(AlarmPolicy()) and "spark.version" in said
+    for rows in ([("1", "submitted", ""), ("2", "submitted", "")], [("1", "done", "")]):
+        runs.append_ledger(spark, str(tmp_path / "ledger"), rows)
+    assert [r.job for r in runs.open_jobs(spark.read.parquet(str(tmp_path / "ledger"))).collect()] == ["2"]
+    (tmp_path / "log").write_text("a=1\nb=2\n")
+    assert src.key_value_log(spark, str(tmp_path / "log"), ["a", "b"]).count() == 2
+    with pytest.raises(ValueError, match="keys differ"):
+        src.key_value_log(spark, str(tmp_path / "log"), ["a"])
+
+
 def test_policy_digest():
     assert digest(PanelPolicy()) == digest(PanelPolicy()) != digest(AlarmPolicy())
 

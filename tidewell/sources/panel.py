@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.operators.validate import duplicates, enforce, label_drops, not_in, not_numeric, numbers, out_of_order
 from tidewell.policy import PanelPolicy
 
 EPOCH = "2024-01-01"
@@ -44,19 +45,42 @@ def densify(panel: DataFrame) -> DataFrame:
     return spine.join(panel, ["entity", "source", "t"], "left").withColumn("label", F.max("label").over(so_far))
 
 
+def source_and_entity(path: Column) -> list[Column]:
+    """The two last parts of .../<source>/<entity>.psv; a job fails on any other path."""
+    part = lambda k: F.regexp_extract(path, r"([^/]+)/([^/]+)\.psv$", k)
+    return [F.when(part(k) != "", part(k)).otherwise(F.raise_error(F.concat(F.lit("no source and entity in the path "), path))) for k in (1, 2)]
+
+
 def read_psv(spark: SparkSession, path: str, columns: list[str], policy: PanelPolicy = PanelPolicy()) -> DataFrame:
     """Pipe-separated files of one entity each as text columns; missing tokens are null.
 
-    The path's last parts give source and entity: .../<source>/<entity>.psv.
+    The path's last parts give source and entity: .../<source>/<entity>.psv; another path fails the job.
     """
     schema = ", ".join(f"`{c}` string" for c in columns)
     raw = spark.read.schema(schema).csv(path, sep="|", header=True, enforceSchema=False, pathGlobFilter="*.psv", recursiveFileLookup=True)
-    name = F.col("_metadata.file_path")
-    parts = [F.regexp_extract(name, r"([^/]+)/([^/]+)\.psv$", k) for k in (1, 2)]
+    parts = source_and_entity(F.col("_metadata.file_path"))
     known = [F.when(~F.trim(c).isin(*policy.missing_tokens), F.trim(c)).alias(c) for c in columns]
     return raw.select(parts[0].alias("source"), F.concat_ws(":", *parts).alias("entity"), *known)
 
 
+def harmonised(raw: DataFrame, signals: list[str], time: str = "t", label: str = "label", ordinal: str = "row", policy: PanelPolicy = PanelPolicy()) -> DataFrame:
+    """From text columns of many entities' files (source, entity, ordinal in the file) to a checked panel.
+
+    Fails on cells that are no numbers, times that do not increase in file order, labels other than 0
+    and 1 or falling back, and repeated keys. Every check is one aggregate or window job over all rows.
+    """
+    columns = [time, label, *signals]
+    raw = raw.withColumns({c: F.when(~F.trim(c).isin(*policy.missing_tokens), F.trim(c)) for c in columns})
+    enforce(not_numeric(raw, columns), "cells that are no finite numbers")
+    rows = numbers(raw, columns)
+    enforce(rows.filter(F.col(time).isNull()).select("entity", ordinal), "rows without a time")
+    enforce(not_in(rows, label, [0, 1]).select("entity", ordinal, label), "labels other than 0 and 1")
+    enforce(out_of_order(rows, ordinal, "entity", time).select("entity", time), "times that do not increase")
+    enforce(label_drops(rows, "entity", time, label).select("entity", time), "labels that fall back")
+    enforce(duplicates(rows, ["entity", time]), "repeated keys")
+    return rows.select("source", "entity", F.col(time), *signals, F.col(label).cast("int").alias(label))
+
+
 def archive_members(spark: SparkSession, path: str, suffix: str = ".psv") -> DataFrame:
     """name, size and crc of an archive's members with the suffix; other members are left out."""
 
@@ -88,7 +112,7 @@ def psv_rows(lines: DataFrame, columns: list[str]) -> DataFrame:
     """Archive lines below each member's header as columns, with source and entity from the member's path."""
     cells = F.split("line", r"\|", -1)
     out = lines.filter("number > 0").withColumn("cells", cells)
-    parts = [F.regexp_extract("name", r"([^/]+)/([^/]+)\.psv$", k) for k in (1, 2)]
+    parts = source_and_entity(F.col("name"))
     return out.select(parts[0].alias("source"), F.concat_ws(":", *parts).alias("entity"), F.col("number").alias("row"), *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 
@@ -102,10 +126,16 @@ def canonical_names(columns: list[str], allowed: list[str], aliases: dict[str, s
     return named
 
 
-def key_value_log(spark: SparkSession, path: str) -> DataFrame:
-    """key and value of the key=value lines of text files; other lines are skipped."""
+def key_value_log(spark: SparkSession, path: str, expected: list[str] | None = None) -> DataFrame:
+    """key and value of the key=value lines of text files; other lines are skipped. expected: the exact keys, each once."""
     line = F.regexp_extract("value", r"^\s*([A-Za-z_][A-Za-z0-9_]*)=(.*?)\s*$", 1)
-    return spark.read.text(path).select(line.alias("key"), F.regexp_extract("value", r"=(.*?)\s*$", 1).alias("said")).filter("key <> ''").withColumnRenamed("said", "value")
+    found = spark.read.text(path).select(line.alias("key"), F.regexp_extract("value", r"=(.*?)\s*$", 1).alias("said")).filter("key <> ''").withColumnRenamed("said", "value")
+    if expected is not None:
+        enforce(duplicates(found, ["key"]), "repeated keys")
+        got = {r["key"] for r in found.select("key").limit(len(expected) + 1).collect()}
+        if got != set(expected):
+            raise ValueError(f"keys differ: {sorted(got ^ set(expected))}")
+    return found
 
 
 def utilisation_log(spark: SparkSession, path: str) -> DataFrame:
@@ -122,6 +152,8 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inventory_hash(members: DataFrame) -> DataFrame:
-    """sha256 over the members' names, sizes and checksums in name order."""
+    """sha256 over the members' names, sizes and checksums in name order; an archive without members is an error."""
+    if members.isEmpty():
+        raise ValueError("the archive holds no such members")
     said = F.to_json(F.array_sort(F.collect_list(F.struct(*members.columns))))
     return members.agg(F.count("*").alias("members"), F.sha2(said, 256).alias("sha256"))
