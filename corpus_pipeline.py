@@ -6,12 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import stored
 from tidewell.llm.exact_dedup import drop_exact_copies
 from tidewell.llm.mixing import with_slots
 from tidewell.llm.near_dedup import drop_near_copies
 from tidewell.llm.packing import pack_documents
 from tidewell.llm.quality import keep_good
+from tidewell.sources.shared import delete, new_path, scratch, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -54,8 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str, weights: dict[str, float] | None = None) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*[F.col(c) for c in COLUMNS])
+    """The stages in turn. A stage's own tables go once its result is written, and that goes once the next one has read it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*[F.col(c) for c in COLUMNS]), None
     for name, stage in STAGES[:-1]:
         how = {"weights": weights} if stage is mix_sources else {}
-        docs = stored(stage(spark, docs, sf_dir, **how), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with scratch(spark, name):
+            docs = stored(stage(spark, docs, sf_dir, **how), name, path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

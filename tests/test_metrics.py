@@ -81,15 +81,16 @@ def test_alarms_after_the_last_eligible_hour_are_right_censored(spark):
 
 
 def panel(spark):
-    rows = [(e, t, int(e <= 2 and t >= 5), 0.8 if e <= 2 and 5 <= t <= 10 else 0.2) for e in (1, 2, 3, 4) for t in range(1, 12)]
+    """Onset at 12 for entities 1 and 2, who are warned at 7; entity 5 is warned for nothing at 2."""
+    rows = [(e, t, int(e <= 2 and t >= 6), 0.7 if (e <= 2 and 7 <= t <= 9) or (e, t) == (5, 2) else 0.1) for e in (1, 2, 3, 4, 5) for t in range(1, 15)]
     return target.with_target(spark.createDataFrame(rows, "entity long, t long, label int, p double").withColumn("source", F.lit("A")))
 
 
 def test_alarms(spark):
     s = alarms.alarm_summary(alarms.alarm_rows(panel(spark), F.col("p") >= 0.5)).first()
-    assert (s.detected, s.missed, s.false_episodes, s.sensitivity) == (2, 0, 0, 1.0)
+    assert (s.detected, s.missed, s.false_episodes, s.sensitivity, s.median_lead) == (2, 0, 1, 1.0, 5.0)
     always = alarms.alarm_summary(alarms.alarm_rows(panel(spark), F.col("p") >= 0)).first()
-    assert (always.detected, always.missed, always.false_episodes) == (0, 2, 4)  # persistent alarms never arm again
+    assert (always.detected, always.missed, always.false_episodes) == (0, 2, 5)  # persistent alarms never arm again
 
 
 def test_sweep_agrees_with_single_thresholds(spark):
@@ -110,9 +111,9 @@ def test_refractory_counts_from_the_last_accepted(spark):
 
 
 def test_utility(spark):
-    rows = [(1, t, int(t >= 5), float(t >= 3)) for t in range(1, 7)]
+    rows = [(1, t, int(t >= 4), float(t >= 5)) for t in range(1, 9)]  # the onset's row would be the tenth: alarms come 5 to 2 rows before it
     df = spark.createDataFrame(rows, "entity long, t long, label int, p double").withColumn("source", F.lit("A"))
-    assert decision.utility_by_entity(df, "p", 0.5).first().observed == pytest.approx(3.388888888888889, abs=1e-6)
+    assert decision.utility_by_entity(df, "p", 0.5).first().observed == pytest.approx((8 + 7 + 6 + 5) / 9, abs=1e-6)
     best = df.withColumn("p", F.lit(1.0))
     u = lambda d: decision.normalised_utility(decision.utility_by_entity(d, "p", 0.5)).first().utility
     assert u(best) == 1.0 and u(df.withColumn("p", F.lit(0.0))) == 0.0

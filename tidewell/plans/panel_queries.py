@@ -262,8 +262,8 @@ def decision_rows(spark, sf_dir):
 @query(TARGET + " SELECT status, count(*) AS n, CAST(sum(eligible) AS BIGINT) AS eligible, CAST(sum(target) AS BIGINT) AS positive FROM targeted GROUP BY status")
 def target_consistency(spark, sf_dir):
     t = targeted(spark, sf_dir)
-    ok = target.target_violations(t).limit(1).agg((F.count("*") == 0).alias("ok"))
-    return t.groupBy("status").agg(F.count("*").alias("n"), F.sum("eligible").alias("eligible"), F.sum("target").alias("positive")).crossJoin(ok).filter("ok").drop("ok")
+    validate.enforce(target.target_violations(t).select("entity", "t"), "target and eligibility contradict each other")
+    return t.groupBy("status").agg(F.count("*").alias("n"), F.sum("eligible").alias("eligible"), F.sum("target").alias("positive"))
 
 
 # --- alarms -------------------------------------------------------------------------------

@@ -8,6 +8,9 @@ import json
 from dataclasses import dataclass
 
 
+# fixed values: the parameters below are part of the definitions, not tuned here
+
+
 @dataclass(frozen=True)
 class PanelPolicy:
     signals: tuple[str, ...] = ("click", "error", "purchase", "signup", "view")
@@ -35,7 +38,7 @@ class AlarmPolicy:
 
 @dataclass(frozen=True)
 class UtilityPolicy:
-    """Published weights of the challenge score: see operators.utility."""
+    """Published weights of the challenge score: see operators.decision."""
 
     early: int = -12
     optimal: int = -6

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_scopes: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,9 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and outlives executors."""
+def new_path(spark: SparkSession, name: str) -> str:
+    return "/".join([shared_dir(spark), "tidewell", *_scopes, f"{name}-{uuid.uuid4().hex}"])
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df to the shared folder (a new path in it) and read it again: cuts the lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is stored inside goes when the block ends; its results must have been written elsewhere by then."""
+    scope = f"{name}-{uuid.uuid4().hex}"
+    path = "/".join([shared_dir(spark), "tidewell", *_scopes, scope])
+    _scopes.append(scope)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        delete(spark, path)
