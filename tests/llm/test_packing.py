@@ -144,14 +144,18 @@ def test_mixing_odd_rows(make, corpus):
 
 
 def test_pipeline_against_its_stages_by_hand(spark, make, corpus, tmp_path):
-    """Kept documents by brute force, then packed pieces of exactly those."""
+    """Stage by stage without the stages' code: rules and slots in another engine's SQL, copies by brute force, pieces by the tokenizers library."""
+    import duckdb
+
     from tests.llm.test_dedup import low, shingles
     from tidewell.llm import quality
 
-    rows = [r for r in corpus if r[0] != 600] + [(601, "shared words " * 3 + "and so on and on we go with twenty words or more in this one", "en", "s0")]
-    docs = make(rows).select(*corpus_pipeline.COLUMNS)
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    good = {r.doc_id for r in quality.judge_quality(docs).filter("kept").collect()}
+    rows = [r for r in corpus if r[0] not in (600, None)] + [(601, "shared words " * 3 + "and so on and on we go with twenty words or more in this one", "en", "s0")]
+    make(rows).select(*corpus_pipeline.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+    good = {i for i, ok in c.sql(f"SELECT doc_id, kept FROM ({quality.oracle_sql()})").fetchall() if ok}
     text = {i: t for i, t, *_ in rows if i in good}
     last = {}
     for i in text:
@@ -165,9 +169,31 @@ def test_pipeline_against_its_stages_by_hand(spark, make, corpus, tmp_path):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 comp[y] = x
-    want = {i for i in left if find(i) == i}
+    kept = [i for i in left if find(i) == i]
+    c.sql(f"CREATE TABLE rest AS SELECT doc_id, text, lang, coalesce(source, '') AS source FROM documents WHERE doc_id IN ({', '.join(map(str, kept))})")
+    c.sql("DROP TABLE documents; ALTER TABLE rest RENAME TO documents")
+    slot = {r[0]: r[4] for r in c.sql(f"SELECT doc_id, source, chars, block, slot FROM ({mixing.oracle_sql()})").fetchall()}
+    tok = Tokenizer.from_file(PATH)
+    pieces = []
+    for i in kept:
+        ids = np.asarray(tok.encode(text[i] or "", add_special_tokens=False).ids + [2], "<u4")
+        pieces += [(i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids), 1024))]
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in got} == want
+    assert sorted(tuple(r)[:5] for r in got) == sorted(pieces)
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append(r)
+    first = []
+    for k in range(len(by)):  # numbered without gaps
+        at = 0
+        for r in sorted(by[k], key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+        first.append(min(slot[r.doc_id] for r in by[k]))
+    assert first == sorted(first)  # by the earliest slot in them
+    lengths = dict(zip(*(x.tolist() for x in np.unique([p[3] for p in pieces], return_counts=True))))
+    assert len(by) == sum(n for _, n in packing.solve(lengths, 1024))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "mix_sources", "pack"]
 
 
