@@ -29,7 +29,7 @@ from tidewell.llm.common import md5_long, parts_for, ranks_of_hash, running, sto
 SLOTS = 1 << 18
 BLOCK_CHARS = 1 << 16
 FOLD = 1 << 24  # slots times sources
-CHUNK = 512  # slots whose choices are gathered in one array
+CHUNK = 256  # slots whose choices are gathered in one array
 
 
 def targets(sizes: DataFrame, weights: dict[str, float] | None, alpha: float, block_chars: int, slots: int) -> tuple[DataFrame, int, int]:
@@ -57,36 +57,35 @@ def deadline(j: Column, w: Column) -> Column:
 
 
 def earliest_deadlines(plan: DataFrame, last: int) -> DataFrame:
-    """source, block and slot of the slots before `last`."""
+    """source, block and slot of the slots before `last`.
+
+    The fold's state is each source's count of blocks, the choice for the slot before (not yet
+    counted) and the choices so far. Choices are gathered by chunks, as arrays grow by copies.
+    """
     one = plan.filter("w > 0").agg(F.array_sort(F.collect_list(F.struct("source", "w"))).alias("src"))  # a row for each source
-    out = "array<struct<i:int,nth:bigint,slot:bigint>>"
+    one = one.select(F.transform("src", lambda s, i: F.struct(s["source"].alias("source"), s["w"].alias("w"), i.cast("int").alias("i"))).alias("src"))
+    none = F.array().cast("array<int>")
 
     def step(state: Column, t: Column) -> Column:
-        due = F.transform(
-            F.col("src"),
-            lambda s, i: F.when(release(F.get(state["done"], i), s["w"]) <= t, F.struct(deadline(F.get(state["done"], i), s["w"]).alias("d"), i.cast("int").alias("i"))),
-        )
-        pick = F.array_min(F.filter(due, lambda x: x.isNotNull()))["i"]
-        # the choice is bound once, then used for both parts of the state
-        return F.element_at(
-            F.transform(
-                F.array(pick),
-                lambda k: F.struct(
-                    F.transform(state["done"], lambda c, i: F.when(i == k, c + 1).otherwise(c)).alias("done"),
-                    F.concat(state["out"], F.array(F.struct(k.alias("i"), F.get(state["done"], k).alias("nth"), t.cast("long").alias("slot")))).alias("out"),
-                ),
-            ),
-            1,
-        )
-
-    def chunk(state: Column, a: Column) -> Column:
-        ran = F.aggregate(F.sequence(a, F.least(a + (CHUNK - 1), F.lit(last - 1).cast("long"))), F.struct(state["done"].alias("done"), F.array().cast(out).alias("out")), step)
-        return F.element_at(F.transform(F.array(ran), lambda r: F.struct(r["done"].alias("done"), F.concat(state["outs"], F.array(r["out"])).alias("outs"))), 1)
-
-    start = F.struct(F.transform("src", lambda s: F.lit(0).cast("long")).alias("done"), F.array().cast(f"array<{out}>").alias("outs"))
+        done = F.transform(state["done"], lambda c, i: F.when(i == state["pick"], c + 1).otherwise(c))
+        due = F.zip_with("src", done, lambda s, c: F.when(release(c, s["w"]) <= t, F.struct(deadline(c, s["w"]).alias("d"), s["i"].alias("i"))))
+        pick = F.coalesce(F.array_min(F.filter(due, lambda x: x.isNotNull()))["i"], F.lit(-1))
+        return F.struct(done.alias("done"), pick.alias("pick"), F.concat(state["out"], F.array(state["pick"])).alias("out"))
+
+    def chunk(runs: Column, a: Column) -> Column:
+        before = F.element_at(runs, -1)
+        slots = F.sequence(a, F.least(a + (CHUNK - 1), F.lit(last - 1).cast("long")))
+        return F.concat(runs, F.array(F.aggregate(slots, F.struct(before["done"].alias("done"), before["pick"].alias("pick"), none.alias("out")), step)))
+
+    start = F.array(F.struct(F.transform("src", lambda s: F.lit(0).cast("long")).alias("done"), F.lit(-1).alias("pick"), none.alias("out")))
     chunks = F.sequence(F.lit(0).cast("long"), F.lit(last - 1).cast("long"), F.lit(CHUNK).cast("long"))
-    picked = one.select("src", F.flatten(F.aggregate(chunks, start, chunk)["outs"]).alias("out")).select("src", F.inline("out"))
-    return picked.filter("i IS NOT NULL").select(F.get("src", F.col("i"))["source"].alias("source"), F.col("nth").alias("block"), "slot")
+    ran = one.select("src", F.aggregate(chunks, start, chunk).alias("runs"))
+    # a slot's choice stands one place later, the last one in the state
+    choices = F.concat(F.flatten(F.transform("runs", lambda r: r["out"])), F.array(F.element_at("runs", -1)["pick"]))
+    picked = ran.select("src", F.posexplode(choices).alias("place", "i")).filter("i >= 0")
+    slots = picked.select(F.get("src", F.col("i"))["source"].alias("source"), (F.col("place") - 1).cast("long").alias("slot"))
+    nth = F.row_number().over(W.partitionBy("source").orderBy("slot")) - 1  # at most SLOTS rows in all
+    return slots.withColumn("block", nth.cast("long"))
 
 
 def schedule(plan: DataFrame, last: int) -> DataFrame:
