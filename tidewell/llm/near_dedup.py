@@ -7,7 +7,8 @@ an element are one slice of pi, and a signature is the least of some slices.
 
 1. One Arrow pass makes set size, set digest and signature. Equal sets fold into one class.
 2. Bands of signature coordinates are bucket keys. Each bucket pairs its members with its least
-   member (a star, never all pairs). Pairs whose signatures agree enough make clusters; buckets
+   member (a star, never all pairs); a member's few least heads are tried first. Pairs whose
+   signatures agree enough make clusters; buckets
    that still hold several clusters are searched whole, in blocks of bounded size, and add a
    spanning forest of the agreements that join clusters. A link lies inside one cluster.
 3. Agreeing stars are verified by exact Jaccard similarity of full sets. Clusters whose members
@@ -44,6 +45,7 @@ BLOCK = 2048  # members of a bucket that one task compares with another such blo
 TEXTS = 512  # members of a cluster that one task compares with another such block, by full sets
 BLOCK_BYTES = 8 << 20  # of a block's texts
 WORDS_CACHED = 1_000_000
+HEADS = 4  # stars of a member that are tried first
 
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 _words: dict[bytes, int] = {}
@@ -298,7 +300,9 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     keys = band_keys(sigs, bands, rows)
     shared = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
     buckets = stored(keys.join(shared, "key"), "near-buckets")
-    stars = buckets.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    # a member's first HEADS heads make clusters; bucket-mates that they leave apart are compared below, all of them
+    heads = buckets.filter("id <> head").groupBy("id").agg(F.slice(F.array_sort(F.collect_set("head")), 1, HEADS).alias("heads"))  # at most `bands` heads
+    stars = heads.select(F.explode("heads").alias("a"), F.col("id").alias("b"))
     agree = stored(agreeing(stars, sigs, width, SCREEN), "near-agree")
     joins = stored(across_clusters(buckets.select("key", "id"), sigs, connected(agree), width, SCREEN), "near-agree")
     clusters = connected(agree.union(joins))
