@@ -1,4 +1,4 @@
-"""The operators' queries over the whole documents table, and SQL for those that SQL can express."""
+"""The operators' queries over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import licenses, mixing, near_dedup, quality, substring_dedup, suffix_dedup
+from tidewell.llm import decontamination, fill_in_middle, licenses, mixing, near_dedup, quality, substring_dedup, suffix_dedup, vector_codes
 from tidewell.llm.exact_dedup import exact_dedup
 from tidewell.llm.language_id import identify
 from tidewell.llm.packing import pack_documents
@@ -60,8 +60,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10).drop("items")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=16, entries=64, rounds=2, scale=256).drop("label")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.with_restored_digest(fill_in_middle.fill_in_middle(documents(spark, sf_dir), seed=42, rate=50, spm_rate=80))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_secret_scan, op4_exact_dedup, op5_license_scan, op6_suffix_array_dedup, op7_source_mixing, op8_best_fit_packing, op9_substring_dedup, op10_language_id)
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup, op2_quality_rules, op3_secret_scan, op4_exact_dedup, op5_license_scan, op6_suffix_array_dedup, op7_source_mixing,
+        op8_best_fit_packing, op9_substring_dedup, op10_language_id, op11_benchmark_decontamination, op12_vector_codes, op13_fill_in_middle,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -71,6 +87,9 @@ ORACLE_SQL: dict[str, str] = {
     "op7_source_mixing": mixing.oracle_sql(),
     "op2_quality_rules": quality.oracle_sql(),
     "op5_license_scan": licenses.oracle_sql(),
+    "op11_benchmark_decontamination": decontamination.oracle_sql(),
+    "op12_vector_codes": vector_codes.oracle_sql(),
+    "op13_fill_in_middle": fill_in_middle.oracle_sql(),
     "op4_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, CAST(count(*) OVER w AS BIGINT) AS group_size,
