@@ -238,3 +238,25 @@ def test_kernel_is_shared_presence():
     s = m.scores(["aaa", "zyx"])
     assert s[0].argmax() == 0 and s[1].argmax() == 1
     assert m.kernel([a])[0] == pytest.approx([len(np.intersect1d(a, language_id.spectrum(t, 3))) / np.sqrt(len(a) * len(language_id.spectrum(t, 3))) for t in ("aaa bbb", "xyz zyx")])
+
+
+def test_endpoints_are_those_of_one_pattern():
+    """Against a pattern that backtracks, on short texts made to be awkward."""
+    r = np.random.default_rng(8)
+    pattern = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/%-]*)?|[a-z]+(?:\+[a-z]+)?://[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", re.A)
+    bits = ["http", "https", "://", "s", "+", "x", "@", "h.b", ":80", "/p", " ", "ftp", "ttp", "é", "A", ":", "/", "a+b"]
+    for _ in range(20_000):
+        text = "".join(r.choice(bits, r.integers(2, 12)))
+        assert list(secrets.endpoints(text)) == [m.span() for m in pattern.finditer(text)], text
+
+
+def test_long_runs_take_linear_time(make):
+    """A megabyte without a blank, with and without addresses."""
+    import time
+
+    n = 1_000_000
+    for text in ("a" * n + "://u@h", "a" * n + " https://host.example/x", "a+" * (n // 2) + "://", "http://" * (n // 7), "x://" * (n // 4), "aB3" * (n // 3), "ab1" * (n // 3), "A" * n, "user" * (n // 4), "\n \t" * (n // 3), "://" * (n // 3)):
+        began = time.process_time()
+        secrets.parts_of(text, secrets.base_spans(text))
+        assert time.process_time() - began < 3, text[:20]
+    assert secrets.find_secrets(make([(1, "x" * n + "://u@h.example login: someone")])).first().spans == ""

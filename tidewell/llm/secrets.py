@@ -37,7 +37,9 @@ LEAST_ASSIGN = 6
 #: Weak alone. A key-like word of 20 to 80 characters with digits, capitals and small letters.
 KEYLIKE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[A-Z0-9+/_=-]*[a-z])(?=[a-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{20,80}(?![A-Za-z0-9+/_=-])")
 SHORTHEX = re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])[0-9a-f]{16,23}(?![0-9A-Za-z])")
-ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/%-]*)?|[a-z]+(?:\+[a-z]+)?://[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", re.A)
+WEB = re.compile(r"[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/%-]*)?")  # what follows http:// or https://
+OWNED = re.compile(r"[A-Za-z0-9._-]++@[A-Za-z0-9.-]+")  # what follows any other scheme: a user's place
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
 ACCOUNT = re.compile(r"(?:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})", re.I | re.A)
 IDENTIFIER, SECRET, PLACE = "identifier", "secret", "endpoint"
 WEAK = {"weak_key": SECRET, "weak_hex": SECRET, "endpoint": PLACE, "account": IDENTIFIER}
@@ -61,6 +63,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def endpoints(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of web addresses and of users' places under any scheme (letters, or letters+letters).
+
+    From each :// the scheme's letters are walked back, no further than the address before, so
+    every character is passed a few times at most.
+    """
+    done, at = 0, text.find("://")
+    while at >= 0:
+        first = at
+        while first > done and text[first - 1] in LETTERS:
+            first -= 1
+        web = max(at - 5 if text.startswith("https", max(at - 5, 0)) else at - 4 if text.startswith("http", max(at - 4, 0)) else -1, -1)
+        start, host = first, WEB.match(text, at + 3) if web >= done else None
+        if first < at and first - 2 >= done and text[first - 1] == "+" and text[first - 2] in LETTERS:
+            start = first - 2
+            while start > done and text[start - 1] in LETTERS:
+                start -= 1
+        owned = OWNED.match(text, at + 3) if start < at and not (host and web == start) else None
+        if owned or host:
+            done = (owned or host).end()
+            yield start if owned else web, done
+        at = text.find("://", max(at + 3, done))
+
+
 def parts_of(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
     """Linkable parts with their scope; no weak part inside a plain secret."""
     digits = any(c in text for c in "0123456789")
@@ -69,7 +95,7 @@ def parts_of(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
         found += [(m.start(), m.end(), "weak_key") for m in KEYLIKE.finditer(text)]
         found += [(m.start(), m.end(), "weak_hex") for m in SHORTHEX.finditer(text)]
     if "://" in text:
-        found += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
+        found += [(a, b, "endpoint") for a, b in endpoints(text)]
     if ":" in text or "=" in text:
         found += [(m.start(), m.end(), "account") for m in ACCOUNT.finditer(text)]
     starts, furthest = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
