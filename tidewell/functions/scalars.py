@@ -31,11 +31,11 @@ def equal_entity_weight(key: str = "entity") -> Column:
     return 1 / F.count("*").over(W.partitionBy(key))
 
 
-def class_balanced(rows: DataFrame, weight: str, target: str, out: str = "w") -> DataFrame:
-    """rows with `out`: weight scaled so that each class of target has half the mass. The classes' sums are few rows, joined back."""
+def class_balanced(rows: DataFrame, weight: str, target: str, out: str = "w", mass: float = 1.0) -> DataFrame:
+    """rows with `out`: weight scaled so that each class of target has half of `mass`. The classes' sums (0, 1 or null: three rows) are broadcast; rows stay."""
     sums = rows.groupBy(F.col(target).alias("_class")).agg(F.sum(weight).alias("_mass"))
-    joined = rows.join(sums, rows[target].eqNullSafe(sums["_class"]), "left")
-    return joined.withColumn(out, F.col(weight) / (2 * F.col("_mass"))).drop("_class", "_mass")
+    joined = rows.join(F.broadcast(sums), rows[target].eqNullSafe(sums["_class"]), "left")
+    return joined.withColumn(out, F.lit(mass) * F.col(weight) / (2 * F.col("_mass"))).drop("_class", "_mass")
 
 
 def millionths(x: Column) -> Column:
