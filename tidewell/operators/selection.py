@@ -9,8 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalars import text_hash
+from tidewell.operators.quantiles import quantiles
+from tidewell.sources.shared import stored
 
 DIGITS = 6
+FEW_GROUPS = 1000
 
 
 def long_signals(panel: DataFrame, signals: list[str]) -> DataFrame:
@@ -35,7 +38,9 @@ def supported_signals(panel: DataFrame, signals: list[str], least_coverage: floa
 
 def location_scale(panel: DataFrame, signals: list[str]) -> DataFrame:
     """Per signal: median and interquartile range (1 where that is 0 or missing)."""
-    q = long_signals(panel, signals).groupBy("signal").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    names = panel.sparkSession.createDataFrame([(s,) for s in signals], "signal string")
+    found = quantiles(long_signals(panel, signals), ["signal"], "value", [0.25, 0.5, 0.75])
+    q = names.join(F.broadcast(found), "signal", "left")  # a row for each signal
     iqr = F.get("q", F.lit(2)) - F.get("q", F.lit(0))
     return q.select("signal", F.round(F.get("q", F.lit(1)), DIGITS).alias("median"), F.round(F.when(F.coalesce(iqr, F.lit(0.0)) > 0, iqr).otherwise(1.0), DIGITS).alias("scale"))
 
@@ -49,16 +54,19 @@ def stratified_folds(entities: DataFrame, k: int, seed: int = 0) -> DataFrame:
 def ranked_by_hash(df: DataFrame, group: list[str], h: str, ties: list[str], out: str) -> DataFrame:
     """Rank of each row in its group by a 60-bit hash h, from 0, in ranges of the hash: no task holds a group.
 
-    Rows are ranked inside a range and shifted by the sizes of the ranges before, a small table.
+    Rows are ranked inside a range and shifted by the sizes of the ranges before, a row for each
+    group and range; groups are few here (classes, strata), and more than FEW_GROUPS are refused.
     """
     parts = max(16, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.withColumn("_part", F.floor(F.col(h) / F.lit(float(1 << 60)) * parts).cast("int"))
     before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    sizes = dealt.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    sizes = stored(dealt.groupBy(*group, "_part").agg(F.count("*").alias("_n")), "range-sizes")
+    if sizes.count() > FEW_GROUPS * parts:
+        raise ValueError(f"more than {FEW_GROUPS} groups: rank them by their own key")
     shift = sizes.select(*[F.col(c).alias(f"_{c}_") for c in [*group, "_part"]], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     inner = dealt.withColumn("_inner", F.row_number().over(W.partitionBy(*group, "_part").orderBy(h, *ties)) - 1)
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in [*group, "_part"]])
-    return inner.join(shift, on).select(*df.columns, (F.col("_inner") + F.col("_shift")).alias(out))
+    return inner.join(F.broadcast(shift), on).select(*df.columns, (F.col("_inner") + F.col("_shift")).alias(out))
 
 
 def codes(df: DataFrame, key: str, out: str = "code") -> DataFrame:
@@ -80,10 +88,12 @@ def round_count(rounds: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def top_of_strata(df: DataFrame, strata: list[str], most: int, order: str = "entity") -> DataFrame:
-    """The first n rows of each stratum, n the smaller of `most` and the smallest stratum's size."""
-    sizes = df.groupBy(*strata).count().agg(F.least(F.min("count"), F.lit(most).cast("long")).alias("n"))
-    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(*strata).orderBy(order)))
-    return ranked.join(F.broadcast(sizes), F.col("rank") <= F.col("n")).drop("n")  # sizes is one row
+    """The first n rows of each stratum, n the smaller of `most` and the smallest stratum's size.
+
+    n is counted first, so that each partition sends no more than n rows of a stratum.
+    """
+    n = df.groupBy(*strata).count().agg(F.least(F.min("count"), F.lit(most).cast("long")).alias("n")).first()["n"] or 0
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(*strata).orderBy(order))).filter(F.col("rank") <= n)
 
 
 def smallest_fast_enough(profiles: DataFrame, slack: float = 0.05) -> DataFrame:
