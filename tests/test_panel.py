@@ -2,7 +2,6 @@
 
 import math
 import re
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,16 +159,7 @@ def test_folds_keep_entities_and_classes_even(spark):
     assert {r["count"] for r in selection.top_of_strata(s, ["source", "label"], 3).groupBy("source", "label").count().collect()} == {3}
 
 
-def test_archives_files_and_logs(spark, tmp_path):
-    z = tmp_path / "raw.zip"
-    with zipfile.ZipFile(z, "w") as f:
-        f.writestr("setA/p1.psv", "t|x\n1|5\n2|NaN\n")
-        f.writestr("setB/p2.psv", "t|x\n1|7\n")
-        f.writestr("Dataset.csv", "no")
-    assert src.archive_members(spark, str(z)).count() == 2
-    assert src.inventory_hash(src.archive_members(spark, str(z))).first().members == 2
-    got = src.psv_rows(src.read_archive(spark, str(z)), ["t", "x"]).orderBy("entity", "row").collect()
-    assert [(r.source, r.entity, r.t, r.x) for r in got] == [("setA", "setA:p1", "1", "5"), ("setA", "setA:p1", "2", "NaN"), ("setB", "setB:p2", "1", "7")]
+def test_files_and_logs(spark, tmp_path):
     d = tmp_path / "files" / "setA"
     d.mkdir(parents=True)
     (d / "p1.psv").write_text("t|x\n1|5\n2|NaN\n")
@@ -187,24 +177,28 @@ def test_archives_files_and_logs(spark, tmp_path):
         src.canonical_names(["a"], ["a", "b"])
 
 
-def test_harmonised_panels_fail_closed(spark, tmp_path):
-    z = tmp_path / "raw.zip"
-    with zipfile.ZipFile(z, "w") as f:
-        f.writestr("top/setA/p1.psv", "t|x|label\n1|5|0\n2|NaN|1\n")
-        f.writestr("top/setB/p2.psv", "t|x|label\n1|7|0\n4||0\n")
-    lines = src.read_archive(spark, str(z))
-    got = src.harmonised(src.psv_rows(lines, ["t", "x", "label"]), ["x"]).orderBy("entity", "t").collect()
-    assert [(r.entity, r.t, r.x, r.label) for r in got] == [("setA:p1", 1.0, 5.0, 0), ("setA:p1", 2.0, None, 1), ("setB:p2", 1.0, 7.0, 0), ("setB:p2", 4.0, None, 0)]
-    for bad, what in (("1|x|0", "numbers"), ("1|5|0\n1|5|0", "increase"), ("1|5|1\n2|5|0", "fall back"), ("1|5|2", "0 and 1")):
-        rows = [("s", "s:e", k, *line.split("|")) for k, line in enumerate(bad.split("\n"))]
+def test_harmonised_panels_fail_closed(spark, capsys):
+    schema = "source string, entity string, row int, t string, x string, label string, age string"
+    frame_of = lambda text, entity="s:e": spark.createDataFrame([("s", entity, k, *line.split("|")) for k, line in enumerate(text.split("\n"))], schema)
+    good = frame_of("1|5|0|40\n2| NaN |0|\n9||1|40").union(frame_of("3|7|1|50", "s:f"))
+    got = src.harmonised(good, ["x"], ["age"]).orderBy("entity", "t").collect()
+    assert [(r.entity, r.t, r.x, r.age, r.label, r.status, r.onset) for r in got] == [
+        ("s:e", 1.0, 5.0, 40.0, 0, "exact", 15.0), ("s:e", 2.0, None, None, 0, "exact", 15.0), ("s:e", 9.0, None, 40.0, 1, "exact", 15.0), ("s:f", 3.0, 7.0, 50.0, 1, "left_censored", None),
+    ]
+    for bad, what in (
+        ("1|x|0|1", "numbers"), ("1|inf|0|1", "numbers"), ("1|5|0|1\n1|5|0|1", "increase"), ("1|5|1|1\n2|5|0|1", "fall back"), ("1|5|2|1", "0 and 1"), ("1|5||1", "0 and 1"),
+        ("|5|0|1", "without a time"), ("1|5|0|1\n2|5|0|2", "static"),
+    ):
         with pytest.raises(validate.Violation, match=what):
-            src.harmonised(spark.createDataFrame(rows, "source string, entity string, row int, t string, x string, label string"), ["x"])
+            src.harmonised(frame_of(bad), ["x"], ["age"])
+    with pytest.raises(validate.Violation, match="twice"):
+        src.harmonised(frame_of("1|5|0|1").union(frame_of("2|5|0|1")), ["x"], ["age"])
+    cohort = lambda n: spark.createDataFrame([("s", 2, n)], "source string, entities long, rows long")
+    assert src.harmonised(good, ["x"], ["age"], cohort=cohort(4)).count() == 4
+    with pytest.raises(validate.Violation, match="another cohort"):
+        src.harmonised(good, ["x"], ["age"], cohort=cohort(5))
     with pytest.raises(Exception, match="no source and entity"):
         spark.createDataFrame([("p1.psv",)], "name string").select(*src.source_and_entity(F.col("name"))).collect()
-    with zipfile.ZipFile(tmp_path / "empty.zip", "w") as f:
-        f.writestr("Dataset.csv", "no")
-    with pytest.raises(ValueError, match="no such members"):
-        src.inventory_hash(src.archive_members(spark, str(tmp_path / "empty.zip")))
 
 
 def test_runs_manifests_and_ledger(spark, tmp_path):
@@ -227,6 +221,8 @@ def test_runs_manifests_and_ledger(spark, tmp_path):
     assert runs.promote(stages, as_now, uses, str(tmp_path / "final")).count() == 2
     with pytest.raises(Exception, match="(?i)already exists"):
         runs.promote(stages, as_now, uses, str(tmp_path / "final"))
+    with pytest.raises(validate.Violation, match="use each other"):
+        runs.promote(stages, as_now, uses.union(spark.createDataFrame([("prepare", "model")], "stage string, uses string")), str(tmp_path / "other"))
     with pytest.raises(validate.Violation, match="differ"):
         runs.promote(stages, as_now.withColumn("sha256", F.lit("0")), uses, str(tmp_path / "other"))
     got = runs.read_projection(spark, str(root / "panel.csv"), ["entity", "x"], ["entity"]).orderBy("x").collect()

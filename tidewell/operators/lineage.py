@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.sources.shared import stored
+
 
 def artifact_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(artifact, what) for artifacts missing, unexpected or with another hash."""
@@ -18,6 +20,46 @@ def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("artifact").alias("input"), "sha256"), ["input", "sha256"], "left_anti")
 
 
+def behind(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """artifact and steps: changed ones (0) and all that was made of them, with the fewest steps.
+
+    edges: node, input. Each round joins the last round's new artifacts alone with the edges, so
+    a cycle ends it too; rounds are as many as the longest chain behind a change.
+    """
+    edges = stored(edges.select("node", "input").distinct(), "lineage-edges")
+    new = stored(changed.select("artifact", F.lit(0).alias("steps")).distinct(), "lineage-new")
+    known = new
+    while not new.isEmpty():
+        next_ = edges.join(new, F.col("input") == F.col("artifact")).select(F.col("node").alias("artifact"), (F.col("steps") + 1).alias("steps")).distinct()
+        new = stored(next_.join(known.select("artifact"), "artifact", "left_anti"), "lineage-new")
+        known = known.union(new)
+    return known
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """Edges that are part of a cycle, or lie between two: what is left when edges into or out of an end are taken away round by round."""
+    left = stored(edges.select("node", "input").distinct(), "lineage-edges")
+    n = left.count()
+    while True:
+        left = stored(left.join(left.select(F.col("node").alias("input")).distinct(), "input", "left_semi").select("node", "input"), "lineage-edges")
+        left = stored(left.join(left.select(F.col("input").alias("node")).distinct(), "node", "left_semi").select("node", "input"), "lineage-edges")
+        m = left.count()
+        if m == n:
+            return left
+        n = m
+
+
+def stale(nodes: DataFrame, edges: DataFrame, now: DataFrame) -> DataFrame:
+    """(artifact, what, steps): artifacts that differ now from their node, those whose inputs had another hash than the input's node, and all behind them.
+
+    nodes: artifact, sha256. edges: node, input, sha256 of the input as it was used. now: artifact, sha256.
+    """
+    differ = artifact_differences(nodes, now)
+    outdated = dangling_edges(edges, nodes).select(F.col("node").alias("artifact"), F.lit("made of other input").alias("what"))
+    first = stored(differ.union(outdated).groupBy("artifact").agg(F.min("what").alias("what")), "lineage-changed")
+    return behind(edges, first).join(first, "artifact", "left").select("artifact", F.coalesce("what", F.lit("behind a change")).alias("what"), "steps")
+
+
 def malformed_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes without a 64-digit hash or a 40-digit commit."""
     return nodes.filter(~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)) | ~F.coalesce(F.col("commit").rlike("^[0-9a-f]{40}$"), F.lit(False)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.sources.shared import delete, new_path, stored
+
 
 class Violation(ValueError):
     pass
@@ -17,6 +19,32 @@ def enforce(violations: DataFrame, what: str) -> None:
         raise Violation(f"{what}: {[r.asDict() for r in rows]}")
 
 
+def checks(rules: dict[str, Column], show: list[str]) -> list[Column]:
+    """Aggregates for `report`: how many rows break each rule, and the least of them."""
+    out = []
+    for i, broken in enumerate(rules.values()):
+        out += [F.count(F.when(broken, 1)).alias(f"n{i}"), F.min(F.when(broken, F.struct(*show))).alias(f"x{i}")]
+    return out
+
+
+def report(found: dict, rules: dict[str, Column]) -> None:
+    said = [f"{name}: {found[f'n{i}']} rows, such as {found[f'x{i}'].asDict()}" for i, name in enumerate(rules) if found[f"n{i}"]]
+    if said:
+        raise Violation("; ".join(said))
+
+
+def stored_if(df: DataFrame, rules: dict[str, Column], show: list[str], name: str) -> DataFrame:
+    """df, stored, unless a row breaks a rule: all rules are counted in the job that writes df. A broken table is deleted."""
+    seen, path = Observation(name), new_path(df.sparkSession, name)
+    out = stored(df.observe(seen, *checks(rules, show)), name, path)
+    try:
+        report(seen.get, rules)
+    except Violation:
+        delete(df.sparkSession, path)
+        raise
+    return out
+
+
 def not_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value) of observed cells that are no finite numbers."""
     cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("x.*")

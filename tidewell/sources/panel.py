@@ -1,17 +1,16 @@
-"""Panels from event tables, pipe-separated files and archives of them."""
+"""Panels from event tables and pipe-separated files; logs and hashes of files."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
+import re
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.operators.validate import duplicates, enforce, label_drops, not_in, not_numeric, numbers, out_of_order
+from tidewell.operators.target import with_onset
+from tidewell.operators.validate import cohort_identity, duplicates, enforce, stored_if
 from tidewell.policy import PanelPolicy
 
 EPOCH = "2024-01-01"
@@ -51,6 +50,13 @@ def source_and_entity(path: Column) -> list[Column]:
     return [F.when(part(k) != "", part(k)).otherwise(F.raise_error(F.concat(F.lit("no source and entity in the path "), path))) for k in (1, 2)]
 
 
+def identity_of(name: str) -> tuple[str, str]:
+    """(source, source:entity) of a member's name, .../<source>/<entity>.psv."""
+    if not (m := re.search(r"([^/]+)/([^/]+)\.psv$", name, re.I)):
+        raise ValueError(f"no source and entity in the path {name}")
+    return m[1], f"{m[1]}:{m[2]}"
+
+
 def read_psv(spark: SparkSession, path: str, columns: list[str], policy: PanelPolicy = PanelPolicy()) -> DataFrame:
     """Pipe-separated files of one entity each as text columns; missing tokens are null.
 
@@ -63,57 +69,38 @@ def read_psv(spark: SparkSession, path: str, columns: list[str], policy: PanelPo
     return raw.select(parts[0].alias("source"), F.concat_ws(":", *parts).alias("entity"), *known)
 
 
-def harmonised(raw: DataFrame, signals: list[str], time: str = "t", label: str = "label", ordinal: str = "row", policy: PanelPolicy = PanelPolicy()) -> DataFrame:
-    """From text columns of many entities' files (source, entity, ordinal in the file) to a checked panel.
+def harmonised(
+    raw: DataFrame, signals: list[str], static: list[str] = (), time: str = "t", label: str = "label", ordinal: str = "row", cohort: DataFrame | None = None, policy: PanelPolicy = PanelPolicy()
+) -> DataFrame:
+    """From text columns of many entities' files (source, entity, ordinal in the file) to a checked panel with status and onset.
 
-    Fails on cells that are no numbers, times that do not increase in file order, labels other than 0
-    and 1 or falling back, and repeated keys. Every check is one aggregate or window job over all rows.
+    Refused are cells that are no finite numbers, rows without a time, times that do not increase in file
+    order, labels other than 0 and 1 or falling back, static columns that change, rows numbered twice
+    and, if cohort (source, entities, rows) is given, other numbers of entities or rows. All row
+    checks share one shuffle by entity, and their counts are taken while the panel is written.
     """
-    columns = [time, label, *signals]
-    raw = raw.withColumns({c: F.when(~F.trim(c).isin(*policy.missing_tokens), F.trim(c)) for c in columns})
-    enforce(not_numeric(raw, columns), "cells that are no finite numbers")
-    rows = numbers(raw, columns)
-    enforce(rows.filter(F.col(time).isNull()).select("entity", ordinal), "rows without a time")
-    enforce(not_in(rows, label, [0, 1]).select("entity", ordinal, label), "labels other than 0 and 1")
-    enforce(out_of_order(rows, ordinal, "entity", time).select("entity", time), "times that do not increase")
-    enforce(label_drops(rows, "entity", time, label).select("entity", time), "labels that fall back")
-    enforce(duplicates(rows, ["entity", time]), "repeated keys")
-    return rows.select("source", "entity", F.col(time), *signals, F.col(label).cast("int").alias(label))
-
-
-def archive_members(spark: SparkSession, path: str, suffix: str = ".psv") -> DataFrame:
-    """name, size and crc of an archive's members with the suffix; other members are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(i.filename, i.file_size, i.CRC) for x in b.column("content").to_pylist() for i in zipfile.ZipFile(io.BytesIO(x)).infolist() if i.filename.endswith(suffix)]
-            cols = list(zip(*rows)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()))], ["name", "size", "crc"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "name string, size long, crc long")
-
-
-def read_archive(spark: SparkSession, path: str, suffix: str = ".psv") -> DataFrame:
-    """(name, line number, line) of the text members of archives; each archive is one task, its lines then spread."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column("content").to_pylist():
-                z = zipfile.ZipFile(io.BytesIO(x))
-                for i in sorted(z.namelist()):
-                    if i.endswith(suffix):
-                        lines = z.read(i).decode().splitlines()
-                        yield pa.RecordBatch.from_arrays([pa.array([i] * len(lines), pa.string()), pa.array(range(len(lines)), pa.int64()), pa.array(lines, pa.string())], ["name", "number", "line"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "name string, number long, line string")
-
-
-def psv_rows(lines: DataFrame, columns: list[str]) -> DataFrame:
-    """Archive lines below each member's header as columns, with source and entity from the member's path."""
-    cells = F.split("line", r"\|", -1)
-    out = lines.filter("number > 0").withColumn("cells", cells)
-    parts = source_and_entity(F.col("name"))
-    return out.select(parts[0].alias("source"), F.concat_ws(":", *parts).alias("entity"), F.col("number").alias("row"), *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)])
+    columns = [time, label, *signals, *static]
+    text = raw.withColumns({c: F.when(~F.trim(c).isin(*policy.missing_tokens), F.trim(c)) for c in columns})
+    number = lambda c: F.expr(f"try_cast(`{c}` AS double)")
+    bad = reduce(lambda a, b: a | b, [F.col(c).isNotNull() & (number(c).isNull() | F.isnan(number(c)) | (F.abs(number(c)) == float("inf"))) for c in columns])
+    rows = text.select("source", "entity", F.col(ordinal).alias("_row"), bad.alias("_bad"), *[number(c).alias(c) for c in columns])
+    filed = W.partitionBy("entity").orderBy("_row", time)
+    every = W.partitionBy("entity")
+    changes = [F.min(c).over(every) != F.max(c).over(every) for c in static]
+    rows = rows.withColumns({"_t": F.lag(time).over(filed), "_label": F.lag(label).over(filed), "_before": F.lag("_row").over(filed), "_changes": reduce(lambda a, b: a | b, changes, F.lit(False))})
+    rules = {
+        "cells that are no finite numbers": F.col("_bad"),
+        "rows without a time": F.col(time).isNull(),
+        "times that do not increase": F.col(time) <= F.col("_t"),
+        "labels other than 0 and 1": ~F.coalesce(F.col(label).isin(0, 1), F.lit(False)),
+        "labels that fall back": F.col(label) < F.col("_label"),
+        "static columns that change": F.coalesce(F.col("_changes"), F.lit(False)),
+        "rows numbered twice": F.col("_row") == F.col("_before"),
+    }
+    panel = stored_if(rows, rules, ["entity", "_row", time], "harmonised").select("source", "entity", F.col(time).alias("t"), *signals, *static, F.col(label).cast("int").alias("label"))
+    if cohort is not None:
+        enforce(cohort_identity(panel, cohort), "another cohort")
+    return with_onset(panel).drop("last_t")
 
 
 def canonical_names(columns: list[str], allowed: list[str], aliases: dict[str, str] | None = None) -> dict[str, str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,13 +68,34 @@ def lineage_of(stages: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def promote(stages: DataFrame, now: DataFrame, uses: DataFrame, path: str) -> DataFrame:
-    """Write the run's final manifest, once, if every artifact is as its stage left it and every edge has its node."""
+    """Write the run's final manifest, once, if every artifact is as its stage left it, no stage depends on itself and no product is behind a change."""
     validate.enforce(stage_violations(stages, now), "artifacts differ from their manifests")
     nodes, edges = lineage_of(stages, uses)
-    validate.enforce(lineage.dangling_edges(edges, nodes), "edges without a node")
+    validate.enforce(lineage.cyclic(uses.select(F.col("stage").alias("node"), F.col("uses").alias("input"))), "stages that use each other")
+    validate.enforce(lineage.stale(nodes, edges, now), "artifacts behind a change")
     return write_once(nodes, path)
 
 
+def recomputed(written: dict[str, DataFrame], again: dict[str, tuple[DataFrame, list[str]]], rtol: float = 0.0) -> DataFrame:
+    """(artifact, rows, differences) of tables held against the same tables made again: again has the frame and its keys by name."""
+    if odd := set(written) ^ set(again):
+        raise validate.Violation(f"artifacts on one side only: {sorted(odd)}")
+    parts = []
+    for name, (frame, keys) in sorted(again.items()):
+        was = written[name]
+        if sorted(was.dtypes) != sorted(frame.dtypes):
+            raise validate.Violation(f"{name}: columns differ")
+        differs = validate.frame_differences(was, frame, keys, rtol).agg(F.count("*").alias("differences"))
+        parts.append(was.agg(F.count("*").alias("rows")).join(differs).select(F.lit(name).alias("artifact"), "rows", "differences"))  # a row each
+    return reduce(DataFrame.unionByName, parts)
+
+
+def gate(written: dict[str, DataFrame], again: dict[str, tuple[DataFrame, list[str]]], stages: DataFrame, now: DataFrame, uses: DataFrame, path: str, rtol: float = 0.0) -> DataFrame:
+    """The whole run's gate: every artifact made again is equal, then the manifest is promoted."""
+    validate.enforce(recomputed(written, again, rtol).filter("differences > 0"), "artifacts that are not what they are made of")
+    return promote(stages, now, uses, path)
+
+
 def append_ledger(spark: SparkSession, path: str, rows: list[tuple[str, str, str]]) -> None:
     spark.createDataFrame(rows, ENTRY).write.mode("append").parquet(path)
 
