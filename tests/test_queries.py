@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from tidewell.plans import audit_queries, model_queries, panel_queries, run_queries
+from tidewell.plans import audit_queries, inference_queries, model_queries, panel_queries, run_queries
 
 DIR = "/root/testdata/sf0.001"
-SQL = panel_queries.SQL | model_queries.SQL | audit_queries.SQL | run_queries.SQL
-QUERIES = panel_queries.QUERIES | model_queries.QUERIES | audit_queries.QUERIES | run_queries.QUERIES
+SQL = panel_queries.SQL | model_queries.SQL | audit_queries.SQL | run_queries.SQL | inference_queries.SQL
+QUERIES = panel_queries.QUERIES | model_queries.QUERIES | audit_queries.QUERIES | run_queries.QUERIES | inference_queries.QUERIES
 
 
 @pytest.fixture(scope="module")

@@ -102,17 +102,21 @@ def row_utility(d: Column, positive: Column, alarm: Column, u: UtilityPolicy = U
     return F.when(~positive, F.when(alarm, u.false_alarm).otherwise(0.0)).otherwise(F.when(d <= u.late, worth).otherwise(0.0))
 
 
-def utility_by_entity(panel: DataFrame, score: str, threshold: float, shift: int = 6, u: UtilityPolicy = UtilityPolicy()) -> DataFrame:
-    """Per entity: observed, best and inaction utility. Onset: row of the first positive label plus shift."""
+def utilities_by_entity(panel: DataFrame, score: str, thresholds: list[float], shift: int = 6, u: UtilityPolicy = UtilityPolicy()) -> DataFrame:
+    """Per entity: observed_<k> utility at each threshold, best and inaction utility. Onset: row of the first positive label plus shift."""
     w = W.partitionBy("entity")
     i = panel.withColumn("i", F.row_number().over(w.orderBy("t")) - 1)
     i = i.withColumn("first", F.min(F.when(F.col("label") == 1, F.col("i"))).over(w)).withColumn("d", F.col("i") - (F.col("first") + shift))
     positive = F.col("first").isNotNull()
     best = positive & F.col("d").between(u.early, u.late)
     worth = lambda alarm: F.sum(row_utility(F.col("d"), positive, alarm, u))
-    return i.groupBy("entity", "source").agg(
-        F.round(worth(F.col(score) >= threshold), DIGITS).alias("observed"), F.round(worth(best), DIGITS).alias("best"), F.round(worth(F.lit(False)), DIGITS).alias("inaction"),
-    )
+    observed = [F.round(worth(F.col(score) >= x), DIGITS).alias(f"observed_{k}") for k, x in enumerate(thresholds)]
+    return i.groupBy("entity", "source").agg(*observed, F.round(worth(best), DIGITS).alias("best"), F.round(worth(F.lit(False)), DIGITS).alias("inaction"))
+
+
+def utility_by_entity(panel: DataFrame, score: str, threshold: float, shift: int = 6, u: UtilityPolicy = UtilityPolicy()) -> DataFrame:
+    """Per entity: observed, best and inaction utility at one threshold."""
+    return utilities_by_entity(panel, score, [threshold], shift, u).withColumnRenamed("observed_0", "observed")
 
 
 def bootstrap_utility(per: DataFrame, reps: int, seed: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,6 +73,31 @@ def robustness(rows: DataFrame, columns: list[tuple[str, str, str]], base: str,
     return table.join(pair, "configuration")
 
 
+def master(parts: dict[tuple[str, str], DataFrame], scores: list[str]) -> DataFrame:
+    """section, configuration, score and its figures: parts by (section, configuration) hold rows with y, w and the scores."""
+    from tidewell.operators.metrics import performance
+
+    out = []
+    for (section, configuration), rows in parts.items():
+        each = F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).alias("p")) for s in scores])).alias("x")
+        table = performance(rows.select("y", "w", each).select("y", "w", "x.*"), ["score"]).select("score", "ap", "auroc", "brier")
+        out.append(table.select(F.lit(section).alias("section"), F.lit(configuration).alias("configuration"), "*"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def utility_by_threshold(panel: DataFrame, score: str, thresholds: list[int]) -> DataFrame:
+    """threshold_pct, observed utility and its normalised form at each threshold (hundredths).
+
+    Utility sums by entity at all thresholds come from one pass; rows are not repeated for each.
+    """
+    from tidewell.operators.decision import utilities_by_entity
+
+    per = utilities_by_entity(panel, score, [k / 100 for k in thresholds])
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("threshold_pct"), F.col(f"observed_{i}").alias("observed")) for i, k in enumerate(thresholds)])).alias("x")
+    o, b, n = (F.sum(c) for c in ("observed", "best", "inaction"))
+    return per.select("best", "inaction", at).select("best", "inaction", "x.*").groupBy("threshold_pct").agg(o.alias("observed"), F.try_divide(o - n, b - n).alias("utility"))
+
+
 GATES = ("ap_above_zero", "sensitivity_superior", "false_alarms_in_budget", "brier_not_worse", "lead_not_shorter", "decision_curve_favorable")
 
 

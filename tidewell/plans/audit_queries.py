@@ -245,30 +245,27 @@ SQL["model_summary"] += (
 
 
 @query(f"""WITH al AS (SELECT 'C0' AS representation, * FROM {_alarm_sql('p0')} UNION ALL SELECT 'C3', * FROM {_alarm_sql('p1')}),
-    tr AS (SELECT * FROM ({LONGSCORES + _BY('source, representation')} SELECT source, representation, ap FROM ta)), al2 AS (SELECT * FROM ({LONGSCORES + _BY('representation')} SELECT representation, ap, brier FROM ta)),
-    cu AS (SELECT pct, net_p1, difference, treat_all FROM ({pq.SQL['decision_curve_paired']}) JOIN (SELECT pct, treat_all FROM ({pq.SQL['decision_curve']})) USING (pct)),
-    g AS (SELECT coalesce((SELECT max(CASE WHEN representation = 'C3' THEN ap END) - max(CASE WHEN representation = 'C0' THEN ap END) FROM al2) > 0, false) AS ap_above_zero,
+    tr AS (SELECT * FROM ({LONGSCORES + _BY('source, representation')} SELECT source, representation, ap FROM ta)),
+    ci AS (SELECT * FROM ({pq.SQL['bootstrap_ap_brier_ci']})),
+    cu AS (SELECT pct, net_p1_low, difference_low, treat_all FROM ({pq.SQL['bootstrap_dca_ci']}) JOIN (SELECT pct, treat_all FROM ({pq.SQL['decision_curve']})) USING (pct)),
+    g AS (SELECT coalesce((SELECT ap_difference_low FROM ci) > 0, false) AS ap_above_zero,
       coalesce((SELECT max(CASE WHEN representation = 'C3' THEN sensitivity END) > max(CASE WHEN representation = 'C0' THEN sensitivity END) FROM al), false) AS sensitivity_superior,
       coalesce((SELECT max(CASE WHEN representation = 'C3' THEN false_per_day END) <= 0.25 FROM al), false) AS false_alarms_in_budget,
-      coalesce((SELECT max(CASE WHEN representation = 'C3' THEN brier END) - max(CASE WHEN representation = 'C0' THEN brier END) FROM al2) <= 0, false) AS brier_not_worse,
+      coalesce((SELECT brier_difference_low FROM ci) <= 0, false) AS brier_not_worse,
       coalesce((SELECT max(CASE WHEN representation = 'C3' THEN median_lead END) >= max(CASE WHEN representation = 'C0' THEN median_lead END) FROM al), false) AS lead_not_shorter,
-      coalesce((SELECT bool_or(difference > 0 AND net_p1 >= treat_all AND net_p1 >= 0) FROM cu), false) AS decision_curve_favorable,
+      coalesce((SELECT bool_or(difference_low > 0 AND net_p1_low >= treat_all AND net_p1_low >= 0) FROM cu), false) AS decision_curve_favorable,
       (SELECT count(DISTINCT source) FROM tr) AS directions,
       (SELECT count(*) FROM (SELECT source FROM tr GROUP BY source HAVING max(CASE WHEN representation = 'C3' THEN ap END) > max(CASE WHEN representation = 'C0' THEN ap END))) AS directions_better)
     SELECT *, CASE WHEN ap_above_zero AND sensitivity_superior AND false_alarms_in_budget AND brier_not_worse AND lead_not_shorter AND decision_curve_favorable
       THEN CASE WHEN directions = directions_better THEN 'TRANSPORT_ROBUSTNESS_CONFIRMED' ELSE 'PROMISING_BUT_NOT_TRANSPORTABLE' END ELSE 'NO_VERIFIED_IMPROVEMENT' END AS status FROM g""")
 def primary_gates(spark, sf_dir):
-    """The six gates with p1 as the candidate; point differences stand for the intervals' lower ends here."""
+    """The six gates with p1 as the candidate, by the lower ends of the bootstrap intervals."""
     alarm = [_summary(spark, sf_dir, p).withColumn("representation", F.lit(n)) for p, n in (("p0", "C0"), ("p1", "C3"))]
-    long = long_scores(spark, sf_dir)
-    pair = reports.paired_differences(metrics.performance(long, ["representation"]).withColumn("one", F.lit(1)), ["one"], "representation", "C0", "C3", ["ap", "brier"])
-    curve = decision.decision_curve(labelled(spark, sf_dir), tuple(pq.CURVE), ["p0", "p1"])
-    curve = curve.join(pq.decision_curve_paired(spark, sf_dir).select("pct", "difference"), "pct")
-    return reports.gates(
-        alarm[0].unionByName(alarm[1]), pair.select(F.col("ap_difference").alias("ap_low"), F.col("brier_difference").alias("brier_low")),
-        curve.select(F.col("difference").alias("difference_low"), F.col("net_p1").alias("net_low"), "treat_all"),
-        metrics.performance(long, ["source", "representation"]).withColumnRenamed("source", "direction"), "C0", "C3",
-    )
+    ci = pq.bootstrap_ap_brier_ci(spark, sf_dir).select(F.col("ap_difference_low").alias("ap_low"), F.col("brier_difference_low").alias("brier_low"))
+    treat = decision.decision_curve(labelled(spark, sf_dir), tuple(pq.CURVE), ["p0", "p1"]).select("pct", "treat_all")
+    curve = pq.bootstrap_dca_ci(spark, sf_dir).join(treat, "pct").select("difference_low", F.col("net_p1_low").alias("net_low"), "treat_all")
+    by_source = metrics.performance(long_scores(spark, sf_dir), ["source", "representation"]).withColumnRenamed("source", "direction")
+    return reports.gates(alarm[0].unionByName(alarm[1]), ci, curve, by_source, "C0", "C3")
 
 
 @query()

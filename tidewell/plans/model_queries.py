@@ -332,4 +332,5 @@ def robustness_oof(spark, sf_dir):
 
 @query()
 def transport_ab(spark, sf_dir):
-    return _shown(models.transport(model_rows(spark, sf_dir), plan("C1"), "A", 20))
+    """Every row predicted by the model of the other source, in both directions."""
+    return _shown(models.transport_both(model_rows(spark, sf_dir), plan("C1"), ("A", "B"), 20), "direction")
