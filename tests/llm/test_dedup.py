@@ -150,7 +150,7 @@ def test_suffix_dedup(make, corpus, span):
 
 @pytest.mark.parametrize("heavy", [1, 200])
 def test_heavy_prefixes_are_lengthened(make, corpus, monkeypatch, heavy):
-    """Prefixes over the budget get longer ones, at last whole windows; the rows stay."""
+    """Prefixes over the budget get longer ones, step by step; stretches stay runs of windows, groups decide them, and the rows stay."""
     from tidewell.llm import repeats
 
     rows = [r for r in corpus if r[0] != 500]
@@ -158,10 +158,52 @@ def test_heavy_prefixes_are_lengthened(make, corpus, monkeypatch, heavy):
     want = [sorted(map(str, f().collect())) for f in finds]
     seen = []
     f = repeats.longer
-    monkeypatch.setattr(repeats, "longer", lambda s, k, whole: seen.append(whole) or f(s, k, whole))
+    monkeypatch.setattr(repeats, "longer", lambda s, k, level: seen.append(level) or f(s, k, level))
     monkeypatch.setattr(repeats, "GROUP_BYTES", heavy)
     assert [sorted(map(str, f().collect())) for f in finds] == want
-    assert False in seen and (heavy > 1 or True in seen)
+    assert 0 in seen and (heavy > 1 or max(seen) > 1)
+
+
+def test_prefixes_grow_to_the_window():
+    from tidewell.llm import repeats
+    from tidewell.llm.substring_dedup import word_kind
+    from tidewell.llm.suffix_dedup import byte_kind
+
+    assert [repeats.room(word_kind(13, 8), n)[0] for n in range(5)] == [8, 10, 11, 12, 13]
+    sizes = [repeats.room(byte_kind(400, 64), n)[0] for n in range(9)]
+    assert sizes == [64, 232, 316, 358, 379, 389, 394, 397, 398]
+
+
+def test_an_anchor_of_most_texts(make, monkeypatch):
+    """One line in every text, all different around it: its prefix is too heavy and is lengthened, and the tree decides what is left of it; hot anchors change no row."""
+    from tidewell.llm import repeats
+
+    r = random.Random(9)
+    line = [f"w{i}" for i in range(10)]
+    side = [[f"{s}{k}" for k in range(4)] for s in "abc"]
+    rows = [(i, " ".join([*(f"x{i}y{k}" for k in range(20)), *side[i % 3], *line, *(r.choice(["p", "q"]) for _ in range(8)), *(f"z{i}y{k}" for k in range(20))])) for i in range(150)]
+    want = sorted(map(str, substring_dedup(make(rows), 13).collect()))
+    rows_in: list[int] = []
+    f = repeats.in_groups
+    monkeypatch.setattr(repeats, "in_groups", lambda s, d, g: rows_in.append(s.count()) or f(s, d, g))
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 4000)
+    assert sorted(map(str, substring_dedup(make(rows), 13).collect())) == want
+    assert len(rows_in) > 1 and sum(rows_in[1:]) > 0
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    monkeypatch.setattr(repeats, "HOT_SAMPLE", 2)
+    assert len(repeats.hot_anchors(make(rows).selectExpr("text", "doc_id AS place"), substring_kind())) > 5
+    assert sorted(map(str, substring_dedup(make(rows), 13).collect())) == want
+
+
+def substring_kind():
+    from tidewell.llm.substring_dedup import word_kind
+
+    return word_kind(13, 8)
+
+
+def test_substring_operators_on_empty_tables(make, corpus):
+    empty = make(corpus[:1]).limit(0)
+    assert substring_dedup(empty, 13).count() == 0 and suffix_dedup.suffix_dedup(empty, 40, 10).count() == 0
 
 
 def test_equal_stretches_fold_before_they_are_grouped(make, monkeypatch):

@@ -6,14 +6,15 @@ an anchor found once rules out all windows it stands for. The steps, all keyed a
 
 1. classes: equal texts fold into one class; only one row of each class goes on.
 2. anchors: each partition sends its anchors' hashes, sorted and packed by bucket; a bucket
-   merges the runs and returns those that stand in two classes (or, if asked, twice in one).
+   merges the runs and returns those that stand in two classes (or, if asked, twice in one). Anchors
+   that a sample of rows finds in very many texts repeat for sure and skip the merge, spread out.
 3. stretches: texts with such anchors give, for each, the stretch of windows it stands for.
    Equal stretches fold into one row (count, least doc_id) before they meet others, so a passage
    of any frequency is one row for each partition.
 4. groups: distinct stretches go to groups by a prefix, the anchor. Prefixes whose stretches hold
-   more than GROUP_BYTES are lengthened by what stands beside the anchor, and if that is still
-   too much, to the whole window, where no group is needed: equal windows fold. The number of
-   groups follows the counted bytes.
+   more than GROUP_BYTES are lengthened by symbols before or after, half of what the window still
+   has each time, and their stretches, still whole runs of windows, are cut in two; so on until
+   every prefix fits. The number of groups follows the counted bytes.
 5. Verdicts come back by stretch, then by text, and texts with repeats are rewritten.
 """
 
@@ -34,6 +35,7 @@ LAST_ID = (1 << 63) - 1  # where a null doc_id stands in order
 MULT = np.uint64(0x9E3779B97F4A7C15)
 GROUP_BYTES = 8 << 20  # of one prefix's distinct stretches
 FLUSH = 1 << 20
+SAMPLE, HOT_SAMPLE = 32, 2000  # an anchor of some 64,000 texts and more
 CLASS = "doc_id long, place long, digest binary, n long, sha256 string"
 STRETCH = "sid binary, key long, at int, windows int, body binary"
 
@@ -124,8 +126,26 @@ def classes(docs: DataFrame, kind: Kind) -> DataFrame:
     return docs.mapInArrow(run, CLASS)
 
 
+def hot_anchors(docs: DataFrame, kind: Kind) -> np.ndarray:
+    """Sorted fps that HOT_SAMPLE rows of one in SAMPLE hold, in two classes at least. They only balance the work: no result depends on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                body = kind.body(t)
+                h, place = anchors(kind.symbols(body), kind)
+                f = np.unique(h[place]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.full(len(f), np.frombuffer(digest(body)[:8], np.int64)[0]))], ["fp", "c64"])
+
+    some = docs.filter(F.pmod(F.xxhash64("place"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "fp long, c64 long")
+    found = some.groupBy("fp").agg(F.count("*").alias("n"), F.min("c64").alias("a"), F.max("c64").alias("b")).filter((F.col("n") >= HOT_SAMPLE) & (F.col("a") < F.col("b")))
+    rows = found.orderBy(F.desc("n"), "fp").limit(FEW_ROWS).select("fp").toArrow()  # the hottest, in a list of bounded size
+    return np.sort(rows.column("fp").to_numpy().view(np.uint64))
+
+
 def repeated_anchors(docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
     """c64 (first half of the class digest) and fp of every anchor that repeats."""
+    hot = hot_anchors(docs, kind)
 
     def emit(fps: list, ids: list, twice: list) -> pa.RecordBatch:
         f, c, m = np.concatenate(fps), np.concatenate(ids), np.concatenate(twice)
@@ -133,7 +153,10 @@ def repeated_anchors(docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
         f, c, m = f[order], c[order], m[order]
         new = np.r_[True, (f[1:] != f[:-1]) | (c[1:] != c[:-1])]
         f, c, m = f[new], c[new], m[new]
-        b = (f >> np.uint64(40)) % np.uint64(buckets)
+        b = ((f >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        if len(hot):  # by class, in buckets below 0
+            is_hot = hot[np.minimum(np.searchsorted(hot, f), len(hot) - 1)] == f
+            b = np.where(is_hot, -1 - (c.view(np.uint64) % np.uint64(buckets)).astype(np.int64), b)
         order = np.argsort(b, kind="stable")
         f, c, m, b = f[order], c[order], m[order], b[order]
         at = np.r_[np.flatnonzero(np.r_[True, b[1:] != b[:-1]]), len(b)]
@@ -167,6 +190,8 @@ def repeated_anchors(docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
         f, c, m = f[order], c[order], m[order]
         new = np.r_[True, (f[1:] != f[:-1]) | (c[1:] != c[:-1])]
         f, c, m = f[new], c[new], m[new]
+        if t.column("bucket")[0].as_py() < 0:
+            return pa.table({"c64": c, "fp": f.view(np.int64)})
         start = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
         n = np.diff(np.r_[start, len(f)])
         many = n > 1
@@ -228,27 +253,30 @@ def contexts(cand: DataFrame, kind: Kind) -> DataFrame:
     return cand.mapInArrow(run, f"digest binary, place long, starts array<int>, {STRETCH}")
 
 
-def longer(stretches: DataFrame, kind: Kind, whole: bool) -> DataFrame:
-    """Stretches of heavy prefixes cut into parts with longer ones: parent sid, offset in it, and the part's own columns.
+def room(kind: Kind, level: int) -> tuple[int, int]:
+    """(symbols of the prefixes at this level, how many more the next level takes: half of what the window has besides)."""
+    size = kind.k
+    for _ in range(level):
+        size += max(1, (kind.span - size) // 2)
+    return size, max(1, (kind.span - size) // 2)
 
-    A window with its anchor in the second half takes the symbols before the anchor into its
-    prefix, any other those after it; whole: each window is a prefix of its own.
+
+def longer(stretches: DataFrame, kind: Kind, level: int) -> DataFrame:
+    """Stretches of heavy prefixes cut in two with longer ones: parent sid, offset in it, and the part's own columns.
+
+    The first windows take symbols before the prefix into it, the others symbols after: as a prefix grows
+    by half of the room in the window at most, every window has one or the other.
     """
-    u, k, span = kind.unit, kind.k, kind.span
-    mid = (span - k) // 2
-    more = min(mid, span - k - mid)
+    u, span = kind.unit, kind.span
+    size, more = room(kind, level)
 
     def parts(key: int, at: int, windows: int, body: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
-        if whole:
-            for s in range(windows):
-                part = body[s * u : (s + span) * u]
-                yield s, xxhash.xxh3_64_intdigest(part), at - s, 1, part
-            return
-        split = min(windows, max(0, at - mid + 1))
+        own = key.to_bytes(8, "little", signed=True)
+        split = min(windows, max(0, at - more + 1))
         if split:
-            yield 0, xxhash.xxh3_64_intdigest(b"<" + body[(at - more) * u : (at + k) * u]), at, split, body[: (split - 1 + span) * u]
+            yield 0, xxhash.xxh3_64_intdigest(own + b"<" + body[(at - more) * u : at * u]), at - more, split, body[: (split - 1 + span) * u]
         if split < windows:
-            yield split, xxhash.xxh3_64_intdigest(b">" + body[at * u : (at + k + more) * u]), at - split, windows - split, body[split * u : (windows - 1 + span) * u]
+            yield split, xxhash.xxh3_64_intdigest(own + b">" + body[(at + size) * u : (at + size + more) * u]), at - split, windows - split, body[split * u : (windows - 1 + span) * u]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
@@ -273,20 +301,18 @@ def verdicts(stretches: DataFrame, kind: Kind, decide: Callable[[pa.Table], pa.T
 
     stretches (stored): sid, key, at, windows, body, n (times), least.
     """
+    # a prefix as long as the window has equal windows alone: one stretch, of one window
+    whole = room(kind, level)[0] >= kind.span
     weight = F.sum(F.length("body"))
-    heavy = stored(stretches.groupBy("key").agg(weight.alias("bytes")).filter(F.col("bytes") > group_bytes).select(F.col("key").alias("heavy")), "repeat-heavy")
+    heavy = stored(stretches.groupBy("key").agg(weight.alias("bytes"), F.count("*").alias("many")).filter(F.lit(not whole) & (F.col("bytes") > group_bytes) & (F.col("many") > 1)).select(F.col("key").alias("heavy")), "repeat-heavy")
     n = heavy.count()
     if not n:
         return in_groups(stretches, decide, group_bytes)
     side = F.broadcast(heavy) if n <= FEW_ROWS else heavy
     light = stretches.join(side, F.col("key") == F.col("heavy"), "left_anti")
-    parts = stored(longer(stretches.join(side, F.col("key") == F.col("heavy"), "left_semi"), kind, level > 0), "repeat-longer")
+    parts = stored(longer(stretches.join(side, F.col("key") == F.col("heavy"), "left_semi"), kind, level), "repeat-longer")
     folded = stored(parts.groupBy("sid", "key", "at", "windows", "body").agg(F.sum("n").alias("n"), F.min("least").alias("least")), "repeat-stretches")
-    if level:  # the prefix is the whole window: nothing is left to compare
-        below = folded.filter("n > 1").select("sid", F.lit(0).alias("offset"), "windows", "least")
-    else:
-        below = verdicts(folded, kind, decide, group_bytes, level + 1)
-    below = stored(below, "repeat-verdicts").withColumnRenamed("offset", "inner")
+    below = stored(verdicts(folded, kind, decide, group_bytes, level + 1), "repeat-verdicts").withColumnRenamed("offset", "inner")
     back = parts.select("parent", "offset", "sid").join(below, "sid").select(F.col("parent").alias("sid"), (F.col("offset") + F.col("inner")).alias("offset"), "windows", "least")
     return in_groups(light, decide, group_bytes).union(back)
 
