@@ -44,7 +44,7 @@ SCREEN = 0.68
 BLOCK = 2048  # members of a bucket that one task compares with another such block, by signatures
 TEXTS = 512  # members of a cluster that one task compares with another such block, by full sets
 BLOCK_BYTES = 8 << 20  # of a block's texts
-WORDS_CACHED = 1_000_000
+WORDS_CACHED = 1 << 17  # some 25 MB in a worker
 HEADS = 4  # stars of a member that are tried first
 
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
