@@ -132,27 +132,28 @@ def rule_violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFr
 
 
 def many_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """The left join, after checks that right has each key once and every row of left finds one."""
-    enforce(duplicates(right, keys), f"keys {keys} are not unique")
-    enforce(left.join(right, keys, "left_anti").select(*keys), f"rows without a match on {keys}")
+    """The left join, after one job that checks that right has each key once and every row of left finds one."""
+    times = right.groupBy(*keys).agg(F.count("*").alias("_n"))
+    met = left.select(*keys, F.lit(True).alias("_left")).join(times, keys, "full_outer")
+    rules = {f"keys {keys} are not unique": F.col("_n") > 1, f"rows without a match on {keys}": F.col("_n").isNull()}
+    report(met.agg(*checks(rules, keys)).first().asDict(), rules)
     return left.join(right, keys, "left")
 
 
 def paired(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """a and b side by side, after checks that both have the same keys, each once."""
-    for one in (a, b):
-        enforce(duplicates(one, keys), f"keys {keys} are not unique")
+    """a and b side by side, after one job that checks that both have the same keys, each once."""
     if clash := (set(a.columns) & set(b.columns)) - set(keys):
         raise Violation(f"columns of both sides: {sorted(clash)}")
-    for x, y in ((a, b), (b, a)):
-        enforce(x.join(y, keys, "left_anti").select(*keys), "the two sides hold other keys")
+    n = [x.groupBy(*keys).agg(F.count("*").alias(c)) for x, c in ((a, "_a"), (b, "_b"))]
+    rules = {f"keys {keys} are not unique": (F.col("_a") > 1) | (F.col("_b") > 1), "the two sides hold other keys": F.col("_a").isNull() | F.col("_b").isNull()}
+    report(n[0].join(n[1], keys, "full_outer").agg(*checks(rules, keys)).first().asDict(), rules)
     return a.join(b, keys)
 
 
 def with_predictions(rows: DataFrame, predictions: DataFrame, keys: list[str], probabilities: list[str]) -> DataFrame:
     """rows with prediction columns: new names only, the same keys, probabilities in [0, 1]."""
-    for p in probabilities:
-        enforce(not_probability(predictions, p).select(*keys, p), f"{p} is no probability")
+    bad = {f"{p} is no probability": F.col(p).isNull() | F.isnan(p) | ~F.col(p).between(0, 1) for p in probabilities}
+    report(predictions.agg(*checks(bad, [*keys, *probabilities])).first().asDict(), bad)
     return paired(rows, predictions, keys)
 
 
