@@ -165,7 +165,6 @@ def test_files_and_logs(spark, tmp_path):
     (d / "p1.psv").write_text("t|x\n1|5\n2|NaN\n")
     got = src.read_psv(spark, str(tmp_path / "files"), ["t", "x"]).orderBy("t").collect()
     assert [(r.entity, r.x) for r in got] == [("setA:p1", "5"), ("setA:p1", None)]
-    assert src.file_hashes(spark, str(tmp_path / "files")).count() == 1
     (tmp_path / "log").write_text("noise\nelapsed=12.5\nexit_code=0\n")
     assert {r.key: r.value for r in src.key_value_log(spark, str(tmp_path / "log")).collect()} == {"elapsed": "12.5", "exit_code": "0"}
     (tmp_path / "gpu.csv").write_text("utilization\n0 %\n50 %\n100 %\n")
@@ -202,13 +201,13 @@ def test_harmonised_panels_fail_closed(spark, capsys):
 
 
 def test_runs_manifests_and_ledger(spark, tmp_path):
-    from tidewell.sources import runs
+    from tidewell.sources import files, runs
 
     root = tmp_path / "run"
     root.mkdir()
     (root / "panel.csv").write_text("entity,x\n4,1.5\n,2\n")
     (root / "oof.csv").write_text("p\n0.5\n")
-    now = src.file_hashes(spark, str(root))
+    now = files.file_hashes(spark, str(root))
     one, two = (runs.stage_manifest(now.filter(F.col("artifact").endswith(n)), s, str(root)) for n, s in (("panel.csv", "prepare"), ("oof.csv", "model")))
     stages = one.union(two)
     assert {(r.stage, r.artifact) for r in stages.collect()} == {("prepare", "panel.csv"), ("model", "oof.csv")}

@@ -1,5 +1,7 @@
-"""Archives read by member ranges, transitive lineage and the recomputation gate."""
+"""Archives read by member ranges, file hashes, manifests, transitive lineage and the recomputation gate."""
 
+import hashlib
+import json
 import os
 import zipfile
 
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import lineage, validate
-from tidewell.sources import archives, panel, runs
+from tidewell.sources import archives, files, panel, runs
 
 COLUMNS = ["t", "x", "label"]
 
@@ -128,3 +130,49 @@ def test_a_tampered_figure_is_refused(spark, tmp_path):
     with pytest.raises(validate.Violation, match="one side"):
         runs.recomputed({}, again)
     assert not os.path.exists(tmp_path / "never")
+
+
+def test_files_are_hashed_in_pieces_and_links_refused(spark, tmp_path):
+    root = tmp_path / "run"
+    (root / "deep").mkdir(parents=True)
+    big = os.urandom(3 * files.PIECE + 17)
+    (root / "deep/big").write_bytes(big)
+    (root / "empty").write_bytes(b"")
+    want = {f"{root}/deep/big": (hashlib.sha256(big).hexdigest(), len(big)), f"{root}/empty": (hashlib.sha256(b"").hexdigest(), 0)}
+    df = files.file_hashes(spark, str(root), partition_bytes=1)
+    assert {r.artifact: (r.sha256, r.size) for r in df.collect()} == want and df.rdd.getNumPartitions() == 2
+    (tmp_path / "elsewhere").mkdir()
+    for name, to in (("link", root / "empty"), ("deep/folder", tmp_path / "elsewhere")):
+        (root / name).symlink_to(to)
+        with pytest.raises(validate.Violation, match="links among"):
+            files.file_hashes(spark, str(root))
+        (root / name).unlink()
+
+
+def test_json_manifests_fail_closed(spark, tmp_path):
+    schema = "stage string, rows long, inputs map<string,string>"
+    (tmp_path / "a.json").write_text(json.dumps({"stage": "prepare", "rows": 3, "inputs": {"x": "0"}}, indent=2))
+    (tmp_path / "notes.txt").write_text("no")
+    got = files.json_manifests(spark, str(tmp_path), schema, ["stage", "rows"]).first()
+    assert (got.stage, got.rows, got.inputs) == ("prepare", 3, {"x": "0"}) and got.artifact.endswith("a.json")
+    for bad, what in (('{"stage": "x"}', "required"), ('{"stage": "x", "rows": "many"}', "(?i)malformed|parse"), ("{", "(?i)malformed|parse|corrupt")):
+        (tmp_path / "b.json").write_text(bad)
+        with pytest.raises(Exception, match=what):
+            files.json_manifests(spark, str(tmp_path), schema, ["stage", "rows"]).collect()
+
+
+def test_csv_reads_back_as_it_was(spark, tmp_path):
+    rows = [(1, 0.1 + 0.2, "a,b"), (2, 1e-300, 'say "x"'), (3, None, "é\nline"), (4, -1 / 3, None), (5, 5e-324, "plain")]
+    df = spark.createDataFrame(rows, "k int, v double, s string")
+    again = files.write_csv_once(df, str(tmp_path / "t"))
+    assert sorted(map(tuple, again.collect())) == rows
+    with pytest.raises(Exception, match="(?i)already exists"):
+        files.write_csv_once(df, str(tmp_path / "t"))
+
+
+def test_binary_columns_are_checked_before_they_are_cast(spark):
+    of = lambda *v: spark.createDataFrame([(x,) for x in v], "y double")
+    assert [r.y for r in files.binary_column(of(0.0, 1.0), "y").collect()] == [0, 1]
+    for bad in ((0.0, 0.5), (1.0, None), (2.0,), (float("nan"),), ()):
+        with pytest.raises(validate.Violation, match="y"):
+            files.binary_column(of(*bad), "y")

@@ -79,7 +79,7 @@ def codes(df: DataFrame, key: str, out: str = "code") -> DataFrame:
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     shift = sizes.select(F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))  # a row for each range
     ranked = dealt.withColumn("_inner", F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1)
-    return ranked.join(shift, F.col("_part") == F.col("_at")).select(key, (F.col("_inner") + F.col("_shift")).alias(out))
+    return ranked.join(F.broadcast(shift), F.col("_part") == F.col("_at")).select(key, (F.col("_inner") + F.col("_shift")).alias(out))
 
 
 def round_count(rounds: DataFrame, by: list[str], value: str) -> DataFrame:

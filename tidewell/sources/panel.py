@@ -132,12 +132,6 @@ def utilisation_log(spark: SparkSession, path: str) -> DataFrame:
     return used.agg(F.count("*").alias("samples"), F.count(active).alias("active_samples"), F.avg("u").alias("mean"), F.avg(active).alias("active_mean"), F.max("u").alias("largest"))
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """artifact path and sha256 of every file below path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("artifact"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
-
-
 def inventory_hash(members: DataFrame) -> DataFrame:
     """sha256 over the members' names, sizes and checksums in name order; an archive without members is an error."""
     if members.isEmpty():
