@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.scalars import text_hash
 from tidewell.sources.shared import stored
 
 
+def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """sha256 and size (rows) of a table's content, whatever the order of its rows: of the number of rows and the sum of their 60-bit hashes.
+
+    Rows are hashed as text, null as an empty field between bars; columns should be whole numbers or text. One row.
+    """
+    said = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    total = F.coalesce(F.sum(text_hash(said).cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return df.agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), total), 256).alias("sha256"), F.count("*").alias("size"))
+
+
 def artifact_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(artifact, what) for artifacts missing, unexpected or with another hash."""
     a, b = expected.select("artifact", F.col("sha256").alias("want")), actual.select("artifact", F.col("sha256").alias("got"))

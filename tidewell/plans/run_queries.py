@@ -89,3 +89,26 @@ def recomputed_artifacts(spark, sf_dir):
     written = {n: runs.write_once(df, new_path(spark, n)) for n, df in (("cohort", _cohort(spark, sf_dir)), ("targets", targets))}
     again = {"cohort": (_cohort(spark, sf_dir), ["source", "entity"]), "targets": (_targets(spark, sf_dir), ["entity", "t"])}
     return runs.recomputed(written, again)
+
+
+_STAGES = {"panel": ["entity", "t", "label"], "targets": ["entity", "t", "eligible", "target"], "decisions": ["entity", "t", "target"]}
+
+
+def _digest_sql(name: str, table_: str, where: str) -> str:
+    text = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in _STAGES[name])
+    return f"SELECT '{name}' AS artifact, sha256(count(*) || ':' || CAST(coalesce(sum(CAST(('0x' || substr(md5({text}), 1, 15)) AS BIGINT)), 0) AS VARCHAR)) AS sha256, count(*) AS size FROM {table_} WHERE {where}"
+
+
+@query(TARGET + f""", m AS ({_digest_sql('panel', 'panel', 'true')} UNION ALL {_digest_sql('targets', 'targeted', 'true')} UNION ALL {_digest_sql('decisions', 'targeted', 'eligible = 1')})
+    SELECT artifact, sha256, size, CASE artifact WHEN 'panel' THEN 'mismatch' ELSE 'behind a change' END AS what, CAST(CASE artifact WHEN 'panel' THEN 0 WHEN 'targets' THEN 1 ELSE 2 END AS INTEGER) AS steps FROM m""")
+def stale_stages(spark, sf_dir):
+    """Manifests of three stages made of each other, by content, and what a change of the first one leaves behind."""
+    t = targeted(spark, sf_dir)
+    tables = {"panel": panel(spark, sf_dir), "targets": t, "decisions": t.filter("eligible = 1")}
+    parts = [lineage.table_digest(df, _STAGES[n]).select(F.lit(n).alias("stage"), F.lit(n).alias("artifact"), "sha256", "size") for n, df in tables.items()]
+    stages = runs.write_once(reduce(DataFrame.unionByName, parts), new_path(spark, "stage-manifests"))
+    uses = spark.createDataFrame([("targets", "panel"), ("decisions", "targets")], "stage string, uses string")
+    nodes, edges = runs.lineage_of(stages, uses)
+    changed = tables["panel"].withColumn("label", F.when(F.col("entity") % 50 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    now = lineage.table_digest(changed, _STAGES["panel"]).select(F.lit("panel").alias("artifact"), "sha256").unionByName(stages.filter("artifact <> 'panel'").select("artifact", "sha256"))
+    return stages.select("artifact", "sha256", "size").join(lineage.stale(nodes, edges, now), "artifact")
