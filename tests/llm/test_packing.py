@@ -217,3 +217,11 @@ def test_pipeline_rows_follow_the_weights(spark, make, tmp_path):
         full = sorted((x.sequence_id, slot[x.doc_id]) for x in got if x.length == 1024)
         assert len(full) > 20 and [s for _, s in full] == sorted(s for _, s in full)
         assert {x.sequence_id for x in got} == set(range(max(x.sequence_id for x in got) + 1))
+
+
+def test_pipeline_on_an_empty_table(spark, make, tmp_path):
+    import corpus_pipeline
+
+    make([(1, "x")]).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
