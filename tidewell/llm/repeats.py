@@ -35,7 +35,7 @@ LAST_ID = (1 << 63) - 1  # where a null doc_id stands in order
 MULT = np.uint64(0x9E3779B97F4A7C15)
 GROUP_BYTES = 8 << 20  # of one prefix's distinct stretches
 FLUSH = 1 << 20
-SAMPLE, HOT_SAMPLE = 32, 2000  # an anchor of some 64,000 texts and more
+SAMPLE, HOT_SAMPLE = 128, 500  # an anchor of some 64,000 texts and more
 CLASS = "doc_id long, place long, digest binary, n long, sha256 string"
 STRETCH = "sid binary, key long, at int, windows int, body binary"
 
@@ -131,11 +131,13 @@ def hot_anchors(docs: DataFrame, kind: Kind) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            fps, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for t in b.column("text").to_pylist():
                 body = kind.body(t)
                 h, place = anchors(kind.symbols(body), kind)
-                f = np.unique(h[place]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.full(len(f), np.frombuffer(digest(body)[:8], np.int64)[0]))], ["fp", "c64"])
+                fps.append(np.unique(h[place]).view(np.int64))
+                ids.append(np.full(len(fps[-1]), np.frombuffer(digest(body)[:8], np.int64)[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps)), pa.array(np.concatenate(ids))], ["fp", "c64"])
 
     some = docs.filter(F.pmod(F.xxhash64("place"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "fp long, c64 long")
     found = some.groupBy("fp").agg(F.count("*").alias("n"), F.min("c64").alias("a"), F.max("c64").alias("b")).filter((F.col("n") >= HOT_SAMPLE) & (F.col("a") < F.col("b")))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import ids_and_text
 from tidewell.llm.repeats import NOTHING, Kind, repeats, verdict_table
 
-WORDS_CACHED = 1 << 17  # some 25 MB in a worker
+WORDS_CACHED = 1 << 19  # some 100 MB in a worker
 _words: dict[bytes, int] = {}
 
 
