@@ -1,6 +1,7 @@
 """Sample entropy by the sweep against all pairs of templates."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -37,3 +38,20 @@ def test_a_long_series(spark):
     df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)], "entity long, t long, v double")
     got = entropy.sample_entropies(df).first()
     assert got.n == 30_000 and 2.0 < got.sample_entropy < 2.4  # white noise of this tolerance: -ln(erf(0.1)) = 2.18
+
+
+def test_equal_templates_fold(spark):
+    """Copies of few values: 100,000 points are 64 templates, where pairs would be five thousand million."""
+    x = np.random.default_rng(5).integers(0, 4, 100_000).astype(float)
+    df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)], "entity long, t long, v double")
+    began = time.monotonic()
+    got = entropy.sample_entropies(df).first()
+    pairs = [sum(int(c) * (int(c) - 1) // 2 for c in np.unique(np.lib.stride_tricks.sliding_window_view(x, 3)[:, :k], axis=0, return_counts=True)[1]) for k in (2, 3)]
+    assert (got.n, got.sample_entropy) == (100_000, pytest.approx(-math.log(pairs[1] / pairs[0]), rel=1e-12))
+    assert time.monotonic() - began < 60
+
+
+def test_chunks_of_a_cell_meet_once(spark):
+    x = np.round(np.random.default_rng(7).exponential(size=500), 2)
+    df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)], "entity long, t long, v double")
+    assert entropy.sample_entropies(df, block=1).first().sample_entropy == pytest.approx(by_pairs(x.tolist()), rel=1e-12)

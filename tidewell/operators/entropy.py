@@ -1,13 +1,16 @@
-"""Sample entropy of series of any length, by a sweep over values in order.
+"""Sample entropy of series of any length, by cells of templates.
 
-Two templates can match only if their first values do. Templates in the order of their first value are
-cut into blocks; a block meets the templates after it in that order whose first value is within the
-tolerance, and counts matches in place. So a task holds a block and a tolerance's width of the
-series, no pair leaves it, and a long series is spread over as many tasks as it has blocks.
+Equal templates fold to one with a count. Two templates can match only if their first and their second
+values do, so the plane of these is cut into cells a tolerance wide: a cell's templates meet each other and
+those of the four cells after it, each pair once. Cells of many templates are dealt in chunks. So a task
+holds a chunk and the cells beside it, a template is sent five times plus once for each further chunk,
+and a long series is spread over as many tasks as it has cells and chunks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,20 +20,29 @@ from pyspark.sql import functions as F
 from tidewell.sources.shared import stored
 
 BLOCK = 4096
+BLOCKS = 16  # in a chunk, at most
 SLACK = 1e-9  # of the tolerance: what is sent may be a little more than what matches
+AFTER = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))  # the cells that a cell's templates meet
+PAIRS = 1 << 18  # compared at a time
+
+
+def matches(own: np.ndarray, times: np.ndarray, others: np.ndarray, other_times: np.ndarray, r: float) -> tuple[int, int]:
+    """(pairs that match in all columns but the last, pairs that match in all) of own rows with each other and with the others, each row standing for as many as its times say."""
 
+    def met(rows: np.ndarray, weight: np.ndarray) -> Iterator[tuple[int, int]]:
+        step = max(1, PAIRS // max(1, len(rows)))
+        weight = weight.astype(float)  # sums are below 2**53
+        for k in range(0, len(own), step):
+            some, n = own[k : k + step], times[k : k + step]
+            near = np.abs(rows[None, :, 0] - some[:, None, 0]) <= r
+            for c in range(1, rows.shape[1] - 1):
+                near &= np.abs(rows[None, :, c] - some[:, None, c]) <= r
+            all_ = near & (np.abs(rows[None, :, -1] - some[:, None, -1]) <= r)
+            yield tuple(int((n * np.rint(x @ weight).astype(np.int64)).sum()) for x in (near, all_))
 
-def matches(own: np.ndarray, after: np.ndarray, r: float) -> tuple[int, int]:
-    """(pairs that match in all columns but the last, pairs that match in all) of own rows with the later ones and with each other; rows sorted by the first column."""
-    rows = np.concatenate([own, after])
-    end = np.searchsorted(rows[:, 0], own[:, 0] + r * (1 + SLACK), side="right")
-    short = long = 0
-    for k in range(len(own)):
-        near = np.abs(rows[k + 1 : end[k]] - own[k]) <= r
-        first = near[:, :-1].all(axis=1)
-        short += int(first.sum())
-        long += int((first & near[:, -1]).sum())
-    return short, long
+    twice, once = (np.array([*met(rows, w), (0, 0)], dtype=object).sum(axis=0) for rows, w in ((own, times), (others, other_times)))
+    each = int(times.sum())
+    return tuple((int(t) - each) // 2 + int(o) for t, o in zip(twice, once))
 
 
 def sample_entropies(series: DataFrame, m: int = 2, share: float = 0.2, key: str = "entity", order: str = "t", value: str = "v", block: int = BLOCK) -> DataFrame:
@@ -39,29 +51,37 @@ def sample_entropies(series: DataFrame, m: int = 2, share: float = 0.2, key: str
     The tolerance is `share` of the series' population standard deviation. Nulls and NaN are left out; series shorter than m + 2 give null.
     """
     x = series.select(key, order, F.col(value).cast("double").alias("x0")).filter(F.col("x0").isNotNull() & ~F.isnan("x0"))
-    in_time, every = W.partitionBy(key).orderBy(order), W.partitionBy(key)
+    in_time = W.partitionBy(key).orderBy(order)
     names = [f"x{i}" for i in range(m + 1)]
-    t = x.withColumns({**{c: F.lead("x0", i).over(in_time) for i, c in enumerate(names) if i}, "n": F.count("*").over(every), "r": share * F.stddev_pop("x0").over(every), "i": F.row_number().over(in_time)})
-    # the rank goes over one series at a time, as leads do; Spark sorts it with spilling
-    t = t.filter(F.col("i") <= F.col("n") - m).withColumn("block", F.floor((F.row_number().over(W.partitionBy(key).orderBy("x0", "i")) - 1) / block).cast("int"))
-    templates = stored(t.select(key, "i", "n", "r", "block", *names), "templates")
-    tops = templates.groupBy(key, "block").agg(F.max("x0").alias("_top")).select(F.col(key).alias("_key"), F.col("block").alias("to"), "_top")
-    tops = stored(tops, "template-blocks")
-    few = tops.count() <= 100_000
-    meets = F.col(key).eqNullSafe(F.col("_key")) & (F.col("to") <= F.col("block")) & (F.col("x0") <= F.col("_top") + F.col("r") * (1 + SLACK) + F.abs("_top") * SLACK)
-    dealt = templates.join(F.broadcast(tops) if few else tops, meets).select(key, "to", "block", "i", "r", *names)
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"_{c}"))
+    sizes = stored(x.groupBy(key).agg(F.count("*").alias("n"), (share * F.stddev_pop("x0")).alias("r"), F.max(F.abs("x0")).alias("_most")), "series")
+    width = F.col("r") * (1 + SLACK) + F.col("_most") * 1e-12
+    of = sizes.select(F.col(key).alias(f"_{key}"), "r", width.alias("_width"))
+    # leads go over one series at a time; Spark sorts it with spilling
+    t = x.withColumns({c: F.lead("x0", i).over(in_time) for i, c in enumerate(names) if i}).filter(F.col(names[-1]).isNotNull())
+    t = t.groupBy(key, *names).agg(F.count("*").alias("times"))
+    few = lambda df: F.broadcast(df) if df.count() <= 100_000 else df
+    cell = lambda c: F.when(F.col("_width") > 0, F.floor(F.col(c) / F.col("_width"))).otherwise(0).cast("long")
+    t = t.join(few(of), same(key)).select(key, *names, "times", "r", cell("x0").alias("c0"), cell("x1" if m > 1 else "x0").alias("c1"))
+    templates = stored(t, "templates")
+    cells = stored(templates.groupBy(key, "c0", "c1").agg(F.ceil(F.count("*") / (BLOCKS * block)).cast("int").alias("chunks")), "template-cells")
+    cells = cells.select(*[F.col(c).alias(f"_{c}") for c in (key, "c0", "c1")], "chunks")
+    # a template is in its own cell and among the others of the cells that it comes after
+    to = F.explode(F.array(*[F.struct((F.col("c0") - a).alias("c0"), (F.col("c1") - b).alias("c1"), F.lit((a, b) == (0, 0)).alias("home")) for a, b in AFTER])).alias("to")
+    dealt = templates.select(key, *names, "times", "r", to).select(key, *names, "times", "r", "to.*")
+    dealt = dealt.join(few(cells), same(key) & same("c0") & same("c1"))
+    mine = F.pmod(F.xxhash64(*names), F.col("chunks"))
+    dealt = dealt.select(key, *names, "times", "r", "c0", "c1", "home", F.when(F.col("home"), mine).alias("mine"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    dealt = dealt.filter(~F.col("home") | (F.col("mine") >= F.col("chunk"))).withColumn("own", F.col("home") & (F.col("mine") == F.col("chunk")))
 
     def count(part: pa.Table) -> pa.Table:
-        rows = np.column_stack([part.column(c).to_numpy() for c in names])
-        own = part.column("block").to_numpy() == part.column("to")[0].as_py()
-        at = np.lexsort((part.column("i").to_numpy(), rows[:, 0]))
-        rows, own = rows[at], own[at]
-        short, long = matches(rows[own], rows[~own], part.column("r")[0].as_py())
+        rows, times = np.column_stack([part.column(c).to_numpy() for c in names]), part.column("times").to_numpy()
+        own = part.column("own").to_numpy()
+        short, long = matches(rows[own], times[own], rows[~own], times[~own], part.column("r")[0].as_py())
         return pa.table({key: part.column(key).slice(0, 1), "short": pa.array([short], pa.int64()), "long": pa.array([long], pa.int64())})
 
     kind = series.schema[key].dataType.simpleString()
-    counted = dealt.groupBy(key, "to").applyInArrow(count, f"{key} {kind}, short long, long long")
+    counted = dealt.groupBy(key, "c0", "c1", "chunk").applyInArrow(count, f"{key} {kind}, short long, long long")
     sums = counted.groupBy(F.col(key).alias("_key")).agg(F.sum("short").alias("b"), F.sum("long").alias("a"))
-    sizes = x.groupBy(key).agg(F.count("*").alias("n"))
     out = F.when(F.col("b") > 0, F.when(F.col("a") == 0, float("inf")).otherwise(-F.log(F.col("a") / F.col("b"))))
     return sizes.join(sums, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "n", F.when(F.col("n") >= m + 2, out).alias("sample_entropy"))
