@@ -5,7 +5,9 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidewell.functions import scalars
 from tidewell.operators import entropy
 
 
@@ -55,3 +57,10 @@ def test_chunks_of_a_cell_meet_once(spark):
     x = np.round(np.random.default_rng(7).exponential(size=500), 2)
     df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)], "entity long, t long, v double")
     assert entropy.sample_entropies(df, block=1).first().sample_entropy == pytest.approx(by_pairs(x.tolist()), rel=1e-12)
+
+
+def test_one_row_series_work_out_their_tolerance_once(spark):
+    x = np.random.default_rng(6).normal(size=200)
+    began = time.monotonic()
+    got = spark.createDataFrame([(x.tolist(),)], "v array<double>").select(scalars.sample_entropy(F.col("v"))).first()[0]
+    assert got == pytest.approx(by_pairs(x.tolist()), rel=1e-12) and time.monotonic() - began < 20
