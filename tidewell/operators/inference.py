@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalars import text_hash
+from tidewell.operators import replicates
 from tidewell.sources.shared import stored
 
 DIGITS = 6
@@ -206,16 +207,8 @@ def paired_bootstrap(rows: DataFrame, scores: tuple[str, str], reps: int, seed:
     copies = multinomial_copies(entities, reps, seed)
     every = entities.select("entity", F.lit(0).alias("rep"), F.lit(1).cast("long").alias("copies"))
     long = rows.select("entity", "y", "w", F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).alias("p")) for s in scores])).alias("x")).select("entity", "y", "w", "x.*")
-    folded = stored(long.groupBy("entity", "score", "p").agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg")), "bootstrap-folded")
-    c = F.col("copies")
-    tied = folded.join(copies.unionByName(every), "entity").groupBy("rep", "score", "p").agg(F.sum(c * F.col("pos")).alias("pos"), F.sum(c * F.col("neg")).alias("neg"))
-    down = W.partitionBy("rep", "score").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
-    tied = tied.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
-    q = F.col("p")
-    per = tied.groupBy("rep", "score").agg(
-        F.try_divide(F.sum(F.col("pos") * F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))), F.sum("pos")).alias("ap"),
-        F.try_divide(F.sum(F.col("pos") * (1 - q) * (1 - q) + F.col("neg") * q * q), F.sum(F.col("pos") + F.col("neg"))).alias("brier"),
-    )
+    folded = long.groupBy("entity", "score", "p").agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg"))
+    per = replicates.scores(folded, replicates.dense(copies.unionByName(every), reps), 0)
     at = lambda s, f: F.max(F.when(F.col("score") == s, F.col(f)))
     wide = per.groupBy("rep").agg(*[x for f in ("ap", "brier") for x in (at(a, f).alias(f"{f}_{a}"), at(b, f).alias(f"{f}_{b}"), (at(b, f) - at(a, f)).alias(f"{f}_difference"))])
     figures = wide.unpivot("rep", [c for c in wide.columns if c != "rep"], "figure", "value")
