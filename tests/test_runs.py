@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import lineage, validate
-from tidewell.sources import archives, files, panel, runs
+from tidewell.sources import archives, files, panel, runs, shared
 
 COLUMNS = ["t", "x", "label"]
 
@@ -106,6 +106,33 @@ def test_a_change_marks_everything_behind_it(spark):
     assert lineage.cyclic(edges_of(spark, pairs[:6])).isEmpty()
 
 
+def test_rounds_move_new_artifacts_alone(spark, monkeypatch):
+    plans, add = [], shared.Bucketed.add
+
+    def watched(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return add(self, df)
+
+    monkeypatch.setattr(shared.Bucketed, "add", watched)
+    monkeypatch.setattr(lineage, "BUCKET_EDGES", 20)
+    chain = [(f"a{k + 1}", f"a{k}") for k in range(6)]
+    fan = [(f"b{k}", "a2") for k in range(40)] + [(f"c{k}", f"b{k}") for k in range(40)]
+    pairs = chain + fan + fan + [("a3", "a3"), ("a1", "a4"), ("c0", "a0"), ("z", "y")]
+    want = {f"a{k}": k for k in range(7)} | {f"b{k}": 3 for k in range(40)} | {f"c{k}": 4 for k in range(40)} | {"c0": 1}
+    changed = spark.createDataFrame([("a0",), ("a0",)], "artifact string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = lineage.behind(edges_of(spark, pairs), changed)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got.count() == len(want) and {r.artifact: r.steps for r in got.collect()} == want
+    assert got.dtypes == [("artifact", "string"), ("steps", "int")]
+    edges, _, *rounds = plans
+    assert len(rounds) == 7 and edges.count("Exchange ") == 1
+    assert all(p.count("Exchange ") == 1 and p.count("SortMergeJoin") == 2 and "Bucketed: true" in p for p in rounds)  # of the artifacts found, not of edges or known ones
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tidewell_")]
+
+
 def test_stale_artifacts(spark):
     h = {n: str(k) * 64 for k, n in enumerate(["panel", "features", "model", "scores"])}
     nodes = spark.createDataFrame(list(h.items()), "artifact string, sha256 string")

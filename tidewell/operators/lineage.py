@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalars import text_hash
-from tidewell.sources.shared import stored
+from tidewell.sources.shared import Bucketed, stored
+
+BUCKET_EDGES = 500_000
 
 
 def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -35,16 +37,24 @@ def behind(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """artifact and steps: changed ones (0) and all that was made of them, with the fewest steps.
 
     edges: node, input. Each round joins the last round's new artifacts alone with the edges, so
-    a cycle ends it too; rounds are as many as the longest chain behind a change.
+    a cycle ends it too; rounds are as many as the longest chain behind a change. Edges are shuffled
+    once, into buckets of their input, and artifacts once, in the round that finds them: no round moves
+    what an earlier one did. The edges of one input are one task's in rounds of too many new artifacts to broadcast.
     """
-    edges = stored(edges.select("node", "input").distinct(), "lineage-edges")
-    new = stored(changed.select("artifact", F.lit(0).alias("steps")).distinct(), "lineage-new")
-    known = new
-    while not new.isEmpty():
-        next_ = edges.join(new, F.col("input") == F.col("artifact")).select(F.col("node").alias("artifact"), (F.col("steps") + 1).alias("steps")).distinct()
-        new = stored(next_.join(known.select("artifact"), "artifact", "left_anti"), "lineage-new")
-        known = known.union(new)
-    return known
+    spark, steps, edges = edges.sparkSession, 0, edges.select("node", "input")
+    n = 1 + edges.count() // BUCKET_EDGES
+    made, known = Bucketed(spark, "lineage-edges", "input", n), Bucketed(spark, "lineage-known", "artifact", n)
+    try:
+        edges = made.add(edges.hint("rebalance", n, "input"))
+        found = known.add(changed.select("artifact").repartition(n, "artifact").distinct().withColumn("steps", F.lit(steps)))
+        while not (new := found.filter(F.col("steps") == steps)).isEmpty():
+            steps += 1
+            next_ = edges.join(new, F.col("input") == F.col("artifact")).select(F.col("node").alias("artifact")).repartition(n, "artifact").distinct()
+            found = known.add(next_.join(found.select("artifact"), "artifact", "left_anti").withColumn("steps", F.lit(steps)))
+        return spark.read.schema(found.schema).parquet(known.path)
+    finally:
+        made.forget()
+        known.forget()
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
