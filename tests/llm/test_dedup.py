@@ -266,3 +266,10 @@ def test_linear_grouping_sorts_suffixes():
             a, b = t[order[k - 1] :], t[order[k] :]
             h = next((h for h, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
             assert neighbours_common(t, order)[k] == h
+
+
+def test_anchors_do_not_depend_on_the_length_of_a_text(make):
+    """The hashes of the passage's first and last eight bytes first differ at bit 21, which the places of a long text used to take up; those between are larger."""
+    passage, filler = "wdbxhaccier6bye8", "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=(1 << 21) + 100))
+    got = suffix_dedup.suffix_dedup(make([(1, passage), (2, filler + passage)]), 16, 8)
+    assert sorted(map(tuple, got.select("doc_id", "n_removed", "n_spans").collect())) == [(1, 16, 1), (2, 16, 1)]
