@@ -64,3 +64,29 @@ def test_one_row_series_work_out_their_tolerance_once(spark):
     began = time.monotonic()
     got = spark.createDataFrame([(x.tolist(),)], "v array<double>").select(scalars.sample_entropy(F.col("v"))).first()[0]
     assert got == pytest.approx(by_pairs(x.tolist()), rel=1e-12) and time.monotonic() - began < 20
+
+
+@pytest.mark.parametrize("columns", [2, 3, 4])
+def test_counted_pairs_are_the_compared_ones(monkeypatch, columns):
+    r = np.random.default_rng(columns)
+    made = {0.5: lambda n: r.normal(size=(n, columns)), 3.0: lambda n: r.integers(0, 30, (n, columns)).astype(float), 0.3: lambda n: np.round(r.exponential(size=(n, columns)), 1)}
+    for near, rows in made.items():
+        for n, m in ((1, 500), (300, 7), (400, 600)):
+            a, b, x, y = rows(n), rows(m), r.integers(1, 4, n), r.integers(1, 4, m)
+            want = entropy.compared(a, x, b, y, near)
+            with monkeypatch.context() as some:
+                some.setattr(entropy, "PAIRS", 16)
+                some.setattr(entropy, "LEAF", 8)
+                assert entropy.met(a, x, b, y, near) == want
+
+
+def test_long_cells_are_counted_in_less_than_their_pairs():
+    """Two corners of 60,000 templates: 3.6 thousand million pairs."""
+    r = np.random.default_rng(8)
+    a, b, one = r.uniform(0, 1, (60_000, 3)), r.uniform(0, 1, (60_000, 3)) + [1, 1, 0], np.ones(60_000, np.int64)
+    began = time.monotonic()
+    short, long = entropy.met(a, one, b, one, 1.0)
+    assert time.monotonic() - began < 10
+    ordered = np.sort(b[:, 0] - 1)
+    alone = entropy.met(np.c_[a[:, :1], a[:, :1]], one, np.c_[b[:, :1], b[:, :1]], one, 1.0)
+    assert alone == (np.searchsorted(ordered, a[:, 0], side="right").sum(),) * 2 and long == short < alone[0]  # the third column always matches
